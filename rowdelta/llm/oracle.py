@@ -33,4 +33,49 @@ SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id)::BIGINT AS n_links,
 FROM embeddings JOIN reach ON v = vec_id GROUP BY vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2}
+OP3 = """
+WITH lines AS (
+  SELECT doc_id, p, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(l, p)
+), common AS (
+  SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE doc_id < last)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (WHERE last IS NULL OR doc_id = last), '')) AS kept_sha256
+FROM lines LEFT JOIN common USING (k) GROUP BY doc_id
+"""
+
+OP6 = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p:p + 12], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win), places AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(p) WHERE len(w) >= n
+), hits AS MATERIALIZED (SELECT doc_id, p, n, item_id FROM places JOIN win USING (n, s)),
+spots AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM hits, unnest(range(0, n)) AS t(j) GROUP BY doc_id),
+owners AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+_BROKEN = "replace(coalesce({}, ''), chr(92), chr(92) || chr(92))"
+for _c in ("<s>", "[INST]", "[/INST]", "</s>", "<|image|>", "<|audio|>", "<|document|>"):
+    _BROKEN = f"replace({_BROKEN}, '{_c}', '{_c[0]}' || chr(92) || '{_c[1:]}')"
+
+OP7 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(20 + length({_BROKEN.format("role")}) + length({_BROKEN.format("text")}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op3_line_dedup": OP3, "op6_decontamination": OP6, "op7_chat_format": OP7}
