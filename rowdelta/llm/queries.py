@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, line_dedup, secret_scan, simhash, substring_dedup
+import corpus_pipeline
+
+from . import brown_lm, chat_format, decontamination, embedding_dedup, language_id, line_dedup, mixing, secret_scan, simhash, substring_dedup
 from .common import table
 
 
@@ -72,9 +74,38 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_embedding_dedup, op3_line_dedup, op5_secret_scan, op6_decontamination, op7_chat_format, op8_simhash_dedup)
+    own = (
+        op1_substring_dedup,
+        op2_embedding_dedup,
+        op3_line_dedup,
+        op4_language_id,
+        op5_secret_scan,
+        op6_decontamination,
+        op7_chat_format,
+        op8_simhash_dedup,
+        op9_brown_lm,
+        op10_mixing,
+        pipeline,
+    )
     return {f.__name__: f for f in own}

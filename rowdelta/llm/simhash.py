@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, stored
+from .common import parts, stored, text_key
 from .graph import components, local_stars
 from .tokens import Words, slices
 
@@ -27,7 +27,7 @@ GENERATOR = 0b110001110101
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row: fp is the 64-bit SimHash, as a signed long, of the text's word shingles.
+    """(doc_id, text_hash, fp) for each row: fp is the 64-bit SimHash, as a signed long, of the text's word shingles.
 
     A-Z is lower-cased; words are runs outside ``[\\x20\\x09-\\x0D]``; a shingle's hash is XXH64 with seed 42 of
     its words with one space between. A text of fewer words is one shingle; no words or null: fingerprint 0.
@@ -37,10 +37,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     def per_batch(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_fingerprints(batch.column("text"), shingle).view(np.int64))], ["doc_id", "fp"])
+                fp = pa.array(_fingerprints(batch.column("text"), shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fp], ["doc_id", "text_hash", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(per_batch, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), text_key(text).alias("text_hash"))
+    return docs.mapInArrow(per_batch, "doc_id long, text_hash long, fp long")
 
 
 def _fingerprints(texts: pa.Array, k: int) -> np.ndarray:
@@ -154,17 +156,19 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, tile: int = 2048)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id for each row of ``docs``.
+    """doc_id, text_hash, fingerprint (16 lowercase hex digits), component and component_id for each row of ``docs``.
 
     Documents link if their fingerprints differ in at most ``threshold`` bits; component_id is the smallest
     doc_id reachable by links, itself included. Equal fingerprints are one node, so a group of copies of any
     size costs one comparison. Null and empty texts have fingerprint 0 and link like any other. Rows with a
     null doc_id get a component like others; null is never the smallest unless the component has no other id.
+    component names the group itself (its least fingerprint as a signed long).
     """
     own = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes, threshold, blocks))
     grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(ids, "component").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = grouped.join(ids, "component").select("fp", "component", "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return own.join(named, "fp").select("doc_id", "text_hash", shown, "component", "component_id")
