@@ -70,6 +70,6 @@ class ArrowFileReader(DataSourceReader):
 
 def read_arrow(spark: SparkSession, path: str) -> Dataset:
     """An IPC file, or a folder of them, that the driver and all executors can open."""
+    info = SchemaInfo.of(arrow_schema(path))
     spark.dataSource.register(ArrowFileSource)
-    df = spark.read.format(FORMAT).option("path", path).load()
-    return Dataset(df, SchemaInfo.of(arrow_schema(path)))
+    return Dataset(spark.read.format(FORMAT).option("path", path).load(), info)

@@ -1,0 +1,45 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowdelta.functions import differs, float_equal
+
+NAN, INF = math.nan, math.inf
+
+
+@pytest.mark.parametrize(
+    "a,b,tol,equal",
+    [
+        (1.0, 1.0, 1e-4, True),
+        (1.0, 1.0000001, 1e-4, True),
+        (1.0000001, 1.0, 1e-4, True),
+        (1.0, 1.001, 1e-4, False),
+        (1.001, 1.0, 1e-4, False),
+        (0.0, 0.0, 1e-4, True),
+        (0.0, -0.0, 0.0, True),
+        (0.0, 0.00005, 1e-4, True),
+        (0.0, 0.0002, 1e-4, False),
+        (NAN, NAN, 1e-4, True),
+        (NAN, 1.0, 1e-4, False),
+        (INF, INF, 1e-4, True),
+        (-INF, -INF, 1e-4, True),
+        (INF, -INF, 1e-4, False),
+        (INF, 1.0, 1e-4, False),
+        (1.0, 1.0000001, 0.0, False),
+        (1.0, 2.0, 0.5, False),  # exactly the tolerance apart
+    ],
+)
+def test_float_tolerance(spark, a, b, tol, equal):
+    row = spark.createDataFrame([(a, b)], "a double, b double").select(float_equal(F.col("a"), F.col("b"), tol), ~differs(F.col("a"), F.col("b"), T.DoubleType(), tol)).first()
+    assert tuple(row) == (equal, equal)
+
+
+def test_nulls_and_other_types(spark):
+    df = spark.createDataFrame([(None, None), (None, "a"), ("a", "a"), ("a", "b")], "a string, b string")
+    assert [r[0] for r in df.select(differs(F.col("a"), F.col("b"), T.StringType())).collect()] == [False, True, False, True]
+    f = spark.createDataFrame([(None, None), (None, 1.0)], "a float, b float")
+    assert [r[0] for r in f.select(differs(F.col("a"), F.col("b"), T.FloatType(), 1.0)).collect()] == [False, True]
+    m = spark.sql("SELECT map('a', 1, 'b', 2) AS a, map('b', 2, 'a', 1) AS b")
+    assert m.select(differs(F.col("a"), F.col("b"), m.schema["a"].dataType)).first()[0] is False
