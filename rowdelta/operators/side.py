@@ -40,7 +40,8 @@ class Side:
         # computed below any window or join, so that both use the same hash partitioning
         self.rows = renamed.select("*", *[c.alias(n) for c, n in zip(made, self.on, strict=True)])
         by = order_by or tuple(n for n, (_, kind) in self.fields.items() if _orderable(kind))
-        self.order = [self.column(n).desc_nulls_last() for n in by]
+        self.by = [self.column(n) for n in by]
+        self.order = [c.desc_nulls_last() for c in self.by]
 
     def column(self, name: str) -> Column:
         return F.col(f"{self.tag}{self.fields[name][0]}")
@@ -50,19 +51,24 @@ class Side:
         return df.select(*[f"{self.tag}{i}" for i in range(len(self.names))]).toDF(*self.names)
 
     def last(self) -> DataFrame:
-        """One row a key, the last of several."""
+        """One row a key, the last of several. Ranks are limited before the shuffle, so a hot key is one row there."""
         if self.unique:
             return self.rows
         ranked = self.rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.on).orderBy(*self.order)))
         return ranked.where("_rank = 1").drop("_rank")
 
-    def counted(self) -> DataFrame:
-        """The last row of each key with ``n_{tag}``, the number of the key's rows."""
+    def counted(self, names: list[str]) -> DataFrame:
+        """The columns ``names`` of the last row of each key with ``n_{tag}``, the number of the key's rows.
+
+        An aggregate, so that the rows of a hot key are counted before the shuffle."""
         if self.unique:
             return self.rows.withColumn(f"n_{self.tag}", F.lit(1).cast("long"))
-        key = Window.partitionBy(*self.on)
-        ranked = self.rows.withColumn("_rank", F.row_number().over(key.orderBy(*self.order))).withColumn(f"n_{self.tag}", F.count(F.lit(1)).over(key))
-        return ranked.where("_rank = 1").drop("_rank")
+        n = F.count(F.lit(1)).alias(f"n_{self.tag}")
+        if not names:
+            return self.rows.groupBy(*self.on).agg(n)
+        own = F.struct(*[self.column(c) for c in names])
+        last = self.rows.groupBy(*self.on).agg(n, F.max_by(own, F.struct(*self.by)).alias("_last"))
+        return last.select(*self.on, f"n_{self.tag}", "_last.*")
 
     def keys(self) -> DataFrame:
         return self.rows.select(*self.on) if self.unique else self.rows.select(*self.on).distinct()

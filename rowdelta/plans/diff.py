@@ -52,7 +52,8 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
     modified = pairs.select(*own, *marks, *extra)
 
     # totals: one full outer join of one row a key; each side's duplicates are counted on the way
-    both = s.counted().join(t.counted(), s.on, "full_outer")
+    common = [c for c in compared if c in t.fields]
+    both = s.counted(common).join(t.counted(common), s.on, "full_outer")
     changed = F.col("n_s").isNotNull() & F.col("n_t").isNotNull() & any_flag
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     counts = F.create_map(*[x for c in compared for x in (F.lit(c), F.count_if(changed & flags[c]))]) if compared else F.create_map().cast("map<string,bigint>")
