@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowdelta.model import DiffResult, DiffSummary
+from rowdelta.workers import ship
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -106,7 +107,7 @@ def write_arrow(df: DataFrame, path: str) -> None:
 
 def write_arrow_folder(df: DataFrame, path: str) -> None:
     """IPC files that executors write in parallel; committed files have their final names."""
-    df.sparkSession.dataSource.register(ArrowFolder)
+    ship(df.sparkSession).dataSource.register(ArrowFolder)
     df.write.format("rowdelta_arrow_folder").option("path", path).mode("append").save()
 
 

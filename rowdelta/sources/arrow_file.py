@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowdelta.model import Dataset, SchemaInfo
 from rowdelta.schema.types import spark_type
+from rowdelta.workers import ship
 
 from .files import local_files
 
@@ -71,5 +72,5 @@ class ArrowFileReader(DataSourceReader):
 def read_arrow(spark: SparkSession, path: str) -> Dataset:
     """An IPC file, or a folder of them, that the driver and all executors can open."""
     info = SchemaInfo.of(arrow_schema(path))
-    spark.dataSource.register(ArrowFileSource)
+    ship(spark).dataSource.register(ArrowFileSource)
     return Dataset(spark.read.format(FORMAT).option("path", path).load(), info)
