@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.workers import ship
+
 from .common import parts, stored
 from .graph import components, local_stars
 
@@ -44,13 +46,22 @@ def normal(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between the unit vectors of a and of b."""
+    d = a @ b.T
+    d *= -2
+    d += 2
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
+
+
 def tree(x: np.ndarray, top: float, levels: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Nested covers of the rows of x with radii top, top / 2, ...
 
     Each level is (centres as row numbers, each row's node at that level, covering radius of each node). A
     node's points are those of its children. The last level has one node per row.
     """
-    far = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T))) if len(x) else np.zeros((0, 0))
+    far = distances(x, x)
     out = []
     parent = np.zeros(len(x), np.int64)
     radius = top
@@ -94,11 +105,13 @@ def dual(xa: np.ndarray, ta: list, xb: np.ndarray, tb: list, least: float) -> np
         if not ask.any():
             return link
         if last:
-            rows, cols = ca[ask.any(1)], cb[ask.any(0)]
-            cosine = np.full((len(xa), len(xb)), -2.0)
-            cosine[np.ix_(rows, cols)] = xa[rows] @ xb[cols].T
-            return link | ((cosine >= least) & open_[ga[:, None], gb[None, :]])
-        d = np.sqrt(np.maximum(0, 2 - 2 * (xa[ca] @ xb[cb].T)))
+            i, j = np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
+            rows, cols = ca[i], cb[j]
+            near = xa[rows] @ xb[cols].T >= least
+            near &= ask[np.ix_(i, j)]
+            link[np.ix_(rows, cols)] |= near
+            return link
+        d = distances(xa[ca], xb[cb])
         both = ra[:, None] + rb[None, :]
         whole = ask & (d + both < t - ROUNDING)
         open_ = ask & ~whole & (d - both <= t + ROUNDING)
@@ -118,7 +131,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
     ``cells`` bounds the sample whose cover tree makes the cells, ``block`` the rows a task holds of a side.
     Rows with one vec_id are vectors of their own for n_links and one node for component_id.
     """
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     kind = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
     e = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
@@ -141,7 +154,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
                 x = unit(own.column("e"))
                 cell, reach = np.zeros(len(x), np.int32), np.full(len(x), 2.0)
                 if int(w) in centres:
-                    far = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres[int(w)].T)))
+                    far = distances(x, centres[int(w)])
                     cell, reach = far.argmin(1).astype(np.int32), far.min(1)
                 raw = own.column("e").flatten().to_numpy().astype(kind).reshape(len(x), int(w))
                 columns = [own.column("width"), pa.array(cell), pa.array(reach), pa.array([v.tobytes() for v in raw], pa.binary()), own.column("weight"), own.column("low"), own.column("deal")]
@@ -175,12 +188,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
     packed = stored(named.groupBy("block").applyInArrow(pack, "block string, width int, x binary, tree binary, weight binary, low binary, deal binary"), "packed")
 
     def compare(batches):
+        a, mine = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                a, b = r["a"], r["b"]
-                (xa, wa, la, da), (xb, wb, lb, db) = _unpacked(a, kind), _unpacked(b, kind)
-                link = dual(xa, pickle.loads(a["tree"]), xb, pickle.loads(b["tree"]), least)
+                b = batch.slice(i, 1).to_pylist()[0]
+                if b["block"] == b["host"]:  # sorted to be a host's first guest
+                    a, mine = b, (*_unpacked(b, kind), pickle.loads(b["tree"]))
+                xa, wa, la, da, ta = mine
+                xb, wb, lb, db = _unpacked(b, kind)
+                link = dual(xa, ta, xb, pickle.loads(b["tree"]), least)
                 same = a["block"] == b["block"]
                 if same:
                     np.fill_diagonal(link, False)
@@ -200,9 +216,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
                     [pa.array(np.concatenate(c)) for c in ((low, u), (deal, v), (n, none), (np.zeros(len(n), bool), none == 0))], ["low", "other", "n", "is_edge"]
                 )
 
-    left = packed.select(F.col("block").alias("a"), F.struct(*packed.columns).alias("x"))
-    work = pairs.join(left, "a").select(F.col("x").alias("left"), "b").join(packed.select(F.col("block").alias("b"), F.struct(*packed.columns).alias("y")), "b")
-    work = work.select(F.col("left").alias("a"), F.col("y").alias("b")).repartition(4 * parts(spark))
+    # one side of a pair is the host, which a task holds, and the other its guest, which is sent there; a row is one block
+    even = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    guests = pairs.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("block"))
+    work = guests.join(packed, "block").repartition(4 * parts(spark), "host").sortWithinPartitions("host", F.col("block") != F.col("host"))
     out = stored(work.mapInArrow(compare, "low long, other long, n long, is_edge boolean"), "links")
     counts = out.where("not is_edge").groupBy("low", F.col("other").alias("deal")).agg(F.sum("n").alias("n"))
     found = components(out.where("is_edge").select(F.col("low").alias("src"), F.col("other").alias("dst")))
