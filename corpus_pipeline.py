@@ -19,7 +19,7 @@ from rowdelta.llm.common import shared_dir, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least calibrated probability of the language of a document that stays.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.workers import ship
+
 from .tokens import slices, utf8
 
 BITS, ORDERS, SCALE = 15, (1, 2, 3), 30.0
@@ -183,7 +185,7 @@ def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
     no letter is ``und`` with score 0, as is any if nothing could be learned. A null doc_id is neither held
     out nor learned from. Equal texts get equal results. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     letter = F.col("text").rlike(r"\p{L}")
     learned = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & letter).select("doc_id", "text", "lang")
     sent = spark.sparkContext.broadcast(fit(learned, sample, epochs))

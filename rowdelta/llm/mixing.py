@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.workers import ship
+
 from .common import stored, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)
     only equal rows may swap results; reruns agree. Totals by source are held on the driver: more than
     ``max_sources`` sources are an error. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_hash"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))

@@ -45,6 +45,28 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE doc_id < last
 FROM lines LEFT JOIN common USING (k) GROUP BY doc_id
 """
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents), found AS (
+  {" UNION ALL ".join(f"SELECT doc_id, owner, {rank} AS rank, regexp_extract_all(t, '{q}', 0) AS m, regexp_extract_all(t, '{q}', {g}) AS v, string_split_regex(t, '{q}') AS p FROM d" for rank, g, q in ((1, 2, _ASSIGN), (2, 0, "AKIA[A-Z0-9]+"), (3, 0, "[0-9a-f]{24,}"), (4, 0, "[A-Za-z0-9+/_-]{20,}")))}
+), each AS (
+  SELECT doc_id, owner, rank, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS a, length(m[k]) AS n, v[k] AS v
+  FROM found, unnest(range(1, len(m) + 1)) AS u(k)
+), base AS (
+  SELECT * FROM each WHERE rank = 1 AND length(v) >= 6 OR rank = 2 AND n >= 20 OR rank = 3
+), mixed AS (
+  SELECT * FROM each WHERE rank = 4 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = each.doc_id AND base.a < each.a + each.n AND each.a < base.a + base.n)
+), every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed), owners AS (SELECT v, count(DISTINCT owner) AS k FROM every GROUP BY v),
+spans AS (SELECT *, ['assign', 'access', 'hex', 'owned'][rank] || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS s FROM every JOIN owners USING (v))
+SELECT d.doc_id, count(*) FILTER (WHERE rank = 1) AS n_assign, count(*) FILTER (WHERE rank = 2) AS n_access, count(*) FILTER (WHERE rank = 3) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
+  coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE rank < 4 OR k < 3), '') AS spans,
+  count(*) FILTER (WHERE k < 3) AS n_owned, count(*) FILTER (WHERE k >= 3) AS n_copied
+FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 OP6 = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents
@@ -78,4 +100,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op3_line_dedup": OP3, "op6_decontamination": OP6, "op7_chat_format": OP7}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op3_line_dedup": OP3, "op5_secret_scan": OP5, "op6_decontamination": OP6, "op7_chat_format": OP7}

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.workers import ship
+
 from .common import parts, spread
 from .tokens import WORD_BASE, Words, mix, window_sums
 
@@ -79,7 +81,7 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
     doc_id counts as smaller than any id. Rows with one doc_id are taken in text order, each as a document.
     An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = spread(docs, chunk_bytes, 2 * parts(spark))
     buckets = max(parts(spark), chunks // 2)
