@@ -66,9 +66,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """
     keep = keep_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), min_chars, min_docs)
     keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.map_from_entries("keep").alias("_keep"))
-    own = docs.withColumn("_lines", lines_of(F.col("text")))
-    both = own.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_hash")), "left")
+    both = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_hash")), "left")
     stays = F.expr("filter(_lines, (l, i) -> coalesce(getbit(try_element_at(_keep, int(i div 64)), i % 64) = 1, true))")
+    both = both.withColumn("_lines", lines_of(F.col("text")))
     both = both.withColumn("_kept", F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(stays))
     n = F.size("_lines").cast("long")
     out = both.withColumns({"n_lines": n, "n_dropped": n - F.size("_kept"), "kept_text": F.array_join("_kept", "\n")})
