@@ -37,21 +37,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round does a large-star step (the larger neighbours of a node link to its smallest neighbour) and a
     small-star step (a node and its smaller neighbours link to the smallest of them); rounds end when the
     edges no longer change, which takes about log of the diameter. The edges of a round are written to the
-    shared folder. Minima are pre-aggregated before each shuffle and the joins' large side may be split, so a
-    node with very many neighbours needs no task of its own. Self loops give a component of one node.
+    shared folder. Self loops give a component of one node.
+
+    Minima are pre-aggregated before their shuffle and written too: a join of two tables as read can be split
+    by adaptive execution, so a node with very many neighbours needs no task of its own.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("dst").alias("low"))
     now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = stored(both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # every node u of `large` has only smaller neighbours v
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        forget(now)
+        for old in (now, low, large, least):
+            forget(old)
         now, was, mark = after, mark, _mark(after)
         if was == mark:
             break
