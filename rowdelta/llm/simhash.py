@@ -2,7 +2,8 @@
 
 The 64 bits fall into ``blocks`` of about equal width. Fingerprints that differ in at most t bits differ in
 at most t // blocks bits within some block. Each block is covered by the perfect binary Golay code: every
-23-bit word lies within three bits of a codeword, the anchor. A fingerprint is copied to every anchor within
+23-bit word lies within three bits of a codeword, the anchor; bits of a wider block belong to the anchor as
+they are. A fingerprint is copied to every anchor within
 covering radius plus the block's threshold, so for a linked pair the anchor nearest to one of them also holds
 the other. Fingerprints are compared per anchor only.
 """
@@ -17,11 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowdelta.workers import ship
+
 from .common import parts, stored, text_key
 from .graph import components, local_stars
 from .tokens import Words, slices
 
 BITS, LENGTH, RADIUS = 64, 23, 3
+FEW = 16_000_000
 #: x**11 + x**10 + x**6 + x**5 + x**4 + x**2 + 1, a generator of the [23, 12] Golay code.
 GENERATOR = 0b110001110101
 
@@ -41,6 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fp], ["doc_id", "text_hash", "fp"])
 
     text = F.col("text").cast("string")
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), text_key(text).alias("text_hash"))
     return docs.mapInArrow(per_batch, "doc_id long, text_hash long, fp long")
 
@@ -75,52 +80,62 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
     return r
 
 
-@lru_cache(maxsize=4)
-def _near(width: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Error patterns of up to ``reach`` bits of 23, by syndrome: patterns[start[s]:start[s+1]] have syndrome s."""
-    one = 1 << np.arange(LENGTH, dtype=np.int64)
+def _flips(bits: int, reach: int) -> np.ndarray:
+    """All words of ``bits`` bits with up to ``reach`` ones."""
+    one = np.int64(1) << np.arange(bits, dtype=np.int64)
     level, found = np.zeros(1, np.int64), [np.zeros(1, np.int64)]
-    for _ in range(reach):
+    for n in range(1, min(reach, bits) + 1):
         level = np.unique((level[:, None] | one[None, :]).ravel())
-        level = level[np.bitwise_count(level) == len(found)]
+        level = level[np.bitwise_count(level) == n]
         found.append(level)
-    patterns = np.concatenate(found)
-    s = _syndromes(patterns)
+    return np.concatenate(found)
+
+
+@lru_cache(maxsize=8)
+def _near(rest: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """What to flip in a block of 23 + ``rest`` bits to get its anchors, by the syndrome of the low 23 bits.
+
+    The rest is an anchor's as it is, with radius zero, so flips there take from the threshold.
+    patterns[start[s]:start[s + 1]] are those of syndrome s."""
+    high = _flips(rest, threshold)
+    patterns = np.concatenate([_flips(LENGTH, RADIUS + threshold - int(np.bitwise_count(h))) | (h << LENGTH) for h in high])
+    s = _syndromes(patterns & ((1 << LENGTH) - 1))
     order = np.argsort(s, kind="stable")
     return patterns[order], np.searchsorted(s[order], np.arange((1 << 11) + 1))
 
 
 def anchors(fp: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index into fp, anchor) of all copies. An anchor is block << 23 | codeword."""
+    """(index into fp, anchor) of all copies. An anchor is block << 60 | codeword and rest."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     who, what = [], []
     for i in range(blocks):
         width = edges[i + 1] - edges[i]
         value = ((fp >> np.uint64(edges[i])) & np.uint64((1 << width) - 1)).astype(np.int64)
-        patterns, start = _near(LENGTH, RADIUS + threshold // blocks)
-        s = _syndromes(value)
+        patterns, start = _near(max(width - LENGTH, 0), threshold // blocks)
+        s = _syndromes(value & ((1 << LENGTH) - 1))
         n = start[s + 1] - start[s]
         row = np.repeat(np.arange(len(fp)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[s], n)
         who.append(row)
-        what.append((i << LENGTH) | (value[row] ^ patterns[at]))
+        what.append((i << 60) | (value[row] ^ patterns[at]))
     return np.concatenate(who), np.concatenate(what)
 
 
-def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, tile: int = 2048) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None, tile: int = 2048) -> DataFrame:
     """Star edges (src, dst) over the distinct values of ``fps.fp`` whose components are those of all linked pairs.
 
     An anchor holding over ``tile`` fingerprints is cut into k stripes and compared as k * (k + 1) / 2 tiles
-    of two stripes, each in a task of its own, so that no anchor needs more memory than a tile.
+    of two stripes, each in a task of its own, so that no anchor needs more memory than a tile. Any number of
+    blocks gives the same components: three make about 16 copies at 12 thousand anchors, two about 210 at four
+    million, which is less work for more than ``FEW`` fingerprints.
     """
-    if BITS > blocks * LENGTH:
-        raise ValueError(f"{blocks} blocks of {LENGTH} bits do not hold {BITS} bits")
+    blocks = blocks or (3 if fps.count() <= FEW else 2)
 
     def copies(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fp), 1 << 14):
-                who, what = anchors(fp[at : at + (1 << 14)], blocks, threshold)
+            for at in range(0, len(fp), 1 << 13):
+                who, what = anchors(fp[at : at + (1 << 13)], blocks, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at + who].view(np.int64)), pa.array(what)], ["fp", "anchor"])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -143,7 +158,7 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, tile: int = 2048)
         a, b = local_stars(np.concatenate([none, *left]), np.concatenate([none, *right]))
         return pa.table({"src": a, "dst": b})
 
-    spark = fps.sparkSession
+    spark = ship(fps.sparkSession)
     held = fps.select("fp").mapInArrow(copies, "fp long, anchor long")
     heavy = held.groupBy("anchor").count().where(F.col("count") > tile)
     n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / tile)
@@ -155,7 +170,7 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, tile: int = 2048)
     return dealt.groupBy("deal").applyInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """doc_id, text_hash, fingerprint (16 lowercase hex digits), component and component_id for each row of ``docs``.
 
     Documents link if their fingerprints differ in at most ``threshold`` bits; component_id is the smallest

@@ -44,15 +44,16 @@ def test_against_brute_force(spark):
             rows.append((100 + 10 * g + c, " ".join(own)))
     rows += rows[:4]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
-    out = [tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id").collect()]
-    assert sorted(out, key=str) == brute(rows)
+    for blocks in (None, 2):
+        out = [tuple(r) for r in simhash.near_duplicates(docs, blocks=blocks).select("doc_id", "fingerprint", "component_id").collect()]
+        assert sorted(out, key=str) == brute(rows)
 
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("blocks,threshold", [(3, 4), (4, 7), (3, 0)])
+@pytest.mark.parametrize("blocks,threshold", [(3, 4), (4, 7), (3, 0), (2, 4)])
 def test_linked_pairs_share_an_anchor(blocks, threshold):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 300, dtype=np.uint64)
