@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdelta.llm import decontamination, language_id, line_dedup, mixing, simhash
-from rowdelta.llm.common import shared_dir, table, text_key
+from rowdelta.llm.common import scratch, shared_dir, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least calibrated probability of the language of a document that stays.
@@ -72,11 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage returns is kept in the shared folder."""
+    """All stages over the documents of ``sf_dir``.
+
+    What a stage returns is kept in the shared folder, what it stored on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/rowdelta/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{k}-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.schema(out.schema).parquet(f"{at}/{k}-{name}")
     return docs

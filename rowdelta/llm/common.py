@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _STORED.append(path)
     return out
 
 
+_STORED: list[str] = []
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that nothing will read any more."""
     path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _STORED:
+        _STORED.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at its end what was stored inside: results have to be written before."""
+    mark = len(_STORED)
+    try:
+        yield
+    finally:
+        while len(_STORED) > mark:
+            _delete(spark, _STORED.pop())
 
 
 def input_bytes(df: DataFrame) -> int:
