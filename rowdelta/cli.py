@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import json
+import signal
 import sys
+import threading
 import warnings
 
 from pyspark.sql import SparkSession
@@ -110,7 +112,7 @@ def run_diff(a: argparse.Namespace) -> int:
     data: list[Dataset] = []
     for path, kind in zip((a.source, a.target), kinds, strict=True):
         # the file's order decides which row of a key is last
-        by_place = kind == "parquet" and a.key and not a.unique_keys
+        by_place = kind == "parquet" and not a.unique_keys
         one = sources.read(spark, path, kind, **({"positions": True} if by_place else {}))
         data.append(sources.full_load(one) if a.full_load else one)
     hidden = tuple(dict.fromkeys(c for x in data for c in x.position))
@@ -168,6 +170,9 @@ def run_schema(a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    # Spark cancels its jobs on SIGINT; SIGTERM is to do the same
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, lambda *_: signal.raise_signal(signal.SIGINT))
     try:
         if a.command == "diff":
             return run_diff(a)
@@ -180,6 +185,9 @@ def main(argv: list[str] | None = None) -> int:
             generate.write_pair(_session(), a.source, a.target, config)
         else:
             print(f"rowdelta version {VERSION}")
+    except KeyboardInterrupt:
+        print("Cancelled", file=sys.stderr)
+        return 1
     except (ValueError, TypeError, FileNotFoundError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

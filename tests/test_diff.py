@@ -184,3 +184,24 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     df = spark.read.parquet(path)
     plan = diff(df, df, DiffOptions(("id",), ignore=("b",), unique_keys=True)).summary_frame._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,a:bigint>" in plan and "b:bigint" not in plan
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.sql("SELECT id, id AS a FROM range(10)").write.parquet(path)
+    df = spark.read.parquet(path).where("a > 5")
+    plan = diff(df, df, DiffOptions(("id",))).modified._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(a), GreaterThan(a,5)]") == 2
+
+
+def test_primary_key_metadata_from_a_file(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from rowdelta import sources
+
+    for name, v in (("a", [1, 2]), ("b", [1, 3])):
+        schema = pa.schema([("k", pa.int64()), ("v", pa.int64())], {"primary_key": "k"})
+        pq.write_table(pa.table({"k": [7, 8], "v": v}, schema=schema), str(tmp_path / f"{name}.parquet"))
+    found = diff(*(sources.read(spark, str(tmp_path / f"{n}.parquet")) for n in "ab"))
+    assert found.summary().columns == {"v": 1}
