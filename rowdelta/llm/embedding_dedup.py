@@ -29,6 +29,7 @@ from .graph import components, local_stars
 #: Far over the error of a distance computed from a dot product; nodes this near a bound are opened.
 ROUNDING = 1e-6
 NO_ID = 2**63 - 1
+MOST_CELLS = 2048
 
 
 def unit(embedding: pa.Array) -> np.ndarray:
@@ -120,7 +121,7 @@ def dual(xa: np.ndarray, ta: list, xb: np.ndarray, tb: list, least: float) -> np
     return link
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, cells: int = 8, levels: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, cells: int | None = None, levels: int = 3) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding).
 
     All rows are compared with all others by cosine in double precision and link at ``least`` or more (which
@@ -128,7 +129,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
     nothing; so do vectors of different lengths with each other. n_links counts the other rows linked
     directly, component_id is the smallest vec_id reachable, kept says whether that is the row itself.
 
-    ``cells`` bounds the sample whose cover tree makes the cells, ``block`` the rows a task holds of a side.
+    ``block`` bounds the rows a task holds of a side, ``cells`` the sample whose cover tree makes the cells: if
+    not given, one for three blocks of vectors, from 8 to ``MOST_CELLS``.
     Rows with one vec_id are vectors of their own for n_links and one node for component_id.
     """
     spark = ship(vectors.sparkSession)
@@ -140,6 +142,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
     points = stored(points.select(F.size("e").alias("width"), "e", "weight", "low", F.xxhash64("e").alias("deal")), "points")
 
     # the coarse tree: centres of a bounded sample
+    cells = cells or max(8, min(MOST_CELLS, points.count() // (3 * block)))
     sample = points.orderBy("deal", "low").limit(cells).select("width", "e").collect()
     centres: dict[int, np.ndarray] = {}
     for w in {r["width"] for r in sample}:
@@ -163,10 +166,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int = 2048, c
     dealt = stored(points.mapInArrow(place, "width int, cell int, reach double, x binary, weight long, low long, deal long"), "cells")
     sizes = dealt.groupBy("width", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("k"), F.max("reach").alias("reach"))
 
-    # dual traversal of the coarse tree, on the driver: at most ``cells`` nodes; other lengths have one cell each
+    # dual traversal of the coarse tree, on the driver: at most ``cells`` nodes; unsampled lengths have one cell each
     t = float(np.sqrt(2 - 2 * least))
-    reach = {(r["width"], r["cell"]): r["reach"] for r in sizes.where(F.col("width").isin(list(centres))).collect()}
-    near = [(w, a, b) for (w, a), ra in reach.items() for (v, b), rb in reach.items() if v == w and a <= b and np.sqrt(max(0, 2 - 2 * (centres[w][a] @ centres[w][b]))) <= ra + rb + t + ROUNDING]
+    found = sizes.where(F.col("width").isin(list(centres))).collect()
+    near = []
+    for w, c in centres.items():
+        own = {r["cell"]: r["reach"] for r in found if r["width"] == w}
+        at, reach = np.array(sorted(own)), np.array([own[i] for i in sorted(own)])
+        meet = np.triu(distances(c[at], c[at]) <= reach[:, None] + reach[None, :] + t + ROUNDING)
+        near += [(w, int(at[i]), int(at[j])) for i, j in zip(*np.nonzero(meet), strict=True)]
     cell_pairs = spark.createDataFrame(near, "width int, ca int, cb int").unionByName(sizes.where(~F.col("width").isin(list(centres))).select("width", F.col("cell").alias("ca"), F.col("cell").alias("cb")))
     of = sizes.select("width", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
     a = of.select("width", F.col("cell").alias("ca"), F.col("part").alias("i"))
