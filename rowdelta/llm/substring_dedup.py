@@ -11,6 +11,7 @@ repeated windows into maximal removal intervals.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from rowdelta.workers import ship
 
-from .common import parts, spread
+from .common import input_bytes, parts, spread
 from .tokens import WORD_BASE, Words, mix, window_sums
 
 LOWEST = np.iinfo(np.int64).min
+RUN = 32
 
 
 class Chunk:
@@ -50,7 +52,7 @@ class Chunk:
         self.hash = mix(window_sums(h, self.at, self.at + window, WORD_BASE))
         self.distinct, self.first, self.which = np.unique(self.hash, return_index=True, return_inverse=True)
 
-    def sent(self, bucket_bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def sent(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``distinct`` ordered by bucket, then document; and where each bucket begins."""
         owner = bucket_of(self.distinct, buckets)
         order = np.lexsort((self.doc[self.first], owner))
@@ -83,13 +85,15 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = spread(docs, chunk_bytes, 2 * parts(spark))
+    # a chunk sends a bucket one row; beyond some hundred GB larger chunks keep a row at RUN hashes on average
+    most = math.isqrt(input_bytes(docs) * 4 // (15 * RUN))  # about four windows for 15 bytes of Parquet
+    chunks = min(spread(docs, chunk_bytes, 2 * parts(spark)), max(most, 2 * parts(spark)))
     buckets = max(parts(spark), chunks // 2)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
 
     def send(table: pa.Table) -> pa.Table:
         c = Chunk(table, window)
-        order, cut = c.sent(0, buckets)
+        order, cut = c.sent(buckets)
         docs_of = c.doc[c.first]
         rows: dict[str, list] = {"bucket": [], "chunk": [], "hashes": [], "ids": [], "runs": []}
         for b in range(buckets):
@@ -127,7 +131,7 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
         if not docs.num_rows:
             return RESULT.empty_table()
         c = Chunk(docs, window)
-        order, cut = c.sent(0, buckets)
+        order, cut = c.sent(buckets)
         late = np.zeros(len(c.distinct), bool)
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
             own = order[cut[b] : cut[b + 1]]
