@@ -193,6 +193,7 @@ def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
 
     def predict(batches):
         langs, w, bias, t = sent.value
+        by_lang = np.ascontiguousarray(w.T)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 n = batch.num_rows
@@ -204,10 +205,11 @@ def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
                     for o in ORDERS:
                         h = ngrams(cp, o)
                         ends = np.maximum(begin[1:] - o + 1, begin[:-1])
-                        prefix = np.zeros((len(h) + 1, len(langs)))
-                        np.cumsum(w[h], axis=0, out=prefix[1:])
                         own = ends > begin[:-1]
-                        logits[own] += prefix[ends[own]] - prefix[begin[:-1][own]]
+                        # sums of [begin, end) at the even places; what is between, across texts, at the odd ones
+                        cut = np.stack([begin[:-1][own], ends[own]], 1).ravel()
+                        for k in range(len(langs) if own.any() else 0):
+                            logits[own, k] += np.add.reduceat(np.append(by_lang[k][h], np.float32(0)), cut, dtype=np.float64)[::2]
                         grams += ends - begin[:-1]
                     p = softmax((logits / np.maximum(grams, 1)[:, None] + bias) / t)
                     best = p.argmax(1)

@@ -85,3 +85,13 @@ def test_logits_are_means_of_ngram_weights(spark):
     h = np.concatenate([li.ngrams(cp, o) for o in li.ORDERS])
     p = li.softmax((w[h].astype(float).mean(0) + bias) / t)
     assert langs[p.argmax()] == data[0][2]
+    short = [(-1, "é", None), (-2, "ka", None), (-3, "kal", None), (-4, None, None), (-5, "ß" * 4000, None)]
+    both = spark.createDataFrame([*data, *short], docs.schema)
+    got = {r["doc_id"]: r for r in li.identify(both, sample=80).collect()}
+    langs, w, bias, t = li.fit(both.where("doc_id >= 0 AND crc32(CAST(doc_id AS STRING)) % 5 <> 0"), sample=80)
+    for d, text, _ in [*data, *short]:
+        if text:
+            cp, _ = li.code_points(pa.array([text]))
+            h = np.concatenate([li.ngrams(cp, o) for o in li.ORDERS])
+            p = li.softmax((w[h].astype(float).mean(0) + bias) / t)
+            assert got[d]["lang_pred"] == langs[p.argmax()] and abs(got[d]["score"] - p.max()) < 1e-6
