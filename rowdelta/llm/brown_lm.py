@@ -1,9 +1,10 @@
 """A Brown class-based bigram model: exchange clustering of words, class transitions, word emissions.
 
-Words are known by 64-bit hashes. Counts cover the whole training part and stay in a distributed table; only
-words above a count threshold, at most ``frequent`` of them, are sent to executors, and all other tokens meet
-their counts in a shuffle join. The most frequent words are clustered by exchange, the other frequent words
-fall into classes by count, all rarer ones and unknown ones share a class, and the end of a text has its own.
+Words are known by 64-bit hashes. Counts cover the whole training part and stay in a distributed table. Classes of
+the most frequent words seed the exchange; then all words seen more than once choose among them in rounds, by their
+bigrams with the classes under the last assignment. Classes of words above a count threshold, at most ``frequent``
+of them, are sent to executors; all other words are rows of a table and their classes meet tokens in shuffle joins.
+Words seen once and unknown ones share a class, and the end of a text has its own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rowdelta.workers import ship
 
-from .common import stored
+from .common import forget, parts, stored
 from .tokens import Words, slices
 
 END = 0x5DEECE66D
@@ -110,19 +111,326 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int, sweeps: int = 6) -
     return of
 
 
+def best_classes(stat: np.ndarray, own: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
+    """The class of greatest class bigram likelihood of each word, all others staying where they are.
+
+    ``stat`` has a row for each word: its bigrams to each of the n classes, those from each, and those with itself
+    (2 n + 1). ``own`` is the word's present class and ``m`` the n x n bigrams of all classes. Only the first
+    ``classes`` can be moved to; a word stays in one of them unless another is better."""
+    n, f = len(m), lambda x: x * np.log(np.maximum(x, 1))
+    m, result = m.astype(float), np.empty(len(stat), np.int64)
+    filled = np.cumsum(np.count_nonzero(stat, axis=1) + 1)
+    total = m.sum(1)[:classes]
+    at = 0
+    while at < len(stat):
+        to = max(at + 1, int(np.searchsorted(filled, filled[at] + (1 << 20) // classes)))
+        x, a = stat[at:to].astype(float), own[at:to]
+        out, in_, self_ = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+        inside, w = np.flatnonzero(a < classes), np.arange(to - at)
+        d = np.repeat(np.diag(m)[None, :classes], to - at, 0)
+        d[inside, a[inside]] -= (out[w, a] + in_[w, a] + self_[:, 0])[inside]
+        gain = f(d + out[:, :classes] + in_[:, :classes] + self_) - f(d)
+        c = out.sum(1, keepdims=True) + self_
+        t = np.repeat(total[None], to - at, 0)
+        t[inside, a[inside]] -= c[inside, 0]
+        gain -= 2 * (f(t + c) - f(t))
+        for side, other, cells in ((out, in_, m.T), (in_, out, m)):
+            i, j = np.nonzero(side)
+            if not len(i):
+                continue
+            v, had = side[i, j][:, None], cells[j, :classes]
+            left = np.flatnonzero(j == a[i])  # the word's bigrams from or to the class that it leaves
+            had[left] -= other[i[left], :classes]
+            some = np.flatnonzero(a[i] < classes)
+            had[some, a[i[some]]] -= v[some, 0]
+            more = f(np.maximum(had, 0) + v) - f(np.maximum(had, 0))
+            some = np.flatnonzero(j < classes)
+            more[some, j[some]] = 0
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            gain[i[first]] += np.add.reduceat(more, first)
+        new = gain.argmax(1)
+        stays = np.zeros(to - at, bool)
+        stays[inside] = gain[inside, new[inside]] <= gain[inside, a[inside]] + 1e-9
+        result[at:to] = np.where(stays, a, new)
+        at = to
+    return result
+
+
+def likelihood(m: np.ndarray) -> float:
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    m = m.astype(float)
+    return float(f(m) - f(m.sum(0)) - f(m.sum(1)))
+
+
+def _packed(code: np.ndarray, count: np.ndarray, block: int, size: int):
+    """Rows (block, codes, counts) of sorted codes; steps and counts by byte planes, as most high bytes are 0."""
+    cut = np.searchsorted(code, np.arange(int(code[-1]) // size + 2) * size) if len(code) else [0]
+    for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        for k in range(i, j, 1 << 17):
+            e = min(k + (1 << 17), j)
+            steps = np.diff(code[k:e] - b * size, prepend=0).astype("<i4")
+            planes = [x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, count[k:e].astype("<i4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([block + b]), pa.array([planes[0]], pa.binary()), pa.array([planes[1]], pa.binary())], ["block", "codes", "counts"])
+
+
+def _unpacked(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    read = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+    return np.cumsum(read(codes)), read(counts)
+
+
+_PACKED = "block long, codes binary, counts binary"
+
+
+def _block(n: int) -> int:
+    """How many words' bigrams with n classes a task holds at once."""
+    return max(1, (1 << 18) // (2 * n + 1))
+
+
+def _beside(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all values of a list column that are not negative."""
+    i, v = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
+    return i[v >= 0], v[v >= 0]
+
+
+class Clustering:
+    """Exchange in rounds over all words seen more than once, beginning with seeds exchanged on the driver.
+
+    Classes of the frequent words are broadcast, by place in falling order of count; END and a place for all other
+    tokens follow. The other words are rows of ``words``, with the places beside each occurrence, -1 where that is
+    no frequent word either: such neighbours meet their classes by a join (``pairs``). In the first round all
+    words leave the rare class under the seeds' classes; in each later one half of the words may move. A round that
+    lowers the likelihood is undone and is the last."""
+
+    def __init__(self, docs: DataFrame, keys: np.ndarray, clustered: int, classes: int, rounds: int):
+        self.spark, self.docs, self.classes, self.n, self.rare = docs.sparkSession, docs.select("text"), classes, classes + 2, classes + 1
+        self.end, self.rest, self.keys = len(keys), len(keys) + 1, keys
+        own, place = np.append(keys, END), np.arange(len(keys) + 1)
+        by_key = np.argsort(own)
+        self.sent = self.spark.sparkContext.broadcast((own[by_key], place[by_key]))
+        self.of = np.append(np.full(len(keys), self.rare), [classes, self.rare])
+        self.of[:clustered] = self.seeds(clustered)
+        self.words, self.pairs = self.others(clustered < classes)
+        known = None
+        for k in range(rounds + 1):
+            scanned = stored(self.docs.mapInArrow(self.scan(k < rounds), _PACKED), "bigrams")
+            pairs = stored(self.resolved(), "resolved")
+            m = self.totals(scanned, pairs)
+            if k > 1 and likelihood(m) < likelihood(known[0]):
+                self.m, self.of, self.words = known
+                return
+            self.m = m
+            known = m, self.of, self.words
+            if k < rounds:
+                self.of, self.words = self.moved_frequent(scanned, k), self.moved_others(pairs, k)
+            forget(scanned)
+            forget(pairs)
+
+    def placed(self):
+        """For a task: tokens of each slice, their places, and the places before them."""
+        sent, rest, end = self.sent, self.rest, self.end
+
+        def read(batches):
+            own, place = sent.value
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    tokens, _ = tokens_of(batch.column("text"))
+                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                    u = np.where(own[at] == tokens, place[at], rest)
+                    # every text follows an end
+                    yield tokens, u, np.concatenate([[end], u[:-1]])
+
+        return read
+
+    def seeds(self, clustered: int) -> np.ndarray:
+        units, read, end = clustered + 2, self.placed(), self.end
+
+        def bigrams(batches):
+            found = np.zeros(units * units, np.int64)
+            unit = lambda u: np.where(u < clustered, u, np.where(u == end, clustered, clustered + 1))
+            for _, u, before in read(batches):
+                found += np.bincount(unit(before) * units + unit(u), minlength=len(found))
+            some = np.flatnonzero(found)
+            yield from _rows(some, found[some])
+
+        # at most units ** 2 rows
+        pairs = self.docs.mapInArrow(bigrams, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
+        matrix = np.zeros(units * units, np.int64)
+        matrix[pairs.column("key").to_numpy()] = pairs.column("c").to_numpy()
+        return exchange(matrix.reshape(units, units), clustered, min(self.classes, max(clustered, 1)))[:clustered]
+
+    def others(self, spread: bool) -> tuple[DataFrame, DataFrame]:
+        read, rest = self.placed(), self.rest
+
+        def occurrences(batches):
+            for tokens, u, before in read(batches):
+                at = np.flatnonzero(u == rest)
+                after = u[np.minimum(at + 1, len(u) - 1)]  # an end follows at least
+                beside = lambda x: pa.array(np.where(x == rest, -1, x).astype(np.int32))
+                again = before[at] == rest
+                key = pa.array(tokens[np.where(again, at - 1, 0)], mask=~again)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), beside(before[at]), beside(after), key], ["key", "l", "r", "before"])
+
+        found = stored(self.docs.mapInArrow(occurrences, "key long, l int, r int, before long"), "occurrences")
+        words = found.groupBy("key").agg(F.count("*").alias("c"), F.collect_list("l").alias("l"), F.collect_list("r").alias("r")).where("c > 1")
+        of = F.pmod("key", F.lit(self.classes)) if spread else F.lit(self.rare)  # without enough seeds
+        words = stored(words.select("key", "c", of.cast("long").alias("of"), "l", "r"), "words")
+        pairs = stored(found.where("before is not null").select(F.col("before").alias("a"), F.col("key").alias("b")), "pairs")
+        forget(found)
+        return words, pairs
+
+    def resolved(self) -> DataFrame:
+        """a, b, a_of and b_of of the bigrams of two words that are not frequent."""
+        a, b = (self.words.select(F.col("key").alias(x), F.col("of").alias(f"{x}_of")) for x in "ab")
+        both = self.pairs.join(a, "a", "left").join(b, "b", "left")
+        return both.select("a", "b", *(F.coalesce(x, F.lit(self.rare)).cast("long").alias(x) for x in ("a_of", "b_of")))
+
+    def scan(self, words: bool):
+        """Packed bigrams of classes (block -1) and, if asked for, of frequent words with classes."""
+        read, sent, n, end = self.placed(), self.spark.sparkContext.broadcast(self.of), self.n, self.end
+        width, size = 2 * n + 1, _block(n) * (2 * n + 1)
+
+        def counted(batches):
+            m, codes = np.zeros(n * n, np.int64), []
+            of = sent.value
+            for _, u, before in read(batches):
+                m += np.bincount(of[before] * n + of[u], minlength=n * n)
+                if words:
+                    same = before == u
+                    codes.append((before * width + np.where(same, 2 * n, of[u]))[before < end])
+                    codes.append((u * width + n + of[before])[(u < end) & ~same])
+                    if sum(map(len, codes)) > 2 * _HOLD:
+                        yield from _packed(*np.unique(np.concatenate(codes), return_counts=True), 0, size)
+                        codes = []
+            if codes:
+                yield from _packed(*np.unique(np.concatenate(codes), return_counts=True), 0, size)
+            yield from _packed(np.flatnonzero(m), m[m > 0], -1, n * n)
+
+        return counted
+
+    def totals(self, scanned: DataFrame, pairs: DataFrame) -> np.ndarray:
+        """The bigrams of all classes: as scanned, with the words of ``words`` moved from the rare class to theirs."""
+        n, rare, sent = self.n, self.rare, self.spark.sparkContext.broadcast(self.of)
+
+        def unpacked(batches):
+            m = np.zeros(n * n, np.int64)
+            for batch in batches:
+                for x, y in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    at, c = _unpacked(x, y)
+                    m[at] += c
+            yield from _rows(np.flatnonzero(m), m[m != 0])
+
+        def moved(batches):
+            m = np.zeros(n * n, np.int64)
+            for batch in batches:
+                own = batch.column("of").to_numpy()
+                (i, l), (j, r) = _beside(batch.column("l")), _beside(batch.column("r"))
+                l, r = sent.value[l], sent.value[r]
+                m += np.bincount(l * n + own[i], minlength=n * n) - np.bincount(l * n + rare, minlength=n * n)
+                m += np.bincount(own[j] * n + r, minlength=n * n) - np.bincount(rare * n + r, minlength=n * n)
+            yield from _rows(np.flatnonzero(m), m[m != 0])
+
+        of_pair = F.col("a_of") * n + F.col("b_of")
+        met = pairs.groupBy(of_pair.alias("key")).agg(F.count("*").alias("c"))
+        back = pairs.agg(F.lit(rare * n + rare).cast("long").alias("key"), (-F.count("*")).alias("c"))
+        rows = scanned.where("block < 0").mapInArrow(unpacked, "key long, c long")
+        rows = rows.unionByName(self.words.select("of", "l", "r").mapInArrow(moved, "key long, c long")).unionByName(met).unionByName(back)
+        # at most n ** 2 rows
+        found = rows.groupBy("key").agg(F.sum("c").alias("c")).toArrow()
+        m = np.zeros(n * n, np.int64)
+        m[found.column("key").to_numpy()] = found.column("c").to_numpy()
+        return m.reshape(n, n)
+
+    def moved_frequent(self, scanned: DataFrame, k: int) -> np.ndarray:
+        n, rare, classes, end, keys = self.n, self.rare, self.classes, self.end, self.keys
+        width, block = 2 * n + 1, _block(n)
+        sent = self.spark.sparkContext.broadcast((self.of, self.m, keys))
+
+        def from_words(batches):
+            of = sent.value[0]
+            codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for batch in batches:
+                own = batch.column("of").to_numpy()
+                for column, side in (("l", 0), ("r", n)):
+                    i, v = _beside(batch.column(column))
+                    i, v = i[v < end], v[v < end]
+                    codes += [v * width + side + own[i], v * width + side + rare]
+                    counts += [np.ones(len(v)), -np.ones(len(v))]
+                if sum(map(len, codes)) > _HOLD:
+                    yield from _packed(*merged(codes, counts), 0, block * width)
+                    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            yield from _packed(*merged(codes, counts), 0, block * width)
+
+        def choose(batches):
+            of, m, own_keys = sent.value
+            at, stat = None, None
+
+            def chosen():
+                w = np.arange(at * block, min((at + 1) * block, end))
+                new = best_classes(stat.reshape(block, width)[: len(w)], of[w], m, classes)
+                new = np.where((of[w] < classes) & ((own_keys[w] & 1) != k % 2), of[w], new)
+                return pa.RecordBatch.from_arrays([pa.array(w), pa.array(new)], ["place", "of"])
+
+            for batch in batches:
+                for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("block", "codes", "counts")), strict=True):
+                    if b != at:
+                        if at is not None:
+                            yield chosen()
+                        at, stat = b, np.zeros(block * width, np.int64)
+                    code, c = _unpacked(x, y)
+                    stat[code] += c
+            if at is not None:
+                yield chosen()
+
+        rows = scanned.where("block >= 0").unionByName(self.words.where(F.col("of") != rare).select("of", "l", "r").mapInArrow(from_words, _PACKED))
+        # at most a row for each frequent word
+        found = rows.repartition(parts(self.spark), "block").sortWithinPartitions("block").mapInArrow(choose, "place long, of long").toArrow()
+        new = self.of.copy()
+        new[found.column("place").to_numpy()] = found.column("of").to_numpy()
+        return new
+
+    def moved_others(self, pairs: DataFrame, k: int) -> DataFrame:
+        n, classes = self.n, self.classes
+        width = 2 * n + 1
+        sent = self.spark.sparkContext.broadcast((self.of, self.m))
+
+        def choose(batches):
+            of, m = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    own, keys = batch.column("of").to_numpy(), batch.column("key").to_numpy()
+                    codes = []
+                    for column, cell in (("l", lambda v: n + of[v]), ("r", lambda v: of[v]), ("cells", lambda v: v)):
+                        i, v = _beside(batch.column(column))
+                        codes.append(i * width + cell(v))
+                    stat = np.bincount(np.concatenate(codes), minlength=len(own) * width).reshape(-1, width)
+                    new = best_classes(stat, own, m, classes)
+                    new = np.where((own < classes) & ((keys & 1) != k % 2), own, new)
+                    yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(new), batch.column("l"), batch.column("r")], ["key", "c", "of", "l", "r"])
+
+        same = F.col("a") == F.col("b")
+        cells = pairs.select(F.col("a").alias("key"), F.when(same, F.lit(2 * n)).otherwise(F.col("b_of")).cast("int").alias("cell"))
+        cells = cells.unionByName(pairs.where(~same).select(F.col("b").alias("key"), (F.col("a_of") + n).cast("int").alias("cell")))
+        cells = cells.groupBy("key").agg(F.collect_list("cell").alias("cells"))
+        words = self.words.join(cells, "key", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<int>")))
+        return stored(words.select("key", "c", "of", "l", "r", "cells").mapInArrow(choose, self.words.schema), "words")
+
+
 class Model:
     """What executors need: sorted frequent keys with count, class and log emission; log class transitions."""
 
-    def __init__(self, keys, counts, unit, of, pairs, total, distinct, prior=10.0):
+    def __init__(self, keys, counts, unit, of, pairs, total, distinct, prior=10.0, whole=False):
         self.keys, self.counts = keys, counts
         n = int(of.max()) + 1
         joined = np.zeros((n, n))
         np.add.at(joined, (of[:, None], of[None, :]), pairs)
         self.of_word, self.rare = of[unit].astype(np.int32), int(of[-1])
-        mass = np.bincount(self.of_word, counts, n)
+        # whole: classes hold other words beside ``keys``, and the rare class words seen once
+        mass = joined.sum(0) if whole else np.bincount(self.of_word, counts, n)
+        self.mass_log = np.log10(np.maximum(mass, 1))
         self.emission = np.log10(counts / mass[self.of_word]) if len(counts) else np.zeros(0)
         #: a rare word's emission is log10(c + 1) less this
-        self.rare_log = math.log10(total - counts.sum() + distinct - len(keys) + 1)
+        self.rare_log = math.log10(2 * mass[-1] + 1 if whole else total - counts.sum() + distinct - len(keys) + 1)
         seen = joined.sum(0)
         back_off = (seen + 1) / (seen.sum() + n)
         self.transition = np.log10((joined + prior * back_off) / (joined.sum(1, keepdims=True) + prior))
@@ -139,59 +447,42 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, counts: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int = 48) -> tuple[Model, int]:
-    """The model, and the number of training tokens. ``frequent`` bounds what the driver and a broadcast hold."""
+def classes_for(words: int) -> int:
+    """How many classes that many words get: 20 for 20,000, 71 for 1.5 million."""
+    return max(2, round(words**0.3))
+
+
+def train(docs: DataFrame, counts: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int | None = None, rounds: int = 2) -> tuple[Model, DataFrame, int]:
+    """The model, the other words seen more than once (key, c, of), and the number of training tokens.
+
+    ``frequent`` bounds what the driver and a broadcast hold, and ``clustered`` the words whose classes seed the
+    rounds; neither bounds what is clustered. The number of classes follows the vocabulary unless given."""
     spark = ship(docs.sparkSession)
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+    total, distinct, more = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") > 1)).first())
+    classes = classes or classes_for(more)
     level = F.floor(F.log2("c") * 8).cast("int")
-    often = counts.where("c > 1")  # words seen once stand for the unseen ones in the rare class
+    often = counts.where((F.col("c") > 1) & (F.col("key") != END))  # words seen once stand for the unseen ones in the rare class
     held, least = 0, None
     for r in often.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # at most 8 * 63 rows
         held += r["count"]
         if held > frequent:
             break
         least = r["level"]
-    top = counts.where(((level >= least) & (F.col("c") > 1)) | (F.col("key") == END)) if least is not None else counts.where(F.col("key") == END)
-    top = top.toArrow()
+    top = (often.where(level >= least) if least is not None else often.limit(0)).toArrow()
     keys, n = top.column("key").to_numpy(), top.column("c").to_numpy()
-    order = np.lexsort((keys, -n, keys != END))  # END first, then by falling count
-    words = order[1:] if len(order) and keys[order[0]] == END else order
-    clustered = min(clustered, len(words))
-    # units: clustered words, count bands of the other frequent words, END, and last the rare words
-    band = np.floor(np.log2(np.maximum(n, 1))).astype(int)
-    bands = {b: i for i, b in enumerate(sorted(set(band[words[clustered:]].tolist())))}
-    unit = np.zeros(len(keys), np.int64)
-    unit[words[:clustered]] = np.arange(clustered)
-    unit[words[clustered:]] = [clustered + bands[b] for b in band[words[clustered:]].tolist()]
-    end, units = clustered + len(bands), clustered + len(bands) + 2
-    unit[keys == END] = end
+    order = np.lexsort((keys, -n))
+    keys, n = keys[order], n[order]
+    made = Clustering(docs, keys, min(clustered, len(keys)), classes, rounds)
+    of = made.of[: len(keys)]
+    if total:
+        ends = int(made.m.sum(0)[classes])
+        keys, n, of = np.append(keys, END), np.append(n, ends), np.append(of, classes)
     by_key = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[by_key], unit[by_key]))
+    model = Model(keys[by_key], n[by_key].astype(float), of[by_key].astype(int), np.arange(made.n), made.m, total, distinct, whole=True)
+    return model, made.words.select("key", "c", "of"), total
 
-    def bigrams(batches):
-        own, unit_of = sent.value
-        found = np.zeros(units * units, np.int64)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                tokens, _ = tokens_of(batch.column("text"))
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                    u = np.where(own[at] == tokens, unit_of[at], units - 1)
-                    # every text follows an end
-                    found += np.bincount(np.concatenate([[end], u[:-1]]) * units + u, minlength=len(found))
-        some = np.flatnonzero(found)
-        yield from _rows(some, found[some])
-
-    # at most units ** 2 rows
-    pairs = docs.select("text").mapInArrow(bigrams, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
-    matrix = np.zeros(units * units, np.int64)
-    matrix[pairs.column("key").to_numpy()] = pairs.column("c").to_numpy()
-    matrix = matrix.reshape(units, units)
-    of = exchange(matrix, clustered, min(classes, max(clustered, 1)))
-    return Model(keys[by_key], n[by_key].astype(float), unit[by_key], of, matrix, total, distinct), total
 
-
-def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int = 48) -> DataFrame:
+def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int | None = None, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row.
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2. Tokens are the lower-cased (A-Z) words
@@ -206,7 +497,7 @@ def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classe
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     learned = docs.where("not held_out")
     counts = stored(count_words(learned), "counts")
-    model, total = train(learned, counts, frequent, clustered, classes)
+    model, others, total = train(learned, counts, frequent, clustered, classes, rounds)
     sent = spark.sparkContext.broadcast(model)
 
     def one_by_one(batches):
@@ -219,30 +510,52 @@ def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classe
                 c = np.where(known, m.of_word[at], m.rare) if len(m.keys) else np.full(len(tokens), m.rare)
                 before = np.concatenate([[first], c[:-1]])
                 before[begin[:-1]] = first
-                log = m.transition[before, c]
+                # tokens that are not frequent meet their classes later, and their transitions with them
+                late = np.append(False, ~known[:-1])
+                late[begin[:-1]] = False
+                log = np.where(known & ~late, m.transition[before, c], 0)
                 base = np.zeros(len(tokens))
                 if len(m.keys):
-                    log = log + np.where(known, m.emission[at], -m.rare_log)
+                    log = log + np.where(known, m.emission[at], 0)
                     base = np.where(known, np.log10(m.counts[at] + 1), 0)
-                else:
-                    log = log - m.rare_log
                 s = begin[:-1]
                 rare = ~known
                 offsets = np.concatenate([[0], np.cumsum(rare)])[begin].astype(np.int32)
                 n = np.diff(begin)
+                # place, class before and after, each plus one and 0 if that is late too; nothing follows an end
+                after = np.append(c[1:], 0)
+                after = np.where(np.append(known[1:], False), after + 1, 0)
+                after[begin[1:] - 1] = 0
+                place = np.arange(len(tokens)) - np.repeat(s, n)
+                info = (place << 32) | (np.where(late, 0, before + 1) << 16) | after
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), s)), pa.array(np.add.reduceat(base, s) - n * m.base_log), pa.array(np.add.reduceat(log, s)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rare]))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), s)), pa.array(np.add.reduceat(base, s) - n * m.base_log), pa.array(np.add.reduceat(log, s)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rare])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(info[rare]))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "info"],
                 )
 
-    scored = docs.mapInArrow(one_by_one, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    scored = docs.mapInArrow(one_by_one, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, info array<long>")
     # numbered once, as written
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts, "key")
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("log"))
-    out = scored.drop("rare").join(rare, "row", "left")
-    log = F.coalesce("log", F.lit(0.0))
-    out = out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + log).alias("base_score"), (F.col("score") + log).alias("score")
-    )
+    single = counts.where((F.col("c") == 1) & (F.col("key") != END)).select("key", "c", F.lit(model.rare).cast("long").alias("of"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "info")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.info").alias("info"))
+    rare = rare.join(others.unionByName(single), "key", "left").select("row", F.struct("info", F.coalesce("of", F.lit(model.rare)).cast("int").alias("of"), F.coalesce("c", F.lit(0)).alias("c")).alias("x"))
+    rare = rare.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    out = scored.drop("rare", "info").join(rare, "row", "left").drop("row").withColumn("x", F.coalesce("x", F.array().cast("array<struct<info:bigint,of:int,c:bigint>>")))
+
+    def late_ones(batches):
+        m = sent.value
+        for batch in batches:
+            x = batch.column("x")
+            i, (info, of, c) = np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), (v.to_numpy() for v in x.flatten().flatten())
+            before, after = (info >> 16) & 0xFFFF, info & 0xFFFF
+            before = np.where(before > 0, before - 1, np.append(0, of[:-1]))
+            log = m.transition[before, of] + np.where(after > 0, m.transition[of, np.maximum(after - 1, 0)], 0)
+            log += np.where(of == m.rare, np.log10(c + 1) - m.rare_log, np.log10(np.maximum(c, 1)) - m.mass_log[of])
+            add = lambda name, v: pa.array(batch.column(name).to_numpy() + np.bincount(i, v, len(x)).astype(v.dtype))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), add("n_known", (c > 0).astype(np.int64)), add("base_score", np.log10(c + 1.0)), add("score", log)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+            )
+
+    out = out.mapInArrow(late_ones, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -93,3 +93,42 @@ def test_empty_and_untrained(spark):
     held = next(d for d in range(100) if is_held(d))
     r = brown_lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_best_class_is_that_of_greatest_likelihood():
+    rng = np.random.default_rng(1)
+    pairs = rng.poisson(rng.gamma(0.3, 4, (26, 26)))
+    more = pairs.sum(1) - pairs.sum(0)  # as many bigrams from a unit as to it
+    pairs[25] += np.maximum(more, 0)
+    pairs[:, 25] += np.maximum(-more, 0)
+    of = np.append(np.arange(24) % 6, [6, 7])
+    of[20:24] = 7
+    hot = np.eye(8, dtype=int)[of]
+    out, in_ = (pairs - np.diag(np.diag(pairs))) @ hot, (pairs - np.diag(np.diag(pairs))).T @ hot
+    stat = np.concatenate([out, in_, np.diag(pairs)[:, None]], 1)
+    got = brown_lm.best_classes(stat[:24], of[:24], hot.T @ pairs @ hot, 6)
+
+    def with_class(w, k):
+        h = np.eye(8, dtype=int)[np.where(np.arange(26) == w, k, of)]
+        return brown_lm.likelihood(h.T @ pairs @ h)
+
+    assert got.tolist() == [int(np.argmax([with_class(w, k) for k in range(6)])) for w in range(24)]
+
+
+def test_all_words_seen_twice_are_clustered(spark):
+    """Rare words get classes by their context, and the same whether broadcast or joined."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for d in range(600):
+        x = []
+        for _ in range(20):
+            x += [f"n{rng.zipf(1.3) % 5 if rng.random() < 0.7 else rng.integers(5, 400)}", f"v{rng.zipf(1.3) % 5 if rng.random() < 0.7 else rng.integers(5, 400)}"]
+        rows.append((d, " ".join([*x, *(["n1 n1"] * (d % 5 == 0))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = docs.where(~brown_lm.held_out())
+    model, others, _ = brown_lm.train(learned, brown_lm.count_words(learned), frequent=30, clustered=10, classes=2)
+    name = {int(k): w for w in {w for _, t in rows for w in t.split()} for k in brown_lm.tokens_of(brown_lm.pa.array([w]))[0][:1]}
+    found = Counter((name[r["key"]][0], r["of"]) for r in others.collect())
+    assert sum(found.values()) > 600 and max(found["n", 0], found["n", 1]) + max(found["v", 0], found["v", 1]) > 0.95 * sum(found.values())
+    scores = [sorted((r["doc_id"], round(r["score"], 6)) for r in brown_lm.score(docs, frequent=f, clustered=10, classes=2).collect()) for f in (1 << 17, 30)]
+    assert scores[0] == scores[1]
