@@ -10,6 +10,7 @@ Words seen once and unknown ones share a class, and the end of a text has its ow
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,54 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def _texts_of(column: pa.Array, dtype: str) -> np.ndarray:
+    """The numbers of all values of a binary column on end."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    size = np.dtype(dtype).itemsize
+    if column.buffers()[2] is None:
+        return np.zeros(0, dtype)
+    return np.frombuffer(column.buffers()[2], dtype, (offsets[-1] - offsets[0]) // size, offsets[0])
+
+
+def _binary(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """A binary column whose values are values[begin[i]:begin[i + 1]]."""
+    offsets = (begin * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def code_texts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """doc_id, held_out, low, high and rare of each text, stored: its tokens by their places in ``keys``.
+
+    END has the place after the last key and every other token the one after that, its own key being in ``rare``.
+    low and high are the 16 low bits and the byte above them. All later passes read these instead of texts."""
+    own = np.append(keys, END)
+    order = np.argsort(own)
+    sent, rest = docs.sparkSession.sparkContext.broadcast((own[order], order)), len(own)
+
+    def code(batches):
+        sorted_, place = sent.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                tokens, begin = tokens_of(batch.column("text"))
+                at = np.minimum(np.searchsorted(sorted_, tokens), len(sorted_) - 1)
+                u = np.where(sorted_[at] == tokens, place[at], rest)
+                rare = u == rest
+                first = np.concatenate([[0], np.cumsum(rare)])[begin]
+                columns = [_binary(u.astype("<u2"), begin), _binary((u >> 16).astype(np.uint8), begin), _binary(tokens[rare], first)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "low", "high", "rare"])
+
+    return stored(docs.select("doc_id", "held_out", "text").mapInArrow(code, "doc_id long, held_out boolean, low binary, high binary, rare binary"), "coded")
+
+
+def places(batch: pa.RecordBatch) -> np.ndarray:
+    return _texts_of(batch.column("low"), "<u2").astype(np.int64) | (_texts_of(batch.column("high"), "u1").astype(np.int64) << 16)
+
+
+#: Bytes of ``low`` that are read at once.
+_PIECE = 1 << 20
+
+
 def exchange(pairs: np.ndarray, clustered: int, classes: int, sweeps: int = 6) -> np.ndarray:
     """Classes of the units of a bigram matrix by greedy exchange, maximising class bigram likelihood.
 
@@ -201,15 +250,12 @@ class Clustering:
     words leave the rare class under the seeds' classes; in each later one half of the words may move. A round that
     lowers the likelihood is undone and is the last."""
 
-    def __init__(self, docs: DataFrame, keys: np.ndarray, clustered: int, classes: int, rounds: int):
-        self.spark, self.docs, self.classes, self.n, self.rare = docs.sparkSession, docs.select("text"), classes, classes + 2, classes + 1
+    def __init__(self, coded: DataFrame, keys: np.ndarray, clustered: int, classes: int, rounds: int):
+        self.spark, self.docs, self.classes, self.n, self.rare = coded.sparkSession, coded.select("low", "high"), classes, classes + 2, classes + 1
         self.end, self.rest, self.keys = len(keys), len(keys) + 1, keys
-        own, place = np.append(keys, END), np.arange(len(keys) + 1)
-        by_key = np.argsort(own)
-        self.sent = self.spark.sparkContext.broadcast((own[by_key], place[by_key]))
         self.of = np.append(np.full(len(keys), self.rare), [classes, self.rare])
         self.of[:clustered] = self.seeds(clustered)
-        self.words, self.pairs = self.others(clustered < classes)
+        self.words, self.pairs = self.others(coded.select("low", "high", "rare"), clustered < classes)
         known = None
         for k in range(rounds + 1):
             scanned = stored(self.docs.mapInArrow(self.scan(k < rounds), _PACKED), "bigrams")
@@ -226,18 +272,15 @@ class Clustering:
             forget(pairs)
 
     def placed(self):
-        """For a task: tokens of each slice, their places, and the places before them."""
-        sent, rest, end = self.sent, self.rest, self.end
+        """For a task: each piece's batch, the places of its tokens and the places before them."""
+        end = self.end
 
         def read(batches):
-            own, place = sent.value
             for whole in batches:
-                for batch in slices(whole, "text"):
-                    tokens, _ = tokens_of(batch.column("text"))
-                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                    u = np.where(own[at] == tokens, place[at], rest)
+                for batch in slices(whole, "low", _PIECE):
+                    u = places(batch)
                     # every text follows an end
-                    yield tokens, u, np.concatenate([[end], u[:-1]])
+                    yield batch, u, np.concatenate([[end], u[:-1]])
 
         return read
 
@@ -258,19 +301,19 @@ class Clustering:
         matrix[pairs.column("key").to_numpy()] = pairs.column("c").to_numpy()
         return exchange(matrix.reshape(units, units), clustered, min(self.classes, max(clustered, 1)))[:clustered]
 
-    def others(self, spread: bool) -> tuple[DataFrame, DataFrame]:
+    def others(self, docs: DataFrame, spread: bool) -> tuple[DataFrame, DataFrame]:
         read, rest = self.placed(), self.rest
 
         def occurrences(batches):
-            for tokens, u, before in read(batches):
-                at = np.flatnonzero(u == rest)
+            for batch, u, before in read(batches):
+                at, tokens = np.flatnonzero(u == rest), _texts_of(batch.column("rare"), "<i8")
                 after = u[np.minimum(at + 1, len(u) - 1)]  # an end follows at least
                 beside = lambda x: pa.array(np.where(x == rest, -1, x).astype(np.int32))
                 again = before[at] == rest
-                key = pa.array(tokens[np.where(again, at - 1, 0)], mask=~again)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), beside(before[at]), beside(after), key], ["key", "l", "r", "before"])
+                key = pa.array(np.roll(tokens, 1), mask=~again)  # the one before is a rare token too
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), beside(before[at]), beside(after), key], ["key", "l", "r", "before"])
 
-        found = stored(self.docs.mapInArrow(occurrences, "key long, l int, r int, before long"), "occurrences")
+        found = stored(docs.mapInArrow(occurrences, "key long, l int, r int, before long"), "occurrences")
         words = found.groupBy("key").agg(F.count("*").alias("c"), F.collect_list("l").alias("l"), F.collect_list("r").alias("r")).where("c > 1")
         of = F.pmod("key", F.lit(self.classes)) if spread else F.lit(self.rare)  # without enough seeds
         words = stored(words.select("key", "c", of.cast("long").alias("of"), "l", "r"), "words")
@@ -417,31 +460,20 @@ class Clustering:
 
 
 class Model:
-    """What executors need: sorted frequent keys with count, class and log emission; log class transitions."""
-
-    def __init__(self, keys, counts, unit, of, pairs, total, distinct, prior=10.0, whole=False):
-        self.keys, self.counts = keys, counts
-        n = int(of.max()) + 1
-        joined = np.zeros((n, n))
-        np.add.at(joined, (of[:, None], of[None, :]), pairs)
-        self.of_word, self.rare = of[unit].astype(np.int32), int(of[-1])
-        # whole: classes hold other words beside ``keys``, and the rare class words seen once
-        mass = joined.sum(0) if whole else np.bincount(self.of_word, counts, n)
-        self.mass_log = np.log10(np.maximum(mass, 1))
-        self.emission = np.log10(counts / mass[self.of_word]) if len(counts) else np.zeros(0)
-        #: a rare word's emission is log10(c + 1) less this
-        self.rare_log = math.log10(2 * mass[-1] + 1 if whole else total - counts.sum() + distinct - len(keys) + 1)
-        seen = joined.sum(0)
-        back_off = (seen + 1) / (seen.sum() + n)
-        self.transition = np.log10((joined + prior * back_off) / (joined.sum(1, keepdims=True) + prior))
+    """What executors need, by place: counts, classes and log emissions of frequent words and END; log class transitions."""
+
+    def __init__(self, counts: np.ndarray, of: np.ndarray, m: np.ndarray, total: int, distinct: int, prior: float = 10.0):
+        self.counts, self.of, self.rest, self.rare = counts.astype(float), of.astype(np.int64), len(counts), len(m) - 1
+        m = m.astype(float)
+        seen = m.sum(0)  # every token follows another or an end
+        self.mass_log = np.log10(np.maximum(seen, 1))
+        self.emission = np.log10(np.maximum(self.counts, 1)) - self.mass_log[self.of]
+        #: the rare class has the words seen once and one unknown word: a word's emission is log10(c + 1) less this
+        self.rare_log = math.log10(2 * seen[self.rare] + 1)
+        back_off = (seen + 1) / (seen.sum() + len(m))
+        self.transition = np.log10((m + prior * back_off) / (m.sum(1, keepdims=True) + prior))
         self.base_log = math.log10(total + distinct + 1)
 
-    def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return at, self.keys[at] == tokens
-
 
 def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
@@ -452,12 +484,26 @@ def classes_for(words: int) -> int:
     return max(2, round(words**0.3))
 
 
-def train(docs: DataFrame, counts: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int | None = None, rounds: int = 2) -> tuple[Model, DataFrame, int]:
-    """The model, the other words seen more than once (key, c, of), and the number of training tokens.
+class Trained(NamedTuple):
+    model: Model
+    #: the frequent words, by place
+    keys: np.ndarray
+    #: all texts, see :func:`code_texts`
+    coded: DataFrame
+    #: all other words: key, c, of
+    others: DataFrame
+    #: number of training tokens
+    total: int
+
 
+def train(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int | None = None, rounds: int = 2) -> Trained:
+    """Learn a model and code the texts.
+
+    ``docs`` has doc_id, held_out and text; rows that are not held out are learned from, all are coded.
     ``frequent`` bounds what the driver and a broadcast hold, and ``clustered`` the words whose classes seed the
     rounds; neither bounds what is clustered. The number of classes follows the vocabulary unless given."""
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
+    counts = stored(count_words(docs.where("not held_out")), "counts")
     total, distinct, more = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") > 1)).first())
     classes = classes or classes_for(more)
     level = F.floor(F.log2("c") * 8).cast("int")
@@ -472,14 +518,11 @@ def train(docs: DataFrame, counts: DataFrame, frequent: int = 1 << 17, clustered
     keys, n = top.column("key").to_numpy(), top.column("c").to_numpy()
     order = np.lexsort((keys, -n))
     keys, n = keys[order], n[order]
-    made = Clustering(docs, keys, min(clustered, len(keys)), classes, rounds)
-    of = made.of[: len(keys)]
-    if total:
-        ends = int(made.m.sum(0)[classes])
-        keys, n, of = np.append(keys, END), np.append(n, ends), np.append(of, classes)
-    by_key = np.argsort(keys)
-    model = Model(keys[by_key], n[by_key].astype(float), of[by_key].astype(int), np.arange(made.n), made.m, total, distinct, whole=True)
-    return model, made.words.select("key", "c", "of"), total
+    coded = code_texts(docs, keys)
+    made = Clustering(coded.where("not held_out"), keys, min(clustered, len(keys)), classes, rounds)
+    model = Model(np.append(n, made.m.sum(0)[classes]), made.of[: len(keys) + 1], made.m, total, distinct)
+    single = counts.where((F.col("c") == 1) & (F.col("key") != END)).select("key", "c", F.lit(model.rare).cast("long").alias("of"))
+    return Trained(model, keys, coded, made.words.select("key", "c", "of").unionByName(single), total)
 
 
 def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classes: int | None = None, rounds: int = 2) -> DataFrame:
@@ -491,54 +534,47 @@ def score(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classe
 
     Null and empty texts are an end only. A null doc_id is learned from. Rows are scored one by one whatever
     their doc_id. Without training rows every word is unknown: N and V are 0. An empty table gives an empty
-    result.
+    result. Ties between classes go to the lower number, so reruns agree.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    learned = docs.where("not held_out")
-    counts = stored(count_words(learned), "counts")
-    model, others, total = train(learned, counts, frequent, clustered, classes, rounds)
+    model, _, coded, others, total = train(docs, frequent, clustered, classes, rounds)
     sent = spark.sparkContext.broadcast(model)
 
     def one_by_one(batches):
         m = sent.value
-        first = int(m.of_word[m.keys == END][0]) if (m.keys == END).any() else m.rare
+        of, counts, emission = np.append(m.of, m.rare), np.append(m.counts, 0), np.append(m.emission, 0)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                tokens, begin = tokens_of(batch.column("text"))
-                at, known = m.look_up(tokens)
-                c = np.where(known, m.of_word[at], m.rare) if len(m.keys) else np.full(len(tokens), m.rare)
-                before = np.concatenate([[first], c[:-1]])
-                before[begin[:-1]] = first
+            for batch in slices(whole, "low", _PIECE):
+                u = places(batch)
+                n = np.diff(np.append(-1, np.flatnonzero(u == m.rest - 1)))
+                s = np.cumsum(n) - n
+                known = u < m.rest
+                c = of[u]
+                before = np.concatenate([[of[m.rest - 1]], c[:-1]])  # a text follows an end
                 # tokens that are not frequent meet their classes later, and their transitions with them
                 late = np.append(False, ~known[:-1])
-                late[begin[:-1]] = False
-                log = np.where(known & ~late, m.transition[before, c], 0)
-                base = np.zeros(len(tokens))
-                if len(m.keys):
-                    log = log + np.where(known, m.emission[at], 0)
-                    base = np.where(known, np.log10(m.counts[at] + 1), 0)
-                s = begin[:-1]
-                rare = ~known
-                offsets = np.concatenate([[0], np.cumsum(rare)])[begin].astype(np.int32)
-                n = np.diff(begin)
-                # place, class before and after, each plus one and 0 if that is late too; nothing follows an end
-                after = np.append(c[1:], 0)
-                after = np.where(np.append(known[1:], False), after + 1, 0)
-                after[begin[1:] - 1] = 0
-                place = np.arange(len(tokens)) - np.repeat(s, n)
-                info = (place << 32) | (np.where(late, 0, before + 1) << 16) | after
+                log = np.where(known & ~late, m.transition[before, c], 0) + emission[u]
+                base = np.log10(counts + 1)[u]
+                offsets = np.append(0, np.cumsum(~known))[np.append(s, len(u))].astype(np.int32)
+                # place, class before and after, each plus one and 0 if that is late too
+                at = np.flatnonzero(~known)
+                after = np.where(known[at + 1], c[at + 1] + 1, 0)  # an end follows at least
+                place = at - np.repeat(s, n)[at]
+                info = (place << 32) | (np.where(late[at], 0, before[at] + 1) << 16) | after
+                sums = (np.add.reduceat(x, s) for x in ((counts > 0).astype(np.int64)[u], base, log))
+                n_known, base, log = sums
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), s)), pa.array(np.add.reduceat(base, s) - n * m.base_log), pa.array(np.add.reduceat(log, s)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rare])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(info[rare]))],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(n_known), pa.array(base - n * m.base_log), pa.array(log), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_texts_of(batch.column("rare"), "<i8"))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(info))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "info"],
                 )
 
-    scored = docs.mapInArrow(one_by_one, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, info array<long>")
+    scored = coded.mapInArrow(one_by_one, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, info array<long>")
     # numbered once, as written
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    single = counts.where((F.col("c") == 1) & (F.col("key") != END)).select("key", "c", F.lit(model.rare).cast("long").alias("of"))
+    forget(coded)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "info")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.info").alias("info"))
-    rare = rare.join(others.unionByName(single), "key", "left").select("row", F.struct("info", F.coalesce("of", F.lit(model.rare)).cast("int").alias("of"), F.coalesce("c", F.lit(0)).alias("c")).alias("x"))
+    rare = rare.join(others, "key", "left").select("row", F.struct("info", F.coalesce("of", F.lit(model.rare)).cast("int").alias("of"), F.coalesce("c", F.lit(0)).alias("c")).alias("x"))
     rare = rare.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("x"))
     out = scored.drop("rare", "info").join(rare, "row", "left").drop("row").withColumn("x", F.coalesce("x", F.array().cast("array<struct<info:bigint,of:int,c:bigint>>")))
 

@@ -104,7 +104,7 @@ class Words:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts reach about ``most`` bytes, so that working arrays stay small."""
-    texts = batch.column(column).cast(pa.large_string())
+    texts = batch.column(column).cast(pa.large_binary())
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)

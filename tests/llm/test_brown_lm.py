@@ -50,17 +50,51 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
 
 def test_model_is_a_distribution():
     """Emissions and transitions each sum to one, the rare class with a place for one unknown word."""
-    keys, counts = np.array([brown_lm.END, 5, 6, 7]), np.array([10.0, 40, 30, 20])
-    order = np.argsort(keys)
-    unit = np.array([2, 0, 1, 1])
-    pairs = np.random.default_rng(0).integers(0, 9, (4, 4))
-    m = brown_lm.Model(keys[order], counts[order], unit[order], np.array([0, 1, 2, 3]), pairs, 120, 10)
-    assert np.allclose((10**m.transition).sum(1), 1)
-    assert np.allclose(np.bincount(m.of_word, 10**m.emission)[:3], 1)
-    rare = (1 + np.array([5, 5, 4, 3, 2, 1, 0])) / 10**m.rare_log
+    # places 0, 1 in class 0, 2 in class 1, END in class 2; the rare class 3 has five words seen once
+    counts, of = np.array([30, 10, 20, 10]), np.array([0, 0, 1, 2])
+    m = np.outer([40, 20, 10, 5], [40, 20, 10, 5]) / 75
+    model = brown_lm.Model(counts, of, m, 75, 9)
+    assert np.allclose((10**model.transition).sum(1), 1)
+    assert np.allclose(np.bincount(of, 10**model.emission), 1)
+    rare = np.array([2, 2, 2, 2, 2, 1]) / 10**model.rare_log
     assert abs(rare.sum() - 1) < 1e-9
 
 
+def test_scores_against_brute_force(spark):
+    """A scorer of its own, from texts and each word's class alone: class bigrams, back-off and emissions counted again."""
+    rows = [*corpus(), (None, "n1 V2é"), (1000, None), (1001, ""), (1002, "x " * 3000), (1003, "never seen before"), (1004, "n1 rare5 n2 rare6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false) held_out", "coalesce(text, '') t").drop("text").withColumnRenamed("t", "text")
+    name = {int(k): w for w in {w for _, x in rows for w in tokens(x) if w} for k in brown_lm.tokens_of(brown_lm.pa.array([w]))[0][:1]}
+    for frequent in (1 << 17, 30, 0):
+        t = brown_lm.train(docs, frequent=frequent, clustered=20, classes=4)
+        of = {name[int(k)]: int(c) for k, c in zip(t.keys, t.model.of, strict=False)} | {name[r["key"]]: r["of"] for r in t.others.collect()}
+        c = Counter(x for d, text in rows if not is_held(d) for x in tokens(text))
+        # 4 classes, the end's and that of words seen once or never
+        own = lambda x: 4 if x is None else of.get(x, 5)  # noqa: B023, E731
+        assert all((own(w) < 4) == (n > 1) for w, n in c.items() if w)
+        mass, m = Counter(), Counter()
+        for d, text in rows:
+            if not is_held(d):
+                seq = [4, *map(own, tokens(text))]
+                mass.update(seq[1:])
+                m.update(zip(seq, seq[1:], strict=False))
+        follow, n = Counter(), sum(mass.values())
+        for (a, _), k in m.items():
+            follow[a] += k
+
+        def score(text):
+            out, before = 0.0, 4
+            for x in tokens(text):
+                k = own(x)  # noqa: B023
+                emission = (c[x] + 1) / (2 * mass[5] + 1) if k == 5 else c[x] / mass[k]  # noqa: B023
+                out += math.log10((m[before, k] + 10 * (mass[k] + 1) / (n + 6)) / (follow[before] + 10) * emission)  # noqa: B023
+                before = k
+            return round(out, 6)
+
+        got = brown_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, clustered=20, classes=4).collect()
+        assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == sorted(((d, score(x)) for d, x in rows), key=str)
+
+
 def test_exchange_finds_the_classes():
     rng = np.random.default_rng(0)
     kind = np.arange(30) % 2
@@ -125,8 +159,7 @@ def test_all_words_seen_twice_are_clustered(spark):
             x += [f"n{rng.zipf(1.3) % 5 if rng.random() < 0.7 else rng.integers(5, 400)}", f"v{rng.zipf(1.3) % 5 if rng.random() < 0.7 else rng.integers(5, 400)}"]
         rows.append((d, " ".join([*x, *(["n1 n1"] * (d % 5 == 0))])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    learned = docs.where(~brown_lm.held_out())
-    model, others, _ = brown_lm.train(learned, brown_lm.count_words(learned), frequent=30, clustered=10, classes=2)
+    others = brown_lm.train(docs.withColumn("held_out", brown_lm.held_out()), frequent=30, clustered=10, classes=2).others.where("c > 1")
     name = {int(k): w for w in {w for _, t in rows for w in t.split()} for k in brown_lm.tokens_of(brown_lm.pa.array([w]))[0][:1]}
     found = Counter((name[r["key"]][0], r["of"]) for r in others.collect())
     assert sum(found.values()) > 600 and max(found["n", 0], found["n", 1]) + max(found["v", 0], found["v", 1]) > 0.95 * sum(found.values())
