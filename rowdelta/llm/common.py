@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (a local session) a temporary folder of this machine is used.
+    Only a local session may lack the setting: it gets a temporary folder of this machine. On a cluster a machine's
+    own folder would lose rows, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rowdelta-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,19 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    _STORED.append(path)
+    if (inner := _SCRATCH.get()) is not None:
+        inner.append(path)
     return out
 
 
-_STORED: list[str] = []
+#: What the innermost ``scratch`` of this thread deletes.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that nothing will read any more."""
-    path = getattr(df, "_stored_at", None)
-    if path in _STORED:
-        _STORED.remove(path)
-        _delete(df.sparkSession, path)
+    _delete(df.sparkSession, df._stored_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -62,13 +66,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Delete at its end what was stored inside: results have to be written before."""
-    mark = len(_STORED)
+    """Delete at its end what this thread stored inside: results have to be written before."""
+    own: list[str] = []
+    token = _SCRATCH.set(own)
     try:
         yield
     finally:
-        while len(_STORED) > mark:
-            _delete(spark, _STORED.pop())
+        _SCRATCH.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def input_bytes(df: DataFrame) -> int:

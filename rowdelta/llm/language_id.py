@@ -2,7 +2,7 @@
 
 Character n-grams are hashed to a fixed number of features. Document frequencies come from all labelled
 training documents; the classifier is fitted by follow-the-regularised-leader with elastic-net penalties on a
-bounded sample of them, and a temperature, fitted on a part of the sample that the classifier has not seen,
+bounded sample of every language's, and a temperature, fitted on a part of the sample that the classifier has not seen,
 calibrates its probabilities. Term frequencies are relative, so a text's logits are the mean of its n-grams'
 weights and a text of any length is scored in one pass.
 """
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowdelta.workers import ship
 
+from .common import forget, free_name, stored
 from .tokens import slices, utf8
 
 BITS, ORDERS, SCALE = 15, (1, 2, 3), 30.0
@@ -135,17 +136,15 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3, least: int = 20, most_features: int = 1 << 24) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, feature weights (with IDF), biases and temperature from labelled ``docs`` (doc_id, text, lang).
 
-    The classifier sees at most ``sample`` documents, those of least hash of doc_id; document frequencies
-    cover all of ``docs``."""
+    The classifier sees a bounded sample: of every language the documents of least hash, an even share of ``sample``
+    but ``least`` at least, the languages taking turns until ``most_features`` distinct features of documents are
+    held. Document frequencies cover all of ``docs``."""
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    order = F.xxhash64("doc_id", F.lit(4))
-    cut = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-
     def features(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -158,8 +157,19 @@ def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> tuple[list[str]
                     x.append((c[some] / max(c.sum(), 1)).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["h", "lang", "at", "x"])
 
-    chosen = docs.select("text", "lang", order.alias("h")).where(F.col("h") <= cut) if cut is not None else docs.select("text", "lang", order.alias("h")).limit(0)
-    found = chosen.mapInArrow(features, "h long, lang string, at binary, x binary").orderBy("h", "lang", "at", "x").limit(sample).collect()
+    docs = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(4)).alias("h"))
+    share = max(least, sample // max(1, docs.agg(F.count_distinct("lang")).first()[0]))
+    by_lang = Window.partitionBy("lang").orderBy("h")
+    # ranks are limited before the shuffle: a task sends no more than a share of each language
+    ranked = docs.select("lang", "h", F.row_number().over(by_lang).alias("turn")).where(F.col("turn") <= share)
+    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut"))  # a row for each language, as the model has a column
+    chosen = docs.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
+    rows = chosen.select("text", "h", "lang").mapInArrow(features, "h long, lang string, at binary, x binary")
+    rows = stored(rows.withColumn("turn", F.row_number().over(by_lang)), "features")
+    sizes = rows.groupBy("turn").agg((F.sum(F.octet_length("at")) / 2).alias("n")).orderBy("turn").collect()
+    turns = max(1, int((np.cumsum([r["n"] for r in sizes]) <= most_features).sum()))
+    found = rows.where(F.col("turn") <= turns).orderBy("turn", "lang").collect()
+    forget(rows)
     langs = sorted({r["lang"] for r in found})
     label = np.array([langs.index(r["lang"]) for r in found], int)
     rows = [(np.frombuffer(r["at"], "<u2").astype(int), np.frombuffer(r["x"], "<f4") * idf[np.frombuffer(r["at"], "<u2")] * SCALE) for r in found]
@@ -178,18 +188,19 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 
 
 def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, lang, ...) with held_out, lang_pred and score.
+    """All columns of ``docs`` (doc_id, text, lang, ...) with held_out, lang_pred, score and lift.
 
     Learns from text and lang of rows with a lang whose crc32(doc_id as text) mod 5 is not 0; a prediction
-    depends on the text alone. score is the calibrated probability of lang_pred. A text that is null or has
+    depends on the text alone. score is the calibrated probability of lang_pred, lift that times the number of
+    languages: 1 says that the text fits none of them better than the others. A text that is null or has
     no letter is ``und`` with score 0, as is any if nothing could be learned. A null doc_id is neither held
-    out nor learned from. Equal texts get equal results. An empty table gives an empty result.
+    out nor learned from. Equal texts get equal results. An empty table gives an empty result. Other columns come
+    back whatever their names, but for those named like the four new ones, which are replaced.
     """
     spark = ship(docs.sparkSession)
     letter = F.col("text").rlike(r"\p{L}")
     learned = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & letter).select("doc_id", "text", "lang")
     sent = spark.sparkContext.broadcast(fit(learned, sample, epochs))
-    names = docs.columns
 
     def predict(batches):
         langs, w, bias, t = sent.value
@@ -198,7 +209,7 @@ def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
             for batch in slices(whole, "text", 1 << 20):
                 n = batch.num_rows
                 pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
-                seen = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+                seen = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
                 if langs and seen.any():
                     cp, begin = code_points(batch.column("text"))
                     logits, grams = np.zeros((n, len(langs))), np.zeros(n)
@@ -214,9 +225,11 @@ def identify(docs: DataFrame, sample: int = 4000, epochs: int = 3) -> DataFrame:
                     p = softmax((logits / np.maximum(grams, 1)[:, None] + bias) / t)
                     best = p.argmax(1)
                     pred[seen], score[seen] = np.array(langs, object)[best[seen]], p[np.arange(n), best][seen]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], [*names, "held_out", "lang_pred", "score"])
-
-    own = docs.drop("held_out", "lang_pred", "score")
-    names = own.columns
-    schema = own.schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
-    return own.withColumn("held_out", held_out()).withColumn("_letter", F.coalesce(letter, F.lit(False))).mapInArrow(predict, schema)
+                new = [batch.column(held), pa.array(pred, pa.string()), pa.array(score), pa.array(score * len(langs))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "held_out", "lang_pred", "score", "lift"])
+
+    own = docs.drop("held_out", "lang_pred", "score", "lift")
+    names, flag = own.columns, free_name(own, "letter")
+    held = free_name(own, "held")
+    schema = own.schema.add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("lift", "double")
+    return own.select("*", held_out().alias(held), F.coalesce(letter, F.lit(False)).alias(flag)).mapInArrow(predict, schema)

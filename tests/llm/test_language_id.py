@@ -95,3 +95,46 @@ def test_logits_are_means_of_ngram_weights(spark):
             h = np.concatenate([li.ngrams(cp, o) for o in li.ORDERS])
             p = li.softmax((w[h].astype(float).mean(0) + bias) / t)
             assert got[d]["lang_pred"] == langs[p.argmax()] and abs(got[d]["score"] - p.max()) < 1e-6
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_letter", "letter", "held", "held_out", "lang_pred", "score", "lift"]
+    docs = spark.createDataFrame([(d, t, lang, *names) for d, t, lang in rows(60)], ", ".join(["doc_id long", "text string", "lang string", *(f"{n} string" for n in names)]))
+    for r in li.identify(docs, sample=40).collect():
+        assert (r["_letter"], r["letter"], r["held"]) == ("_letter", "letter", "held")
+        assert r["lang_pred"] in PARTS and 0 < r["score"] <= 1 and abs(r["lift"] - 4 * r["score"]) < 1e-9
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with few of very many labelled documents is in the sample, and its held-out texts are recognised."""
+    data = [(d, t, lang) for d, t, lang in rows(1600) if lang != "cc" or d % 40 == 2]
+    assert sum(lang == "cc" for _, _, lang in data) < 60
+    out = li.identify(spark.createDataFrame(data + data[:50] * 3, "doc_id long, text string, lang string"), sample=80).where("held_out AND lang = 'cc'").collect()
+    assert len(out) > 4 and all(r["lang_pred"] == "cc" for r in out)
+
+
+def test_sample_is_bounded_by_features(spark):
+    docs = spark.createDataFrame(rows(400), "doc_id long, text string, lang string")
+    for sample, least, most in ((40, 1, 1 << 24), (4000, 20, 3000)):
+        langs, w, _, _ = li.fit(docs, sample=sample, least=least, most_features=most)
+        assert langs == sorted(PARTS) and np.isfinite(w).all()
+
+
+def test_scorer_against_plain_python(spark):
+    """From texts to probabilities by a scorer of its own: n-grams by the definition, weights from a dictionary."""
+    docs = spark.createDataFrame(rows(200), "doc_id long, text string, lang string")
+    langs, w, bias, t = li.fit(docs.where("crc32(CAST(doc_id AS STRING)) % 5 <> 0"), sample=80)
+    for r in li.identify(docs, sample=80).where("doc_id < 40").collect():
+        text = [c if len(c) == 1 else o for c, o in ((o.lower(), o) for o in r["text"])]
+        z, n = [0.0] * len(langs), 0
+        for order in (1, 2, 3):
+            for i in range(len(text) - order + 1):
+                h = order
+                for c, f in zip(text[i : i + order], (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=False):
+                    h = (h + ord(c) + 1) * f % 2**64
+                    h ^= h >> 29
+                own = w[h * 0xD6E8FEB86659FD93 % 2**64 >> 49]
+                z, n = [a + float(b) for a, b in zip(z, own, strict=True)], n + 1
+        z = [(a / n + b) / t for a, b in zip(z, bias, strict=True)]
+        e = [2.718281828459045 ** (a - max(z)) for a in z]
+        assert r["lang_pred"] == langs[z.index(max(z))] and abs(r["score"] - max(e) / sum(e)) < 1e-5

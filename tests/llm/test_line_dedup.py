@@ -48,3 +48,20 @@ def test_bitmaps_name_the_kept_lines(spark):
 
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_id", "_hash", "_keep", "_lines", "_kept", "id", "hash", "row", "keep", "lines", "kept", "text_hash", "n_lines", "kept_text"]
+    line = "a line that is long enough for this"
+    docs = spark.createDataFrame([(d, line, *(f"{n}{d}" for n in names)) for d in range(4)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n not in ("n_lines", "kept_text"))
+        assert (r["n_lines"], r["n_dropped"], r["kept_text"]) == ((1, 0, line) if r["doc_id"] == 3 else (1, 1, ""))
+
+
+def test_hot_lines_beyond_a_broadcast(spark, monkeypatch):
+    rows = [(d, f"one line that a lot of documents share {d % 2}\nown line of this document number {d}") for d in range(600)]
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 50)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted((tuple(x) for x in out), key=str) == brute(rows)

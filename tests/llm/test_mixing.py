@@ -28,9 +28,12 @@ def brute_targets(sizes):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100}, {"a": 5, "b": 1000, "c": 1, None: 3}, {"é": 10, "z": 10, "Z": 10, None: 10}, {"a": 0, "b": 9}, {}, {"a": 0}])
-def test_targets(sizes):
-    got, want = mixing.targets(sizes), brute_targets(sizes)
+def test_targets(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+    out, want = mixing.targets(table).collect(), brute_targets(sizes)
+    got = {r["source"]: r["target"] for r in out}
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    assert [r["source"] for r in sorted(out, key=lambda r: r["sid"])] == list(want) and sorted(r["sid"] for r in out) == list(range(len(out)))
 
 
 def test_pairs_keep_words_and_expectations():
@@ -71,8 +74,36 @@ def test_mix(spark, group, fan_in):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
-def test_bounds_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, source string")
-    with pytest.raises(ValueError, match="over 1 sources"):
-        mixing.mix(docs, max_sources=1)
-    assert mixing.mix(docs.limit(0)).count() == 0
+def test_many_sources_are_joined(spark, monkeypatch):
+    """More sources than are broadcast give the same mix."""
+    docs = spark.createDataFrame([(d, "w " * (d % 17), f"s{d % 300}") for d in range(2000)], "doc_id long, text string, source string")
+    some = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted(map(str, mixing.mix(docs).collect())) == some
+    want = brute_targets({f"s{i}": sum(d % 17 for d in range(i, 2000, 300)) for i in range(300)})
+    got = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
+        got[r["source"]] += r["taken"]
+    assert all(abs(got[s] - want[s]) < 17 for s in want)
+
+
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    """A third of all rows are one row: each has a result, their sum keeps the target, and no group holds them."""
+    monkeypatch.setattr(mixing, "_RUN", 64)
+    rows = [(None, "a b c", "x")] * 1000 + [(d, "w " * (1 + d % 5), "xyz"[d % 3]) for d in range(2000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), group=50).collect()
+    assert len(out) == 3000
+    for s in "xyz":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+    same = [r["copies"] for r in out if r["doc_id"] is None]
+    assert len(same) == 1000 and max(same) - min(same) <= 1 and all(abs(c - out_rate(out)) < 1 for c in same)
+
+
+def out_rate(out):
+    return next(r["target"] / r["source_size"] for r in out if r["source"] == "x")
+
+
+def test_empty_table(spark):
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
