@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ``[\x20\x09-\x0D]``: what separates words, and what is stripped from line ends.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -43,19 +44,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowdelta/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    out = written(spark, df.schema, path)
     if (inner := _SCRATCH.get()) is not None:
         inner.append(path)
     return out
 
 
+def written(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """The table at ``path``, which :func:`forget` deletes."""
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
 #: What the innermost ``scratch`` of this thread deletes.
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that nothing will read any more."""
+    """Delete a table made by :func:`stored` or :func:`written` that nothing will read any more."""
     _delete(df.sparkSession, df._stored_at)
 
 
