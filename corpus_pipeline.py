@@ -15,36 +15,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdelta.llm import decontamination, language_id, line_dedup, mixing, simhash
-from rowdelta.llm.common import scratch, shared_dir, table, text_key
+from rowdelta.llm.common import forget, scratch, shared_dir, table, text_key, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least calibrated probability of the language of a document that stays.
-LEAST_SCORE = 0.4
+#: A document stays if its language's calibrated probability is this, or this many times that of even odds.
+ENOUGH, LEAST_LIFT = 0.4, 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised. ``lang`` stays as it was given."""
+    """Documents whose language is recognised. ``lang`` stays as it was given.
+
+    Null texts, texts without letters and those that fit no learned language better than the others go. Rows are
+    judged one by one, also repeated ones; null ids and sources are no reason to go. No rows, no result."""
     known = language_id.identify(docs.select(*COLUMNS))
-    return known.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    fits = (F.col("score") >= ENOUGH) | (F.col("lift") >= LEAST_LIFT)
+    return known.where((F.col("lang_pred") != language_id.UNKNOWN) & fits).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without their repeated lines; n_chars is that of the new text. A null text stays null."""
+    """All documents without their repeated lines; n_chars is that of the new text.
+
+    A null text stays null. Repeated rows stay, each with the same text. No rows, no result."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group. Rows that repeat a doc_id and text are one document."""
-    docs = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    """The document of least doc_id of each group; a null doc_id only where a group has no other.
+
+    Rows that repeat a doc_id and text are one document, with the least of their lang, source and n_chars. Null and
+    empty texts are a group. No rows, no result."""
     first = simhash.near_duplicates(docs).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_hash")), "left_semi")
+    none = F.lit(None)
+    first = first.select("x.doc_id", "x.text_hash", none.cast("string").alias("text"), none.cast(REST).alias("rest"), F.lit(1).alias("kept"))
+    # one shuffle of the texts: rows of a document and its mark meet in an aggregate
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), "text", F.struct("lang", "source", "n_chars").alias("rest"), F.lit(0).alias("kept"))
+    found = rows.unionByName(first).groupBy("doc_id", "text_hash").agg(F.max("text").alias("text"), F.min("rest").alias("rest"), F.max("kept").alias("kept"))
+    return found.where("kept = 1").select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars")
+
+
+REST = "struct<lang:string,source:string,n_chars:bigint>"
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth are in benchmark windows."""
+    """Documents of whose words less than a twentieth are in benchmark windows.
+
+    Rows are judged by their own text, repeated ones alike; null and empty texts stay. No rows, no result; with no
+    benchmark all stay."""
     docs = docs.select(*COLUMNS)
     judged = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"))
     bad = judged.where(decontamination.contaminated()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
@@ -52,11 +70,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``copies`` (one to three), size, target and taken words."""
+    """The documents that the mix takes, with ``copies`` (one to three for each row), size, target and taken words.
+
+    Rows that repeat a doc_id, text and source are one row with the copies of all of them, and the least of their
+    lang and n_chars: the taken words of a source are near its target however often rows repeat. A null source is a
+    source. No rows, no result."""
     docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "size", "source_size", "target", "copies", "taken")
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_hash")))
-    return both.select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
+    mixed = ("size", "source_size", "target", "copies", "taken")
+    taken = mixing.mix(docs)
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), "source", "text", F.struct("lang", "n_chars").alias("rest"), *(F.lit(None).cast(taken.schema[c].dataType).alias(c) for c in mixed))
+    taken = taken.withColumns({"text": F.lit(None).cast("string"), "rest": F.lit(None).cast("struct<lang:string,n_chars:bigint>")})
+    total = [F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken")]
+    both = rows.unionByName(taken).groupBy("doc_id", "text_hash", "source").agg(F.max("text").alias("text"), F.min("rest").alias("rest"), *total)
+    return both.where("copies > 0").select("doc_id", "text", "rest.lang", "source", "rest.n_chars", *mixed)
 
 
 STAGES = [
@@ -74,12 +100,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``.
 
-    What a stage returns is kept in the shared folder, what it stored on the way is deleted."""
+    Only what the last stage returns stays in the shared folder: its table is the result."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/rowdelta/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
+    before = None
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/rowdelta/pipeline-{name}-{uuid.uuid4().hex}"
         with scratch(spark):
             out = stage(spark, docs, sf_dir)
-            out.write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{at}/{k}-{name}")
+            out.write.parquet(path)
+        if before:
+            forget(before)
+        docs = before = written(spark, out.schema, path)
     return docs
