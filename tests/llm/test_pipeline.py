@@ -77,6 +77,34 @@ def test_stages_take_odd_rows(spark, tmp_path):
             assert len(out) <= len(rows)
 
 
+def test_repeated_rows_keep_the_targets(spark):
+    """Equal rows of the mixing stage are one row with all their copies: a source's words stay near its target."""
+    rows = [(1, "w " * 20, "xx", "a")] * 3 + [(2, "w " * 20, "xx", "a"), (3, "w " * 20, "xx", "b"), (None, "w " * 20, None, "b")]
+    out = cp.mix_sources(spark, table(spark, rows), "").collect()
+    assert len({(r["doc_id"], r["source"]) for r in out}) == len(out) <= 4
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20 and all(r["taken"] == r["copies"] * r["size"] for r in own)
+
+
+def test_ties_of_near_copies_are_settled(spark):
+    """Rows of one doc_id and text but other labels are one document, the same however the rows come."""
+    rows = [(1, "some words that repeat", "yy", "b"), (1, "some words that repeat", "xx", "c"), (1, "some words that repeat", None, "a"), (2, "some words that repeat", "zz", "z")]
+    outs = [[tuple(r) for r in cp.dedup_near_copies(spark, table(spark, x).repartition(n), "").collect()] for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert outs[0] == outs[1] == [(1, "some words that repeat", None, "a", 22)]
+
+
+def test_documents_in_many_languages_stay(spark):
+    """Texts that mix three of six languages fit none of them well, and stay; texts without letters go."""
+    r = random.Random(1)
+    words = [[f"{a}{b}{c}" for a in x for b in y for c in "nrs"] for x, y in (("kbt", "ae"), ("dfg", "ou"), ("lmp", "üö"), ("vwz", "iy"), ("hjq", "éè"), ("cxš", "ãñ"))]
+    rows = [(d, " ".join(r.choices(words[d % 6], k=30)), f"l{d % 6}", "s") for d in range(600)]
+    rows += [(1000 + d, " ".join(" ".join(r.choices(words[(d + k) % 6], k=20)) for k in range(3)), "l0", "s") for d in range(60)]
+    rows += [(2000, "12 - 34 !", "l0", "s")]
+    ids = {x["doc_id"] for x in cp.identify_language(spark, table(spark, rows), "").collect()}
+    assert ids == {x[0] for x in rows} - {2000}
+
+
 def test_line_stage_keeps_null_texts(spark, tmp_path):
     out = cp.dedup_lines(spark, table(spark, [(1, None, None, None)]), "").first()
     assert tuple(out) == (1, None, None, None, None)
