@@ -1,6 +1,7 @@
 import numpy as np
 
-from rowdelta.llm.embedding_dedup import dual, near_duplicates, normal, tree
+from rowdelta.llm import embedding_dedup
+from rowdelta.llm.embedding_dedup import Block, dual, linked, near_duplicates, normal, tree
 
 
 def brute(rows, least=0.9):
@@ -24,21 +25,65 @@ def test_against_brute_force(spark):
         c = rng.normal(size=8)
         for k in range(8):
             rows.append((100 + 20 * g + k, (c + rng.normal(size=8) * 0.06 * k).tolist()))
-    rows += [(900 + i, [3.0] * 8) for i in range(30)] + [(None, [3.0] * 8), (-1, (rng.normal(size=8) * 1e-200).tolist())]
-    table = spark.createDataFrame([(v, e, 0) for v, e in rows], "vec_id long, embedding array<double>, label int")
+    rows += [(900 + i, [3.0] * 8) for i in range(30)] + [(None, [3.0] * 8), (-1, (rng.normal(size=8) * 1e-200).tolist()), (950, rng.normal(size=5000).tolist())]
+    table = spark.createDataFrame([(v, e, 0, 1, "h") for v, e in rows], "vec_id long, embedding array<double>, label int, node int, h string")
     for block in (2048, 7):
         out = [tuple(r) for r in near_duplicates(table, block=block, cells=5).collect()]
         assert sorted(out, key=str) == brute(rows)
 
 
+def test_null_and_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(None, [1.0, 0.0, 0.0]), (7, [1.0, 0.01, 0.0]), (None, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (5, [1.0, 0.0, -1.0]), (3, [1.0, 0.01, -1.0]), (5, [-1.0, 0.0, -1.0])]
+    out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, 1, 7, False), (7, 1, 7, True), (None, 1, 9, False), (9, 1, 9, True), (None, 0, None, False), (5, 1, 3, False), (3, 1, 3, True), (5, 0, 5, True)], key=str)
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """50,000 vectors in 40 clusters and some outside: exact links, few pairs of blocks and rows compared."""
+    rng = np.random.default_rng(0)
+    centre = rng.normal(size=(40, 24))
+    x = (np.where(np.arange(50_000)[:, None] % 50 == 3, rng.normal(size=(50_000, 24)), centre[np.arange(50_000) % 40]) + rng.normal(size=(50_000, 24)) * np.where(np.arange(50_000) % 7 == 0, 0.02, 0.25)[:, None]).astype(np.float32)
+    report = {}
+    table = spark.createDataFrame(embedding_dedup.pa.table({"vec_id": np.arange(50_000), "embedding": embedding_dedup.pa.array(list(x))}))
+    out = near_duplicates(table, block=1024, report=report).toArrow()
+    order = np.argsort(out.column("vec_id").to_numpy())
+    u = normal(x.astype(float))
+    links = np.zeros(50_000, int)
+    for i in range(0, 50_000, 2000):
+        links[i : i + 2000] = (u[i : i + 2000] @ u.T >= 0.9).sum(1) - 1
+    assert (out.column("n_links").to_numpy()[order] == links).all() and links.sum() > 100_000
+    assert report["block_pairs"] < 0.4 * report["all_block_pairs"] and report["compared"] < 0.3 * report["all"]
+    assert report["all"] == 50_000 * 50_001 // 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def block(x, name="a", most=None, weight=None):
+    r = {"block": name, "x": x.tobytes(), "width": x.shape[1], "weight": np.ones(len(x), np.int64) if weight is None else weight, "node": np.arange(len(x))}
+    return Block(r | {"tree": embedding_dedup.pickle.dumps(tree(normal(x), 0.5, 3, most))}, "<f8")
+
+
 def test_dual_traversal_is_exact():
     rng = np.random.default_rng(0)
-    x = normal(np.concatenate([rng.normal(size=(1, 6)) + rng.normal(size=(40, 6)) * s for s in (0.05, 0.2, 1)]))
-    assert (dual(x, tree(x, 0.5, 3), x[:50], tree(x[:50], 0.5, 3), 0.9) == (x @ x[:50].T >= 0.9)).all()
+    x = np.concatenate([rng.normal(size=(1, 6)) + rng.normal(size=(40, 6)) * s for s in (0.01, 0.05, 0.2, 1)])
+    weight = rng.integers(1, 5, len(x))
+    for most in (None, 20, 0):
+        a, b = block(x, most=most, weight=weight), block(x[:50] + 0.001, "b", most, weight[:50])
+        true = normal(x) @ normal(x[:50] + 0.001).T >= 0.9
+        got, seen = np.zeros_like(true), 0
+        for rows, cols, link in dual(a, b, 0.9):
+            got[np.ix_(rows, cols)] |= True if link is None else link
+            seen += len(rows) * len(cols)
+        assert (got == true).all() and seen <= true.size
+        n, k, _, _, _ = linked(a, b, 0.9)
+        want = np.concatenate([true @ weight[:50], true.T @ weight])
+        assert sorted(k.tolist()) == sorted(want[want > 0].tolist())
+        own = normal(x) @ normal(x).T >= 0.9
+        np.fill_diagonal(own, False)
+        n, k, _, _, _ = linked(a, a, 0.9)
+        assert dict(zip(n.tolist(), k.tolist(), strict=True)) == {i: int(c) for i, c in enumerate(own @ weight) if c}
 
 
 def test_tree_levels_nest_and_cover():
@@ -48,3 +93,8 @@ def test_tree_levels_nest_and_cover():
         assert set(a) <= set(b) and all(na[b[n]] == na[i] for i, n in enumerate(nb))
         assert (np.linalg.norm(x - x[a[na]], axis=1) <= ra[na] + 1e-6).all()
     assert all(r.max() <= 1.0 / 2**i + 1e-5 for i, (_, _, r) in enumerate(levels))
+
+
+def test_levels_without_near_points_are_not_built():
+    x = normal(np.random.default_rng(0).normal(size=(1000, 64)))
+    assert tree(x, 0.5, 3, 125) == [] and len(tree(np.repeat(x[:50], 20, 0), 0.5, 3, 125)) == 3
