@@ -39,6 +39,12 @@ def visit(parts: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(parts, one), ""), F.lit(""))
 
 
+def plain(parts: Column) -> Column:
+    """The content by which tied turns are ordered: texts as they are, placeholders of the rest."""
+    one = lambda p: F.when(p["type"].isin(*MEDIA), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(F.coalesce(p["text"], F.lit("")))
+    return F.coalesce(F.array_join(F.transform(parts, one), ""), F.lit(""))
+
+
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans, attachments and expanded_tokens for each conv_id of ``turns``.
 
@@ -53,10 +59,10 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     """
     parts = F.col("parts").cast(PART) if "parts" in turns.columns else text_part(F.col("text"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-    rows = rows.select("conv_id", "turn", "role", visit(F.col("parts")).alias("content"), F.filter("parts", lambda p: p["type"].isin(*MEDIA)).alias("media"))
+    rows = rows.select("conv_id", "turn", "role", visit(F.col("parts")).alias("content"), plain(F.col("parts")).alias("plain"), F.filter("parts", lambda p: p["type"].isin(*MEDIA)).alias("media"))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)))
     rows = rows.withColumn("line", F.concat("head", "content", F.lit(ENDS + CLOSE)))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "plain", "content")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("k", F.row_number().over(order)).withColumn("start", F.sum(F.length("line")).over(upto) - F.length("line") + F.length("head"))
     rows = rows.withColumn("end", F.col("start") + F.length("content"))

@@ -58,12 +58,13 @@ WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '')
 ), mixed AS (
   SELECT * FROM each WHERE rank = 4 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = each.doc_id AND base.a < each.a + each.n AND each.a < base.a + base.n)
-), every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed), owners AS (SELECT v, count(DISTINCT owner) AS k FROM every GROUP BY v),
+), every AS (SELECT * FROM base UNION ALL SELECT * FROM mixed), held AS (SELECT DISTINCT v, owner, doc_id FROM every), owners AS (SELECT v, count(DISTINCT owner) AS k, count(*) AS r FROM held GROUP BY v),
 spans AS (SELECT *, ['assign', 'access', 'hex', 'owned'][rank] || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS s FROM every JOIN owners USING (v))
 SELECT d.doc_id, count(*) FILTER (WHERE rank = 1) AS n_assign, count(*) FILTER (WHERE rank = 2) AS n_access, count(*) FILTER (WHERE rank = 3) AS n_hex,
   sha256(coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
-  coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE rank < 4 OR k < 3), '') AS spans,
-  count(*) FILTER (WHERE k < 3) AS n_owned, count(*) FILTER (WHERE k >= 3) AS n_copied
+  coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (WHERE rank < 4 OR k < 3 AND r < 50), '') AS spans,
+  count(*) FILTER (WHERE k < 3 AND r < 50) AS n_owned, count(*) FILTER (WHERE k >= 3 OR r >= 50) AS n_copied,
+  coalesce(max(k), 0)::BIGINT AS most_owners, coalesce(max(r), 0)::BIGINT AS most_repositories
 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
@@ -96,7 +97,8 @@ WITH t AS (
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(20 + length({_BROKEN.format("role")}) + length({_BROKEN.format("text")}))::BIGINT AS formatted_chars
+  sum(20 + length({_BROKEN.format("role")}) + length({_BROKEN.format("text")}))::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM t GROUP BY conv_id
 """
 

@@ -22,7 +22,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -38,6 +38,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.shown(F.array_sort(F.concat("base", "added"))).alias("spans"),
         "n_owned",
         "n_copied",
+        "most_owners",
+        "most_repositories",
     )
 
 
@@ -62,7 +64,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     made = chat_format.format_conversations(turns)
-    read = made.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = made.select("conv_id", "formatted", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -70,6 +72,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_attachments",
+        "expanded_tokens",
     )
 
 

@@ -30,22 +30,25 @@ def test_against_brute_force(spark):
         text = r.choice([" ", "", " "]).join(r.choices(bits, k=r.randint(1, 12)))
         rows.append((d, text + (f" Own{d}abcdefghijk0123456789" if d % 5 == 0 else ""), f"s{d % 4}"))
     rows += rows[:6]
-    owners, copies = defaultdict(set), {}
-    for _, t, s in rows:
+    rows += [(400 + d, "Hot1Value2Of3One4Owner5Zz", "only") for d in range(8)] + [(None, "Hot1Value2Of3One4Owner5Zz", "only")] * 3 + [(500, "Rep1eated2Rows3Of4One5Doc", "only")] * 9
+    owners, homes, copies = defaultdict(set), defaultdict(set), {}
+    for d, t, s in rows:
         own = base(t)
         copies[t] = own, mixed(t, own)
         for x in own + copies[t][1]:
             owners[x[3]].add(s)
+            homes[x[3]].add((s, d))
+    owned = lambda x: len(owners[x[3]]) < 3 and len(homes[x[3]]) < 9
     expected = []
     for d, t, _ in rows:
         own, more = copies[t]
-        added = [x for x in more if len(owners[x[3]]) < 3]
+        added = [x for x in more if owned(x)]
         name = lambda xs: ",".join(f"{secret_scan.KINDS[k - 1]}:{a}:{b}" for a, k, b, _ in sorted(xs))
-        few = sum(len(owners[x[3]]) < 3 for x in own + more)
-        expected.append((d, name(own), name(own + added), few, len(own + more) - few))
+        few = sum(map(owned, own + more))
+        expected.append((d, name(own), name(own + added), few, len(own + more) - few, *(max((len(h[x[3]]) for x in own + more), default=0) for h in (owners, homes))))
     docs = spark.createDataFrame([(d, t, s, "u", 1) for d, t, s in rows], "doc_id long, text string, source string, owner string, base int")
-    out = secret_scan.scan(docs)
-    out = out.select("doc_id", secret_scan.shown(F.col("base")), secret_scan.shown(F.array_sort(F.concat("base", "added"))), "n_owned", "n_copied")
+    out = secret_scan.scan(docs, copied_repositories=9)
+    out = out.select("doc_id", secret_scan.shown(F.col("base")), secret_scan.shown(F.array_sort(F.concat("base", "added"))), "n_owned", "n_copied", "most_owners", "most_repositories")
     assert sorted((tuple(x) for x in out.collect()), key=str) == sorted(expected, key=str)
     assert any(e[2] != e[1] for e in expected) and any(e[4] for e in expected)
 
@@ -57,3 +60,10 @@ def test_empty_table(spark):
 def test_hash_of_nothing(spark):
     out = secret_scan.scan(spark.createDataFrame([(1, "no", "a")], "doc_id long, text string, source string")).select(F.sha2(secret_scan.shown(F.col("base")), 256)).first()[0]
     assert out == hashlib.sha256(b"").hexdigest()
+
+
+def test_texts_of_very_many_matches(spark):
+    """Places are right across runs of matches, and 30,000 of them take no quadratic time."""
+    text = " é".join(f"{i:024x}" for i in range(30_000))
+    base = secret_scan.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()["base"]
+    assert len(base) == 30_000 and all(text[s["start"] : s["end"]] == f"{i:024x}" for i, s in enumerate(base))
