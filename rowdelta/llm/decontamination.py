@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, text_key
 
-#: Prefix tokens are broadcast up to this many rows (counted first) and joined by a shuffle beyond.
-BROADCAST_ROWS = 200_000
+#: Prefix rows are broadcast up to this many (counted first). Beyond, only their tokens are, up to MOST_TOKENS of 64
+#: bits: document shingles that are no token stay where they are, the few others meet the rows in a shuffle join.
+BROADCAST_ROWS, MOST_TOKENS = 200_000, 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -53,6 +54,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _candidates(shingles: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Document shingles with the prefix rows of their token."""
+    rows = prefix.count()
+    if rows <= BROADCAST_ROWS:
+        return shingles.join(F.broadcast(prefix), ["k", "token"])
+    tokens = prefix.select("token").distinct()
+    few = shingles.join(F.broadcast(tokens), "token", "left_semi") if rows <= MOST_TOKENS else shingles
+    return few.join(prefix, ["k", "token"])
+
+
 def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, item_ids) for each row of ``docs`` (doc_id, text).
 
@@ -67,14 +78,15 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 5) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_key(F.col("text")).alias("text_hash"))
     items = items.select("item_id", "text")
     prefix = stored(prefix_tokens(items, window, k), "prefix")
+    sizes = sorted(r["k"] for r in prefix.select("k").distinct().collect())  # at most k values
     found = None
-    for size in sorted(r["k"] for r in prefix.select("k").distinct().collect()):  # at most k values
+    if sizes:
+        # shingles of all lengths in one pass over the words
         own = docs.select("doc_id", "text_hash", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-        own = own.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.posexplode(_shingles("hashes", size)).alias("pos", "token"))
-        index = _small(prefix.where(F.col("k") == size).drop("k"))
-        placed = own.join(index, "token").withColumn("start", F.col("pos") - F.col("offset"))
-        placed = placed.where("start >= 0 and start + size <= n").select("doc_id", "text_hash", "start", "size", "name")
-        found = placed if found is None else found.unionByName(placed)
+        shingles = [F.transform(_shingles("hashes", size), lambda t, i: F.struct(F.lit(size).alias("k"), i.alias("pos"), t.alias("token"))) for size in sizes]  # noqa: B023
+        own = own.select("doc_id", "text_hash", F.size("hashes").alias("n"), F.explode(F.concat(*shingles)).alias("s")).select("doc_id", "text_hash", "n", "s.*")
+        placed = _candidates(own, prefix).withColumn("start", F.col("pos") - F.col("offset"))
+        found = placed.where("start >= 0 and start + size <= n").select("doc_id", "text_hash", "start", "size", "name")
     words = docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("w"))
     if found is None:
         return words.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("item_ids"))

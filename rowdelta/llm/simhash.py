@@ -26,6 +26,8 @@ from .tokens import Words, slices
 
 BITS, LENGTH, RADIUS = 64, 23, 3
 FEW = 16_000_000
+#: Copies that a task compares at once, tile by tile.
+GROUP = 1 << 18
 #: x**11 + x**10 + x**6 + x**5 + x**4 + x**2 + 1, a generator of the [23, 12] Golay code.
 GENERATOR = 0b110001110101
 
@@ -125,7 +127,7 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None, tile: i
     """Star edges (src, dst) over the distinct values of ``fps.fp`` whose components are those of all linked pairs.
 
     An anchor holding over ``tile`` fingerprints is cut into k stripes and compared as k * (k + 1) / 2 tiles
-    of two stripes, each in a task of its own, so that no anchor needs more memory than a tile. Any number of
+    of two stripes, so that no anchor needs more memory than a tile; tiles are dealt into groups of bounded rows. Any number of
     blocks gives the same components: three make about 16 copies at 12 thousand anchors, two about 210 at four
     million, which is less work for more than ``FEW`` fingerprints.
     """
@@ -159,14 +161,17 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int | None = None, tile: i
         return pa.table({"src": a, "dst": b})
 
     spark = ship(fps.sparkSession)
-    held = fps.select("fp").mapInArrow(copies, "fp long, anchor long")
-    heavy = held.groupBy("anchor").count().where(F.col("count") > tile)
+    held = stored(fps.select("fp").mapInArrow(copies, "fp long, anchor long"), "anchors")
+    heavy = stored(held.groupBy("anchor").count().where(F.col("count") > tile), "heavy")
+    more = heavy.agg(F.coalesce(F.sum(F.col("count") * (F.ceil(F.col("count") / tile) - 1)), F.lit(0))).first()[0]
+    # a group is some whole tiles of about GROUP rows in all
+    groups = max(8 * parts(spark), (held.count() + more) // GROUP)
     n = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / tile)
     stripe = F.when(n > 1, F.pmod(F.xxhash64("fp"), n)).otherwise(F.lit(0))
     # a stripe meets every other: tile (i, j), i <= j
     tiled = held.join(heavy, "anchor", "left").withColumn("n", n).withColumn("s", stripe)
     tiled = tiled.select("fp", "anchor", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.least(j, F.col("s")) * F.col("n") + F.greatest(j, F.col("s")))).alias("tile"))
-    dealt = tiled.withColumn("deal", F.pmod(F.xxhash64("anchor", "tile"), F.lit(8 * parts(spark))))
+    dealt = tiled.withColumn("deal", F.pmod(F.xxhash64("anchor", "tile"), F.lit(groups)))
     return dealt.groupBy("deal").applyInArrow(compare, "src long, dst long")
 
 

@@ -1,9 +1,10 @@
 """Removal of repeated word windows: Rabin-Karp hashes of every window, matched across the corpus in Spark.
 
-Documents are dealt into chunks by doc_id. A chunk hashes all its windows and sends each *distinct* hash
-once, packed, to the hash bucket that owns it, so a passage found in a third of all documents costs one
-value per chunk and no bucket or task grows with it. A bucket finds, for each hash, the smallest document
-holding it and answers every chunk with one bit per hash it sent: does an earlier document hold this window?
+Documents are dealt into chunks by id, text and place in the input, so that no chunk grows with one id or text. A
+chunk hashes all its windows and sends each *distinct* hash once, packed, to the hash bucket that owns it, so a
+passage found in a third of all documents costs one value per chunk and no bucket or task grows with it. A bucket
+finds, for each hash, the first document holding it (by doc_id, then text hash, then chunk) and answers every chunk
+with one bit per hash it sent: does an earlier document hold this window?
 The chunk then knows for each of its windows whether the word sequence also starts earlier, and merges the
 repeated windows into maximal removal intervals.
 """
@@ -29,10 +30,10 @@ RUN = 32
 
 
 class Chunk:
-    """The windows of a chunk's documents, in (doc_id, text) order."""
+    """The windows of a chunk's documents, in order of doc_id, text hash and text."""
 
     def __init__(self, table: pa.Table, window: int):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id")
         #: null sorts before every id
         raw = self.ids.combine_chunks()
@@ -41,6 +42,8 @@ class Chunk:
         self.doc_ids = np.where(null, LOWEST, np.asarray(raw.fill_null(0)).astype(np.int64))
         order = np.argsort(self.doc_ids, kind="stable")
         table, self.ids, self.doc_ids = table.take(order), self.ids.take(order), self.doc_ids[order]
+        #: orders rows of one id
+        self.ties = table.column("tie").to_numpy()
         text = table.column("text").combine_chunks()
         self.words = Words(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
         n = np.maximum(np.diff(self.words.by_doc) - window + 1, 0)
@@ -80,8 +83,8 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
     the input.
 
     Null and empty texts have no words: nothing is removed and the hash is that of the empty string. A null
-    doc_id counts as smaller than any id. Rows with one doc_id are taken in text order, each as a document.
-    An empty table gives an empty result.
+    doc_id counts as smaller than any id. Rows with one doc_id are documents of their own, in the order of a hash of
+    their texts, so that one of equal rows keeps its words. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -89,13 +92,15 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
     most = math.isqrt(input_bytes(docs) * 4 // (15 * RUN))  # about four windows for 15 bytes of Parquet
     chunks = min(spread(docs, chunk_bytes, 2 * parts(spark)), max(most, 2 * parts(spark)))
     buckets = max(parts(spark), chunks // 2)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    # the place in the input keeps equal rows apart; files are split alike when a lost task is run again
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    dealt = dealt.withColumn("tie", F.xxhash64("text").bitwiseAND(0xFFFFFFFF))
 
     def send(table: pa.Table) -> pa.Table:
         c = Chunk(table, window)
         order, cut = c.sent(buckets)
         docs_of = c.doc[c.first]
-        rows: dict[str, list] = {"bucket": [], "chunk": [], "hashes": [], "ids": [], "runs": []}
+        rows: dict[str, list] = {"bucket": [], "chunk": [], "hashes": [], "ids": [], "ties": [], "runs": []}
         for b in range(buckets):
             own = order[cut[b] : cut[b + 1]]
             if len(own):
@@ -105,16 +110,23 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
                 rows["chunk"].append(table.column("chunk")[0].as_py())
                 rows["hashes"].append(c.distinct[own].tobytes())
                 rows["ids"].append(_pack(np.diff(ids, prepend=np.int64(0))))
+                rows["ties"].append(c.ties[held].astype(np.uint32).tobytes())
                 rows["runs"].append(_pack(runs.astype(np.uint32)))
         return pa.table(rows, schema=SENT)
 
     def answer(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         h = np.concatenate(hashes)
-        ids = np.concatenate([
-            np.repeat(np.cumsum(_unpack(i, np.int64)), _unpack(r, np.uint32))
-            for i, r in zip(table.column("ids").to_pylist(), table.column("runs").to_pylist(), strict=True)
-        ])
+        each = [[_unpack(x, np.int64) for x in table.column("ids").to_pylist()], [np.frombuffer(x, np.uint32) for x in table.column("ties").to_pylist()]]
+        ids, ties = np.concatenate([np.cumsum(x) for x in each[0]]), np.concatenate(each[1])
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in each[1]])
+        # documents by place: those of one chunk that are alike share theirs
+        by = np.lexsort((chunk, ties, ids))
+        step = np.ones(len(by), bool)
+        step[1:] = (np.diff(ids[by]) != 0) | (np.diff(ties[by].astype(np.int64)) != 0) | (np.diff(chunk[by]) != 0)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.cumsum(step)
+        ids = np.repeat(place, np.concatenate([_unpack(x, np.uint32) for x in table.column("runs").to_pylist()]))
         order = np.argsort(h, kind="stable")
         s = h[order]
         new = np.ones(len(s), bool)
@@ -155,8 +167,7 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
             rows["kept_text"].append(kept.decode("utf-8", "replace") if with_text else None)
         return pa.table({"doc_id": c.ids, **rows}, schema=RESULT)
 
-    # rows of one document stay together, so its windows meet in one chunk; a chunk is a bounded share of the ids
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary, ids binary, runs binary")
+    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary, ids binary, ties binary, runs binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, bits binary")
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         settle, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept_text string"
@@ -164,6 +175,6 @@ def removals(docs: DataFrame, window: int = 20, chunk_bytes: int = 6 << 20, with
     return out if with_text else out.drop("kept_text")
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary()), ("runs", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_text", pa.string())])

@@ -44,8 +44,9 @@ def test_against_brute_force(spark, vocabulary, monkeypatch):
     docs += docs[6:9]
     a = spark.createDataFrame([(d, t, "n", 1) for d, t in docs], "doc_id long, text string, name string, n int")
     b = spark.createDataFrame([(d, t, 5) for d, t in items], "item_id long, text string, k int")
-    for rows in (200_000, 0):
+    for rows, tokens in ((200_000, 0), (0, 4_000_000), (0, 0)):
         monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontamination, "MOST_TOKENS", tokens)
         got = [(x[0], x[2], x[3], list(x[4])) for x in decontamination.overlaps(a, b).collect()]
         assert sorted(got, key=str) == brute(docs, items)
 
@@ -55,3 +56,18 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b", 1)], "doc_id long, text string, item_id long")
     assert decontamination.overlaps(none, one).count() == 0
     assert [tuple(r)[2:4] for r in decontamination.overlaps(one, none).collect()] == [(2, 0)]
+
+
+def test_very_many_prefixes_leave_documents_unshuffled(spark, monkeypatch):
+    """Over 200,000 windows: shingles are filtered by broadcast tokens where they are, only candidates move."""
+    text = "concat_ws(' ', transform(sequence(1, 13), i -> concat('w', hex(xxhash64(x, i)))))"
+    items = spark.range(210_000).selectExpr("id AS item_id", "id AS x").selectExpr("item_id", f"{text} AS text")
+    docs = spark.range(200).selectExpr("id AS doc_id", "if(id % 4 = 0, id * 1000, id + 10000000) AS x").selectExpr("doc_id", f"concat('before it ', {text}, ' after it') AS text")
+    seen, plain = [], decontamination._candidates
+    monkeypatch.setattr(decontamination, "_candidates", lambda a, b: seen.append(plain(a, b)) or seen[0])
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["item_ids"])) for r in decontamination.overlaps(docs, items).collect()}
+    assert got == {d: (17, 13, [str(d * 1000)]) if d % 4 == 0 else (17, 0, []) for d in range(200)}
+    lines = seen[0]._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(lines) if "Generate explode" in x)
+    above = [x for x in lines[:at] if "Exchange" in x or "LeftSemi" in x]
+    assert "BroadcastHashJoin" in above[-1] and "LeftSemi" in above[-1]

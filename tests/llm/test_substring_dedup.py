@@ -47,3 +47,18 @@ def test_repeated_rows_of_one_id(spark):
 
 def test_empty_table(spark):
     assert removals(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_null_and_repeated_ids(spark):
+    """A third of the rows have no id and others repeat one: they spread over chunks, and each text keeps one copy."""
+    rng = np.random.default_rng(1)
+    word = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(word, 40)) for _ in range(60)]
+    rows = [(None, texts[i % 20]) for i in range(100)] + [(7, texts[20 + i % 20]) for i in range(100)] + [(100 + i, texts[i % 60]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    outs = [sorted((tuple(r[:4]) for r in removals(docs.repartition(n), chunk_bytes=500).collect()), key=str) for n in (5, 11)]
+    assert outs[0] == outs[1] and len(outs[0]) == 300
+    kept = lambda d: sorted(r[2] for r in outs[0] if r[0] == d)
+    # the first of the rows of a text keeps it; ids over 100 keep those that no smaller id holds
+    assert kept(None) == kept(7) == [0] * 20 + [40] * 80
+    assert sum(r[2] == 0 for r in outs[0] if (r[0] or 0) >= 100) == 20
