@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--key", type=_names, default=[])
     d.add_argument("--ignore", type=_names, default=[])
     d.add_argument("--output", "-o", default="")
-    d.add_argument("--format", "-f", default="parquet", choices=["parquet", "arrow", "json"])
+    d.add_argument("--format", "-f", default="parquet", choices=list(sinks.WRITERS), help="arrow and json are folders that executors write, arrow_file and json_array one file for small results")
     d.add_argument("--tolerance", type=float, default=0.0001)
     d.add_argument("--parallel", action=argparse.BooleanOptionalAction, default=True)
     d.add_argument("--batch-size", "-b", type=int, default=10_000)
@@ -123,7 +123,7 @@ def run_diff(a: argparse.Namespace) -> int:
     drop = [c for h in hidden for c in (h, f"_modified_{h}")]
     result = dataclasses.replace(result, added=result.added.drop(*drop), deleted=result.deleted.drop(*drop), modified=result.modified.drop(*drop))
     summary = result.summary()
-    to_stdout = a.format == "json" and not a.output
+    to_stdout = a.format in ("json", "json_array") and not a.output
     sinks.print_summary(summary, sys.stderr if to_stdout else sys.stdout)
     if a.output:
         sinks.write_diff(result, a.output, a.format)

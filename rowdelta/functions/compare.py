@@ -20,16 +20,32 @@ def float_equal(a: Column, b: Column, tolerance: float) -> Column:
     return (a == b) | within
 
 
-def _comparable(c: Column, kind: T.DataType) -> Column:
-    """Maps have no equality in SQL; their entries in key order do."""
-    return F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """Maps have no equality or order in SQL; their entries in key order do, at any depth."""
+    if not has_map(kind):
+        return c
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(c), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: comparable(x, kind.elementType))
+    fields = [comparable(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+    return F.when(c.isNotNull(), F.struct(*fields))
 
 
 def differs(a: Column, b: Column, kind: T.DataType, tolerance: float = 0.0) -> Column:
     """Never null: whether two values of one type differ. Null equals only null."""
     if isinstance(kind, T.FloatType | T.DoubleType):
         return F.when(a.isNull() & b.isNull(), F.lit(False)).when(a.isNull() | b.isNull(), F.lit(True)).otherwise(~float_equal(a, b, tolerance))
-    return ~_comparable(a, kind).eqNullSafe(_comparable(b, kind))
+    return ~comparable(a, kind).eqNullSafe(comparable(b, kind))
 
 
 def _default(kind: T.DataType) -> Column | None:
@@ -52,7 +68,7 @@ def typed_key(key: Column, kind: T.DataType) -> list[Column]:
     """Plain columns whose equality is null-safe equality of the key.
 
     A join and a window on such columns share one exchange, which null-safe operators would not."""
-    if isinstance(kind, T.MapType):
+    if has_map(kind):
         raise ValueError("a map cannot be a key")
     default = _default(kind)
     if default is None:  # nested: a one-element array is never null itself

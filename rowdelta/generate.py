@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ DAY = 86_400
 @dataclass(frozen=True)
 class PairConfig:
     """``new_ids`` is the share of target rows with ids the source lacks; ``changed`` the share of the other rows
-    whose fields are drawn anew. ``errors`` perturbs single fields of target rows, ``nulls`` empties nullable ones."""
+    whose fields are drawn anew and whose e-mail names the id. ``errors`` perturbs single fields of target rows, ``nulls`` empties nullable ones."""
 
     rows: int = 1_000_000
     seed: int = 42
@@ -71,8 +72,14 @@ def _fields(seed, target: bool, config: PairConfig) -> dict[str, Column]:
     return {k: F.when(_draw(f"null {k}", seed) >= config.nulls, v) for k, v in out.items()}
 
 
+def _id(seed: int) -> Column:
+    return F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "n"), 256), 1, 32)
+
+
 def _with_id(rows: DataFrame, fields: dict[str, Column], seed: int) -> DataFrame:
-    return rows.select(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "n"), 256), 1, 32).alias("id"), *[c.alias(k) for k, c in fields.items()])
+    """Files have no metadata of their own from Spark's writers: that of the generator is the id column's."""
+    made = {"created_by": "rowdelta", "version": "1.0.0", "timestamp": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    return rows.select(_id(seed).alias("id", metadata=made), *[c.alias(k) for k, c in fields.items()])
 
 
 def source(spark: SparkSession, config: PairConfig = PairConfig()) -> DataFrame:
@@ -85,8 +92,12 @@ def target(spark: SparkSession, config: PairConfig = PairConfig()) -> DataFrame:
     rows = spark.range(config.rows).withColumnRenamed("id", "n")
     # a row whose id is not reused gets a number beyond all of the source's
     rows = rows.select(F.when(_draw("reuse", config.seed) >= config.new_ids, n).otherwise(n + config.rows).alias("n"))
-    seed = F.when((n >= config.rows) | (_draw("changed", config.seed) < config.changed), F.lit(config.seed + 1)).otherwise(F.lit(config.seed))
-    return _with_id(rows, _fields(seed, True, config), config.seed)
+    changed = (n < config.rows) & (_draw("changed", config.seed) < config.changed)
+    seed = F.when((n >= config.rows) | changed, F.lit(config.seed + 1)).otherwise(F.lit(config.seed))
+    fields = _fields(seed, True, config)
+    mail = F.concat(F.lit("modified_"), _id(config.seed), F.lit("@example.com"))
+    fields["email"] = F.when(changed & fields["email"].isNotNull(), mail).otherwise(fields["email"])
+    return _with_id(rows, fields, config.seed)
 
 
 def write_pair(spark: SparkSession, source_path: str, target_path: str, config: PairConfig = PairConfig()) -> None:

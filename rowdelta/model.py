@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
 from typing import Protocol, runtime_checkable
 
 import pyarrow as pa
@@ -88,18 +89,36 @@ class Dataset:
 
 @dataclass
 class DiffResult:
-    """Added, deleted and modified rows as DataFrames; nothing runs before they are used."""
+    """Added, deleted and modified rows as DataFrames; nothing runs before they are used.
+
+    Columns of the modified rows' flags and ``_change_type`` carry ``metadata``, which Parquet and Arrow files keep."""
 
     added: DataFrame
     deleted: DataFrame
     modified: DataFrame
     summary_frame: DataFrame
     column_counts: DataFrame
-    metadata: dict[str, str] = field(default_factory=lambda: {"modified_record": "true", "modification_time": datetime.now(timezone.utc).isoformat(timespec="seconds")})
+    metadata: dict[str, str] = field(default_factory=dict)
+
+    #: what a differ's ``cancel`` ends
+    tag: str | None = None
+
+    @contextmanager
+    def running(self) -> Iterator[DiffResult]:
+        """Jobs of this thread inside can be cancelled by the differ; those outside cannot."""
+        spark = self.summary_frame.sparkSession
+        if self.tag:
+            spark.addTag(self.tag)
+        try:
+            yield self
+        finally:
+            if self.tag:
+                spark.removeTag(self.tag)
 
     def summary(self) -> DiffSummary:
         """Runs one job: the counts by column come with the totals."""
-        row = self.summary_frame.first()
+        with self.running():
+            row = self.summary_frame.first()
         counts = {k: v for k, v in (row["columns"] or {}).items() if v}
         return DiffSummary(*(row[k] for k in ("total_source", "total_target", "added", "deleted", "modified")), counts)
 
@@ -107,7 +126,7 @@ class DiffResult:
         """All three in one frame with ``_change_type``; columns a part lacks are null."""
         from pyspark.sql import functions as F
 
-        tagged = [df.select(F.lit(kind).alias("_change_type"), *[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]) for kind, df in (("added", self.added), ("deleted", self.deleted), ("modified", self.modified))]
+        tagged = [df.select(F.lit(kind).alias("_change_type", metadata=self.metadata), *[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]) for kind, df in (("added", self.added), ("deleted", self.deleted), ("modified", self.modified))]
         return tagged[0].unionByName(tagged[1], allowMissingColumns=True).unionByName(tagged[2], allowMissingColumns=True)
 
 

@@ -4,22 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from rowdelta.functions.compare import text_key, typed_key
+from rowdelta.functions.compare import comparable, text_key, typed_key
 from rowdelta.operators.keys import first_fields
 
 
-def _orderable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.MapType):
-        return False
-    if isinstance(kind, T.ArrayType):
-        return _orderable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(_orderable(f.dataType) for f in kind.fields)
-    return True
-
-
 class Side:
     """Columns are ``{tag}{place}``, so that dots, case and repeated names cannot clash; keys are ``k{n}``."""
 
@@ -39,8 +28,7 @@ class Side:
         self.on = [f"k{i}" for i in range(len(made))]
         # computed below any window or join, so that both use the same hash partitioning
         self.rows = renamed.select("*", *[c.alias(n) for c, n in zip(made, self.on, strict=True)])
-        by = order_by or tuple(n for n, (_, kind) in self.fields.items() if _orderable(kind))
-        self.by = [self.column(n) for n in by]
+        self.by = [comparable(self.column(n), self.fields[n][1]) for n in order_by or self.fields]
         self.order = [c.desc_nulls_last() for c in self.by]
 
     def column(self, name: str) -> Column:

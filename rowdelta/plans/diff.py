@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,8 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
 
     pairs = s.last().join(t.last(), s.on, "inner").where(any_flag)
     own = [F.col(f"s{i}").alias(n) for i, n in enumerate(s.names)]
-    marks = [F.coalesce(flags.get(n, F.lit(False)), F.lit(True)).alias(FLAG + n) for n in s.names]
+    metadata = {"modified_record": "true", "modification_time": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    marks = [F.coalesce(flags.get(n, F.lit(False)), F.lit(True)).alias(FLAG + n, metadata=metadata) for n in s.names]
     if clash := set(s.names) & {FLAG + n for n in s.names}:
         raise ValueError(f"columns of the source are named like flags: {', '.join(sorted(clash))}")
     extra = [t.column(n).alias(f"_target_{n}") for n in s.names if n in t.fields] if options.target_values else []
@@ -66,7 +71,7 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
         counts.alias("columns"),
     )
     by_column = summary.select(F.explode("columns").alias("column", "modifications")).where("modifications > 0")
-    return DiffResult(added, deleted, modified, summary, by_column)
+    return DiffResult(added, deleted, modified, summary, by_column, metadata)
 
 
 def _flag(s: Side, t: Side, name: str, tolerance: float) -> Column:
@@ -76,14 +81,14 @@ def _flag(s: Side, t: Side, name: str, tolerance: float) -> Column:
 
 
 class SparkDiffer:
-    """The differ of this package; ``cancel`` ends the jobs of a diff that runs in another thread."""
+    """The differ of this package. ``cancel`` ends the jobs that run inside ``running()`` of its results, of which
+    ``summary()`` is one, from another thread; it has a tag of its own."""
 
-    def __init__(self, tag: str = "rowdelta"):
-        self.tag = tag
+    def __init__(self, tag: str | None = None):
+        self.tag = tag or f"rowdelta-{uuid.uuid4().hex}"
 
     def diff(self, source: DataFrame | Dataset, target: DataFrame | Dataset, options: DiffOptions) -> DiffResult:
-        (source.df if isinstance(source, Dataset) else source).sparkSession.addTag(self.tag)
-        return diff(source, target, options)
+        return dataclasses.replace(diff(source, target, options), tag=self.tag)
 
     def cancel(self, spark) -> None:
         spark.interruptTag(self.tag)

@@ -6,13 +6,15 @@ values change, become null, or move by less than a tolerance.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowdelta import generate, sinks, sources
-from rowdelta.model import DiffOptions, DiffResult, FieldInfo, SchemaInfo
+from rowdelta.model import Dataset, DiffOptions, DiffResult, FieldInfo, SchemaInfo
 from rowdelta.plans import diff
 from rowdelta.schema import (
     DecimalPrecisionRule,
@@ -28,6 +30,8 @@ from rowdelta.schema import (
     parse_type,
 )
 from rowdelta.schema.report import differences_frame
+from rowdelta.schema.types import schema_of
+from rowdelta.workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,11 +320,15 @@ def diff_timestamp_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(events(E_SOURCE), events(E_TARGET), DiffOptions(("event_id",), unique_keys=True)).modified.drop("ts")
 
 
-@query("SELECT vec_id, label, FALSE AS _modified_vec_id, TRUE AS _modified_embedding, vec_id % 4 = 0 AS _modified_label FROM embeddings WHERE vec_id % 3 = 0")
+@query(
+    """WITH t AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding, label + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS label FROM embeddings)
+  SELECT s.vec_id, s.label, FALSE AS _modified_vec_id, s.embedding IS DISTINCT FROM t.embedding AS _modified_embedding, s.label IS DISTINCT FROM t.label AS _modified_label
+  FROM embeddings s JOIN t USING (vec_id) WHERE s.embedding IS DISTINCT FROM t.embedding OR s.label IS DISTINCT FROM t.label"""
+)
 def diff_array_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _table(spark, sf_dir, "embeddings")
     changed = F.when(F.col("vec_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
-    label = F.when(F.col("vec_id") % 12 == 0, F.col("label") + 1).otherwise(F.col("label"))
+    label = F.when(F.col("vec_id") % 4 == 0, F.col("label") + 1).otherwise(F.col("label"))
     target = source.select("vec_id", changed.alias("embedding"), label.alias("label"))
     return diff(source, target, DiffOptions(("vec_id",), unique_keys=True)).modified.drop("embedding")
 
@@ -337,7 +345,9 @@ def diff_decimal_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, FALSE AS _modified_c_custkey, TRUE AS _modified_tags FROM customer WHERE c_custkey % 5 = 0"""
+    """WITH s AS (SELECT c_custkey, [{'k': 'a', 'v': c_name}, {'k': 'b', 'v': c_mktsegment}] AS tags FROM customer),
+  t AS (SELECT c_custkey, [{'k': 'b', 'v': c_mktsegment}, {'k': 'a', 'v': CASE WHEN c_custkey % 5 = 0 THEN '?' ELSE c_name END}] AS tags FROM customer)
+  SELECT c_custkey, FALSE AS _modified_c_custkey, TRUE AS _modified_tags FROM s JOIN t USING (c_custkey) WHERE list_sort(s.tags) IS DISTINCT FROM list_sort(t.tags)"""
 )
 def diff_map_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _table(spark, sf_dir, "customer").select("c_custkey", F.create_map(F.lit("a"), "c_name", F.lit("b"), "c_mktsegment").alias("tags"))
@@ -350,11 +360,7 @@ def diff_map_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rowdelta-")
-    return f"{shared.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
 
 
 def _local(path: str) -> str:
@@ -375,10 +381,7 @@ def source_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer")
 def source_arrow_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
-
     path = _local(_folder(spark)) + ".arrow"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
     name = F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name")
     sinks.write(_table(spark, sf_dir, "customer").select("c_custkey", name, "c_acctbal"), path, "arrow")
     return sources.read(spark, path).df
@@ -400,13 +403,28 @@ def sink_parquet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS s_name, s_acctbal FROM supplier")
 def sink_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
-
-    path = _local(_folder(spark)) + ".json"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = _folder(spark) + ".json"
     name = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("s_name")
     sinks.write(_table(spark, sf_dir, "supplier").select("s_suppkey", name, "s_acctbal"), path, "json")
-    return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path, multiLine=True)
+    return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
+
+
+def _one_file(spark: SparkSession, df: DataFrame, kind: str) -> str:
+    path = f"{_local(_folder(spark))}.{kind.split('_')[0]}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    sinks.write(df, path, kind)
+    return path
+
+
+@query("SELECT * FROM nation")
+def sink_arrow_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.read(spark, _one_file(spark, _table(spark, sf_dir, "nation"), "arrow_file")).df
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def sink_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _one_file(spark, _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "json_array")
+    return spark.read.schema("n_nationkey long, n_name string").json(path, multiLine=True)
 
 
 # schemas: results are small and made on the driver
@@ -426,7 +444,26 @@ def _result_rows(spark: SparkSession, results: list[tuple[str, object]]) -> Data
     return spark.createDataFrame(rows, "case string, valid boolean, kind string, rule string, message string")
 
 
-@query()
+_message = """'lineitem' AS "case", FALSE AS valid, 'error' AS kind, {} AS rule, {} AS message"""
+_columns = "(SELECT column_name AS n, column_type AS t FROM (DESCRIBE lineitem))"
+#: Each rule again in SQL over the table's declared columns; what files declare beyond SQL (nullability, metadata,
+#: encodings) is that of files written without any.
+RULES_SQL = f"""
+  SELECT 'lineitem' AS "case", FALSE AS valid, 'outcome' AS kind, '' AS rule, '' AS message
+  UNION ALL SELECT {_message.format("'RequiredFieldsRule'", "'required fields missing: ' || string_agg(f, ', ' ORDER BY f)")} FROM (VALUES ('l_orderkey'), ('l_comment')) AS w(f) WHERE f NOT IN (SELECT n FROM {_columns})
+  UNION ALL SELECT {_message.format("'NullabilityRule'", "'fields that should not be nullable: ' || n")} FROM {_columns} WHERE n = 'l_orderkey'
+  UNION ALL SELECT {_message.format("'FieldTypeRule'", "'field type validation failed: field ''' || n || ''' has type ''' || lower(t) || ''', but expected one of: decimal128(12, 2)'")} FROM {_columns} WHERE n = 'l_quantity' AND t <> 'DECIMAL(12,2)'
+  UNION ALL SELECT {_message.format("'TypeCompatibilityRule'", "'type compatibility validation failed: field ''' || n || ''' has type ''' || replace(t, 'INTEGER', 'int32') || ''' which is not in the compatibility map'")} FROM {_columns} WHERE n = 'l_linenumber' AND t <> 'BIGINT'
+  UNION ALL SELECT {_message.format("'MetadataRule'", "'required metadata keys missing: owner'")}
+  UNION ALL SELECT {_message.format("'DictionaryEncodingRule'", "'string fields should use dictionary encoding: ' || string_agg(n, ', ')")} FROM {_columns} WHERE t = 'VARCHAR' AND n <> 'l_linestatus'
+  UNION ALL SELECT {_message.format("'TemporalFormatRule'", "'temporal format validation failed: ' || string_agg(m, '; ' ORDER BY m)")} FROM (
+    SELECT 'field ''' || n || ''' should use Date32 type, got ''' || replace(t, 'VARCHAR', 'string') || '''' AS m FROM {_columns} WHERE n = 'l_returnflag' AND t <> 'DATE'
+    UNION ALL SELECT 'field ''' || n || ''' should use timezone ''UTC'', got ''''' FROM {_columns} WHERE n = 'l_shipdate' AND t = 'TIMESTAMP')
+  UNION ALL SELECT {_message.format("'DecimalPrecisionRule'", "'decimal precision validation failed: field ''' || n || ''' should be a decimal type, got ''' || lower(t) || ''''")} FROM {_columns} WHERE n = 'l_discount' AND t NOT LIKE 'DECIMAL%'
+"""
+
+
+@query(RULES_SQL)
 def schema_rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule over the declared schema of lineitem."""
     info = sources.read(spark, f"{sf_dir}/lineitem.parquet", "parquet").schema
@@ -443,7 +480,31 @@ def schema_rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(spark, [("lineitem", Validator(rules).validate(info))])
 
 
-@query()
+def _only(a: str, b: str) -> str:
+    return f"(SELECT column_name AS n FROM (DESCRIBE {a}) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE {b})))"
+
+
+_warning = "SELECT '{} tables', TRUE, 'warning', '{}', {} FROM {}"
+#: What the levels say about the tables follows from their columns; about the fields below, from the levels' rules by hand.
+LEVELS_SQL = f"""
+  SELECT 'strict tables' AS "case", FALSE AS valid, 'error' AS kind, 'SchemaStructure' AS rule,
+    'schema field count mismatch: got ' || (SELECT count(*) FROM (DESCRIBE customer)) || ', expected ' || (SELECT count(*) FROM (DESCRIBE supplier)) AS message
+  UNION ALL {_warning.format("compatible", "SchemaEvolution", "'new field ''' || n || ''' in target schema'", _only("supplier", "customer"))}
+  UNION ALL {_warning.format("compatible", "SchemaEvolution", "'field ''' || n || ''' removed in target schema'", _only("customer", "supplier"))}
+  UNION ALL {_warning.format("relaxed", "SchemaStructure", "'field ''' || n || ''' exists only in target schema'", _only("supplier", "customer"))}
+  UNION ALL {_warning.format("relaxed", "SchemaStructure", "'field ''' || n || ''' exists only in source schema'", _only("customer", "supplier"))}
+  UNION ALL VALUES
+  ('strict fields', FALSE, 'error', 'SchemaStructure', 'field nullability mismatch for ''id'': got false, expected true; field nullability mismatch for ''name'': got true, expected false; field type mismatch for ''age'': got ''int32'', expected ''int64'''),
+  ('compatible fields', FALSE, 'error', 'SchemaCompatibility', 'increased nullability restriction for field ''name''; incompatible type for field ''age'': got ''int32'', expected ''int64'''),
+  ('compatible fields', FALSE, 'warning', 'SchemaEvolution', 'relaxed nullability for field ''id'''),
+  ('relaxed fields', FALSE, 'error', 'CommonFields', 'incompatible type for common field ''age'': got ''int32'', expected ''int64'''),
+  ('strict tables', FALSE, 'outcome', '', ''), ('compatible tables', TRUE, 'outcome', '', ''), ('relaxed tables', TRUE, 'outcome', '', ''),
+  ('strict fields', FALSE, 'outcome', '', ''), ('compatible fields', FALSE, 'outcome', '', ''), ('relaxed fields', FALSE, 'outcome', '', ''),
+  ('strict same', TRUE, 'outcome', '', ''), ('compatible same', TRUE, 'outcome', '', ''), ('relaxed same', TRUE, 'outcome', '', '')
+"""
+
+
+@query(LEVELS_SQL)
 def schema_levels_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each level over the declared schemas of customer and supplier, and over changed fields."""
     a, b = (sources.read(spark, f"{sf_dir}/{t}.parquet", "parquet").schema for t in ("customer", "supplier"))
@@ -451,13 +512,32 @@ def schema_levels_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(spark, [(f"{level.value} {case}", Validator(level=level).validate_against(x, y)) for level in ValidationLevel for case, x, y in (("tables", a, b), ("fields", c, d), ("same", a, a))])
 
 
-@query("SELECT 'id' AS k, 20000::BIGINT AS total_source, 20000::BIGINT AS total_target, TRUE AS balanced, TRUE AS near_shares")
+@query()
 def generated_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated pair: as many ids leave as come, about the shares that were asked for."""
-    config = generate.PairConfig(rows=20_000, changed=0.25, errors=0.0, nulls=0.0)
-    found = diff(generate.source(spark, config), generate.target(spark, config), DiffOptions(("id",), unique_keys=True)).summary_frame
-    near = F.col("added").between(1800, 2200) & F.col("modified").between(4100, 4900)
-    return found.select(F.lit("id").alias("k"), "total_source", "total_target", (F.col("added") == F.col("deleted")).alias("balanced"), near.alias("near_shares"))
+    """Totals and modified columns of a generated pair with as many rows as there are orders, errors and nulls included.
+
+    The generator draws from Spark's hash, which SQL elsewhere lacks: tests compare with a diff in plain Python."""
+    config = generate.PairConfig(rows=_table(spark, sf_dir, "orders").count(), changed=0.25)
+    found = diff(generate.source(spark, config), generate.target(spark, config), DiffOptions(("id",), tolerance=TOL, unique_keys=True)).summary_frame
+    return found.select("total_source", "total_target", "added", "deleted", "modified", F.explode("columns").alias("column", "modifications"))
+
+
+@query(_modified_sql(FLAGS, _pair(), COLS))
+def diff_key_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No keys are given: the source's schema names its primary key."""
+    a, b = (_sql(spark, sf_dir, "orders", q) for q in (O_SOURCE, O_TARGET))
+    source = Dataset(a, SchemaInfo(schema_of(a).fields, {"primary_key": "o_orderkey"}))
+    return diff(source, b, DiffOptions(tolerance=TOL, unique_keys=True)).modified
+
+
+T_SOURCE = "SELECT o_orderkey, named_struct('m', map('a', o_orderstatus, 'b', o_orderpriority), 'n', o_custkey) AS v FROM orders"
+T_TARGET = "SELECT o_orderkey, named_struct('m', map('b', o_orderpriority, 'a', if(o_orderkey % 7 = 0, '?', o_orderstatus)), 'n', o_custkey + if(o_orderkey % 5 = 0, 1, 0)) AS v FROM orders"
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderstatus AS a, o_custkey AS n FROM orders), t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '?' ELSE o_orderstatus END AS a, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n FROM orders)
+  SELECT o_orderkey, FALSE AS _modified_o_orderkey, TRUE AS _modified_v FROM s JOIN t USING (o_orderkey) WHERE s.a IS DISTINCT FROM t.a OR s.n <> t.n""")
+def diff_map_inside_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, T_TARGET, T_SOURCE).modified.drop("v")
 
 
 def lineitem_pair(spark: SparkSession, sf_dir: str, target_dir: str | None = None) -> DiffResult:

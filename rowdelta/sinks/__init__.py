@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rowdelta.model import DiffResult, DiffSummary
 from rowdelta.workers import ship
@@ -23,8 +24,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One indented array of row objects in one file; rows pass through the driver a partition at a time."""
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One indented array of row objects in one file, for small results: rows pass through the driver, a partition at
+    a time."""
     with open(path, "w", encoding="utf-8") as f:
         json_array(df, f)
 
@@ -66,7 +68,7 @@ class ArrowFolderWriter(DataSourceArrowWriter):
 
         os.makedirs(self.path, exist_ok=True)
         name = f"{self.path}/part-{uuid.uuid4().hex}.arrow"
-        schema = to_arrow_schema(self.wanted)
+        schema = _with_metadata(to_arrow_schema(self.wanted), self.wanted)
         with pa.OSFile(f"{name}.tmp", "wb") as f, ipc.new_file(f, schema) as w:
             for batch in iterator:
                 w.write_batch(batch.cast(schema))
@@ -92,17 +94,28 @@ class Written(WriterCommitMessage):
         self.name = name
 
 
-def write_arrow(df: DataFrame, path: str) -> None:
-    """One IPC file; each partition is a run of batches and passes through the driver on its own."""
-    schema = to_arrow_schema(df.schema)
-    tagged = df.select("*", F.spark_partition_id().alias("_part")).persist()
-    try:
-        with pa.OSFile(path, "wb") as f, ipc.new_file(f, schema) as w:
-            for i in range(tagged.rdd.getNumPartitions()):
-                for batch in tagged.where(F.col("_part") == i).drop("_part").toArrow().cast(schema).to_batches():
-                    w.write_batch(batch)
-    finally:
-        tagged.unpersist()
+def write_arrow_file(df: DataFrame, path: str) -> None:
+    """One IPC file, for small results: executors make its batches, the driver fetches and writes them one by one."""
+    schema = arrow_schema_of(df)
+    ship(df.sparkSession)
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.cast(schema).serialize().to_pybytes()], pa.binary())], ["batch"])
+
+    with pa.OSFile(path, "wb") as f, ipc.new_file(f, schema) as w:
+        for row in df.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            w.write_batch(ipc.read_record_batch(pa.py_buffer(bytes(row[0])), schema))
+
+
+def arrow_schema_of(df: DataFrame) -> pa.Schema:
+    """The Arrow schema of ``df``; metadata of its columns becomes that of the schema."""
+    return _with_metadata(to_arrow_schema(df.schema), df.schema)
+
+
+def _with_metadata(schema: pa.Schema, declared: StructType) -> pa.Schema:
+    found = {k: str(v) for f in declared.fields for k, v in (f.metadata or {}).items()}
+    return schema.with_metadata(found) if found else schema
 
 
 def write_arrow_folder(df: DataFrame, path: str) -> None:
@@ -112,7 +125,8 @@ def write_arrow_folder(df: DataFrame, path: str) -> None:
 
 
 Writer = Callable[[DataFrame, str], None]
-WRITERS: dict[str, Writer] = {"parquet": write_parquet, "arrow": write_arrow, "json": write_json}
+#: What executors write in parallel, and forms of one file that the driver writes.
+WRITERS: dict[str, Writer] = {"parquet": write_parquet, "arrow": write_arrow_folder, "json": write_json_lines, "arrow_file": write_arrow_file, "json_array": write_json_array}
 
 
 def register(kind: str, writer: Writer) -> None:
@@ -130,10 +144,11 @@ def write(df: DataFrame, path: str, kind: str) -> None:
 def write_diff(result: DiffResult, path: str, kind: str = "parquet") -> None:
     """Added, deleted and modified rows in one output with ``_change_type``."""
     changes = result.changes()
-    if kind == "parquet":
-        changes.write.mode("overwrite").option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("_change_type").parquet(path)
-    else:
-        write(changes, path, kind)
+    with result.running():
+        if kind == "parquet":
+            changes.write.mode("overwrite").option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("_change_type").parquet(path)
+        else:
+            write(changes, path, kind)
 
 
 def summary_text(summary: DiffSummary) -> str:

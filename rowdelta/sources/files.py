@@ -63,8 +63,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return Dataset(df, schema_of(df))
 
 
-def read_jdbc(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, **options) -> Dataset:
-    """A table or query of the database at the JDBC address ``path``."""
+def read_jdbc(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, ranges: tuple[str, object, object, int] | None = None, **options) -> Dataset:
+    """A table or query of the database at the JDBC address ``path``.
+
+    With ``ranges`` (column, low, high, n) a table is read by n tasks, each a range of the column; without, by one."""
     reader = spark.read.format("jdbc").option("url", path).options(**options)
+    if ranges:
+        if query:
+            raise ValueError("ranges are of a table")
+        reader = reader.options(**dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, ranges), strict=True)))
     df = (reader.option("query", query) if query else reader.option("dbtable", table)).load()
     return Dataset(df, schema_of(df))

@@ -1,8 +1,9 @@
-"""Python workers have to import this package wherever the driver found it."""
+"""What workers need of the driver: this package wherever it was found, and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -26,3 +27,18 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._rowdelta_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Only a local session may lack the setting: it gets a temporary folder of this machine. On a cluster a machine's
+    own folder would lose rows, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="rowdelta-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")

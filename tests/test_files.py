@@ -88,14 +88,14 @@ def test_sinks(spark, tmp_path, capsys):
         sinks.write(df, path, kind)
         assert sources.read(spark, path).df.exceptAll(df).count() == 0
     assert pq.ParquetFile(next((tmp_path / "o.parquet").glob("*.parquet"))).metadata.row_group(0).column(0).compression == "SNAPPY"
-    sinks.write_arrow_folder(df, str(tmp_path / "f.arrow"))
-    assert sources.read(spark, str(tmp_path / "f.arrow")).df.count() == 2
-    sinks.write(df, str(tmp_path / "o.json"), "json")
+    sinks.write(df, str(tmp_path / "f.arrow"), "arrow_file")
+    assert (tmp_path / "f.arrow").is_file() and sources.read(spark, str(tmp_path / "f.arrow")).df.exceptAll(df).count() == 0
+    sinks.write(df, str(tmp_path / "o.json"), "json_array")
     rows = json.loads((tmp_path / "o.json").read_text())
     assert len(rows) == 2 and rows[0]["s"] is None and rows[0]["d"] == "2024-01-02" and rows[0]["m"] == 1.5 and rows[0]["a"] == [1, None]
-    sinks.write(df.limit(0), str(tmp_path / "e.json"), "json")
+    sinks.write(df.limit(0), str(tmp_path / "e.json"), "json_array")
     assert json.loads((tmp_path / "e.json").read_text()) == []
-    sinks.write_json_lines(df, str(tmp_path / "l"))
+    sinks.write(df, str(tmp_path / "l"), "json")
     assert spark.read.json(str(tmp_path / "l")).count() == 2
 
 
@@ -114,6 +114,9 @@ def test_generator(spark, pair):
     assert dict(a.dtypes)["score"] == "decimal(10,2)" and dict(a.dtypes)["created_at"] == "timestamp_ntz"
     s = diff(a, b, DiffOptions(("id",), unique_keys=True)).summary()
     assert s.added == s.deleted and 130 < s.added < 270 and 250 < s.modified < 550
+    mails = b.where("email LIKE 'modified_%'")
+    assert 250 < mails.count() < 500 and mails.where("email = concat('modified_', id, '@example.com')").count() == mails.count()
+    assert a.where("email LIKE 'modified_%'").count() == 0 and a.schema["id"].metadata["created_by"] == "rowdelta"
     again = generate.source(spark, generate.PairConfig(rows=2000, changed=0.2, nulls=0.1))
     assert a.exceptAll(again).count() == 0
     less = generate.target(spark, generate.PairConfig(rows=10, missing_columns=True, new_columns=False))
@@ -173,3 +176,18 @@ def test_values_survive_a_diff(spark):
     schema = "id int, m decimal(9,2), d date, b binary, a array<double>"
     found = diff(spark.createDataFrame([row], schema), spark.createDataFrame([], schema), DiffOptions(("id",))).deleted
     assert tuple(found.first()) == row
+
+
+def test_metadata_reaches_files(spark, tmp_path):
+    found = diff(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), spark.createDataFrame([(1, "x")], "id int, v string"), DiffOptions(("id",)))
+    sinks.write(found.modified, str(tmp_path / "m.parquet"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "m.parquet")).schema["_modified_v"].metadata == found.metadata
+    for kind in ("arrow", "arrow_file"):
+        sinks.write_diff(found, str(tmp_path / f"{kind}.arrow"), kind)
+        info = sources.read(spark, str(tmp_path / f"{kind}.arrow")).schema
+        assert info.metadata["modified_record"] == "true" and info.metadata == found.metadata
+
+
+def test_jdbc_ranges(spark):
+    with pytest.raises(ValueError, match="ranges"):
+        sources.read(spark, "jdbc:none", "jdbc", query="SELECT 1", ranges=("id", 0, 9, 3))
