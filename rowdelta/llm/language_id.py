@@ -139,8 +139,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3, least: int = 20, most_features: int = 1 << 24) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, feature weights (with IDF), biases and temperature from labelled ``docs`` (doc_id, text, lang).
 
-    The classifier sees a bounded sample: of every language the documents of least hash, an even share of ``sample``
-    but ``least`` at least, the languages taking turns until ``most_features`` distinct features of documents are
+    The classifier sees a bounded sample: of every language the documents of least hash, about an even share of
+    ``sample`` and no more, but ``least`` of each, the languages taking turns until ``most_features`` distinct features of documents are
     held. Document frequencies cover all of ``docs``."""
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -158,14 +158,14 @@ def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3, least: int = 20, m
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["h", "lang", "at", "x"])
 
     docs = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(4)).alias("h"))
-    share = max(least, sample // max(1, docs.agg(F.count_distinct("lang")).first()[0]))
-    by_lang = Window.partitionBy("lang").orderBy("h")
-    # ranks are limited before the shuffle: a task sends no more than a share of each language
-    ranked = docs.select("lang", "h", F.row_number().over(by_lang).alias("turn")).where(F.col("turn") <= share)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut"))  # a row for each language, as the model has a column
-    chosen = docs.join(F.broadcast(cuts), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
+    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language, as the model has a column
+    share = max(least, sample // max(1, by_lang.count()))
+    # hashes are even over their range, so a language's least ones are those under its share of the range
+    even = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    chosen = docs.join(F.broadcast(by_lang), "lang").where(even * F.col("n") < share).dropDuplicates(["lang", "h"])
     rows = chosen.select("text", "h", "lang").mapInArrow(features, "h long, lang string, at binary, x binary")
-    rows = stored(rows.withColumn("turn", F.row_number().over(by_lang)), "features")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = stored(rows.withColumn("turn", turn).where(F.col("turn") <= share), "features")
     sizes = rows.groupBy("turn").agg((F.sum(F.octet_length("at")) / 2).alias("n")).orderBy("turn").collect()
     turns = max(1, int((np.cumsum([r["n"] for r in sizes]) <= most_features).sum()))
     found = rows.where(F.col("turn") <= turns).orderBy("turn", "lang").collect()
