@@ -205,3 +205,24 @@ def test_primary_key_metadata_from_a_file(spark, tmp_path):
         pq.write_table(pa.table({"k": [7, 8], "v": v}, schema=schema), str(tmp_path / f"{name}.parquet"))
     found = diff(*(sources.read(spark, str(tmp_path / f"{n}.parquet")) for n in "ab"))
     assert found.summary().columns == {"v": 1}
+
+
+def test_a_differ_tags_its_own_jobs_only(spark):
+    from rowdelta.plans.diff import SparkDiffer
+
+    one, two = SparkDiffer(), SparkDiffer()
+    a = spark.createDataFrame([(1, "x")], "id int, v string")
+    found = one.diff(a, a, DiffOptions(("id",)))
+    assert one.tag != two.tag and spark.getTags() == set()
+    with found.running():
+        assert spark.getTags() == {one.tag}
+    one.cancel(spark)
+    assert spark.getTags() == set() and found.summary().modified == 0 and spark.getTags() == set()
+
+
+def test_last_row_by_a_map(spark):
+    """Rows of a key that differ in a map only: the greatest by its entries in key order is the last, however rows come."""
+    rows = [(1, {"b": 2, "a": 1}), (1, {"a": 1, "b": 3}), (1, {"a": 0, "b": 9})]
+    for x in (rows, rows[::-1]):
+        out = diff(spark.createDataFrame(x, "id int, m map<string,int>"), spark.createDataFrame([(1, {"b": 3, "a": 1})], "id int, m map<string,int>"), DiffOptions(("id",)))
+        assert out.modified.count() == 0
