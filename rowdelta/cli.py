@@ -121,7 +121,8 @@ def run_diff(a: argparse.Namespace) -> int:
         warnings.simplefilter("ignore")
         result = diff(data[0], data[1], options)
     drop = [c for h in hidden for c in (h, f"_modified_{h}")]
-    result = dataclasses.replace(result, added=result.added.drop(*drop), deleted=result.deleted.drop(*drop), modified=result.modified.drop(*drop))
+    if drop:
+        result = dataclasses.replace(result, combined=None, added=result.added.drop(*drop), deleted=result.deleted.drop(*drop), modified=result.modified.drop(*drop))
     summary = result.summary()
     to_stdout = a.format in ("json", "json_array") and not a.output
     sinks.print_summary(summary, sys.stderr if to_stdout else sys.stdout)

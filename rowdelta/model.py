@@ -103,6 +103,9 @@ class DiffResult:
     #: what a differ's ``cancel`` ends
     tag: str | None = None
 
+    #: what ``changes`` returns, where one join gives all of it
+    combined: DataFrame | None = None
+
     @contextmanager
     def running(self) -> Iterator[DiffResult]:
         """Jobs of this thread inside can be cancelled by the differ; those outside cannot."""
@@ -123,7 +126,11 @@ class DiffResult:
         return DiffSummary(*(row[k] for k in ("total_source", "total_target", "added", "deleted", "modified")), counts)
 
     def changes(self) -> DataFrame:
-        """All three in one frame with ``_change_type``; columns a part lacks are null."""
+        """All three in one frame with ``_change_type``; columns a part lacks are null.
+
+        With unique keys one join gives them; else the rows of a hot key would have to meet in it."""
+        if self.combined is not None:
+            return self.combined
         from pyspark.sql import functions as F
 
         tagged = [df.select(F.lit(kind).alias("_change_type", metadata=self.metadata), *[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]) for kind, df in (("added", self.added), ("deleted", self.deleted), ("modified", self.modified))]

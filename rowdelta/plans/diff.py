@@ -50,11 +50,13 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
     pairs = s.last().join(t.last(), s.on, "inner").where(any_flag)
     own = [F.col(f"s{i}").alias(n) for i, n in enumerate(s.names)]
     metadata = {"modified_record": "true", "modification_time": datetime.now(timezone.utc).isoformat(timespec="seconds")}
-    marks = [F.coalesce(flags.get(n, F.lit(False)), F.lit(True)).alias(FLAG + n, metadata=metadata) for n in s.names]
+    changed_in = {n: F.coalesce(flags.get(n, F.lit(False)), F.lit(True)) for n in s.names}
+    marks = [c.alias(FLAG + n, metadata=metadata) for n, c in changed_in.items()]
     if clash := set(s.names) & {FLAG + n for n in s.names}:
         raise ValueError(f"columns of the source are named like flags: {', '.join(sorted(clash))}")
     extra = [t.column(n).alias(f"_target_{n}") for n in s.names if n in t.fields] if options.target_values else []
     modified = pairs.select(*own, *marks, *extra)
+    combined = _combined(s, t, any_flag, changed_in, options.target_values, metadata) if options.unique_keys else None
 
     # totals: one full outer join of one row a key; each side's duplicates are counted on the way
     common = [c for c in compared if c in t.fields]
@@ -71,7 +73,29 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
         counts.alias("columns"),
     )
     by_column = summary.select(F.explode("columns").alias("column", "modifications")).where("modifications > 0")
-    return DiffResult(added, deleted, modified, summary, by_column, metadata)
+    return DiffResult(added, deleted, modified, summary, by_column, metadata, combined=combined)
+
+
+def _combined(s: Side, t: Side, any_flag: Column, changed_in: dict[str, Column], target_values: bool, metadata: dict[str, str]) -> DataFrame | None:
+    """All changes from one full outer join, so that each side is read and shuffled once; keys have one row a side.
+
+    None where names that differ in case, repeated names or ignored columns of two types need the union's rules."""
+    names = list(dict.fromkeys((*t.names, *s.names)))
+    plain = len({n.lower() for n in names}) == len(names) and all(len(set(x.names)) == len(x.names) for x in (s, t))
+    if not plain or any(s.fields[n][1] != t.fields[n][1] for n in s.names if n in t.fields):
+        return None
+    here, there = F.col("in_s").isNotNull(), F.col("in_t").isNotNull()
+    kind = F.when(~here, "added").when(~there, "deleted").when(any_flag, "modified")
+    both = s.rows.withColumn("in_s", F.lit(True)).join(t.rows.withColumn("in_t", F.lit(True)), s.on, "full_outer")
+    rows = both.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    modified = F.col("kind") == "modified"
+    value = lambda n: F.when(here, s.column(n) if n in s.fields else F.lit(None)).otherwise(t.column(n) if n in t.fields else F.lit(None))
+    return rows.select(
+        F.col("kind").alias("_change_type", metadata=metadata),
+        *[value(n).alias(n) for n in names],
+        *[F.when(modified, c).alias(FLAG + n, metadata=metadata) for n, c in changed_in.items()],
+        *[F.when(modified, t.column(n)).alias(f"_target_{n}") for n in s.names if target_values and n in t.fields],
+    )
 
 
 def _flag(s: Side, t: Side, name: str, tolerance: float) -> Column:

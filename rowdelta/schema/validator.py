@@ -58,7 +58,7 @@ class Validator:
 def _strict(schema: SchemaInfo, target: SchemaInfo, out: ValidationResult) -> None:
     """Same fields in the same order."""
     if len(schema.fields) != len(target.fields):
-        out.fail("SchemaStructure", f"schema field count mismatch: got {len(schema.fields)}, expected {len(target.fields)}")
+        out.fail("SchemaStructure", f"{len(schema.fields)} fields where the target has {len(target.fields)}")
         return
     wrong = []
     for i, (a, b) in enumerate(zip(schema.fields, target.fields, strict=True)):
@@ -116,10 +116,10 @@ def validate_reader(reader: object, validator: Validator) -> ValidationResult:
     """Validate whatever has a ``schema``: an attribute or a method without arguments."""
     out = ValidationResult()
     if not hasattr(reader, "schema"):
-        out.fail("System", "Reader does not implement Schema() method")
+        out.fail("System", "the reader cannot tell its schema")
         return out
     schema = reader.schema() if callable(reader.schema) else reader.schema
     if schema is None:
-        out.fail("System", "Reader returned nil schema")
+        out.fail("System", "the reader has no schema")
         return out
     return validator.validate(schema)

@@ -226,3 +226,23 @@ def test_last_row_by_a_map(spark):
     for x in (rows, rows[::-1]):
         out = diff(spark.createDataFrame(x, "id int, m map<string,int>"), spark.createDataFrame([(1, {"b": 3, "a": 1})], "id int, m map<string,int>"), DiffOptions(("id",)))
         assert out.modified.count() == 0
+
+
+@pytest.mark.parametrize("target_values", [True, False])
+def test_one_join_gives_all_changes_of_unique_keys(spark, people, target_values):
+    source, target = people
+    target = target.withColumn("more", F.lit(5)).select("more", *reversed(target.columns))
+    found = diff(source, target, DiffOptions(("id",), unique_keys=True, target_values=target_values))
+    each = diff(source, target, DiffOptions(("id",), target_values=target_values))
+    assert found.combined is not None and each.combined is None
+    assert _exchanges(found.changes()) == 2
+    assert found.changes().columns == each.changes().columns
+    assert [f.dataType for f in found.changes().schema.fields] == [f.dataType for f in each.changes().schema.fields]
+    assert rows(found.changes()) == rows(each.changes())
+    assert found.changes().schema["_change_type"].metadata == found.metadata
+
+
+def test_changes_of_names_that_differ_in_case(spark):
+    source, target = spark.createDataFrame([(1, 2)], "id long, a long"), spark.createDataFrame([(2, 3)], "id long, A long")
+    found = diff(source, target, DiffOptions(("id",), ignore=("a", "A"), unique_keys=True))
+    assert found.combined is None and found.changes().count() == 2
