@@ -39,6 +39,8 @@ MOST_CELLS, PER_CELL, MOST_BINS = 4096, 64, 1024
 TIGHT = 0.5
 #: Of a side's rows in a task, and of the sample on the driver.
 SIDE_BYTES, SAMPLE_BYTES = 16 << 20, 32 << 20
+#: Distances of nodes that are held at once.
+AT_ONCE = 1 << 22
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -108,25 +110,38 @@ def _coverable(x: np.ndarray, radius: float, most: int) -> bool:
     return alone.mean() * len(x) <= most
 
 
-def open_pairs(a: list[Level], xa: np.ndarray, b: list[Level], xb: np.ndarray, t: float):
+def open_pairs(a: list[Level], xa: np.ndarray, b: list[Level], xb: np.ndarray, t: float, link: bool = True):
     """Descend two trees. Returns the level reached, its open node pairs (boolean), and (level, i, j) of all node pairs
-    that are linked as a whole."""
+    that are linked as a whole; without ``link`` those are opened like others."""
     open_, whole = np.ones((1, 1), bool), []
     pa_, pb = np.zeros(len(xa), np.int64), np.zeros(len(xb), np.int64)
     level = -1
     for level, ((ca, na, ra), (cb, nb, rb)) in enumerate(zip(a, b, strict=False)):
         ask = open_[pa_[ca][:, None], pb[cb][None, :]]
-        d = distances(xa[ca], xb[cb])
-        both = ra[:, None] + rb[None, :]
-        linked = ask & (d + both < t - ROUNDING)
-        open_ = ask & ~linked & (d - both <= t + ROUNDING)
-        whole += [(level, i, j) for i, j in zip(*np.nonzero(linked), strict=True)]
+        open_ = np.zeros(ask.shape, bool)
+        strip = max(1, AT_ONCE // max(1, len(cb)))
+        for at in range(0, len(ca), strip):
+            own = slice(at, at + strip)
+            d = distances(xa[ca[own]], xb[cb])
+            both = ra[own, None] + rb[None, :]
+            linked = ask[own] & (d + both < t - ROUNDING) if link else np.zeros(d.shape, bool)
+            open_[own] = ask[own] & ~linked & (d - both <= t + ROUNDING)
+            whole += [(level, at + i, j) for i, j in zip(*np.nonzero(linked), strict=True)]
         pa_, pb = na, nb
         if not open_.any():
             break
     return level, open_, whole
 
 
+def bin_pairs_of(met: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of bins, the lower first, that hold a pair of cells of the matrix ``met``."""
+    n = bins.max(initial=-1) + 1
+    out = np.zeros((n, n), bool)
+    for c in range(len(met)):
+        out[bins[c], bins[met[c]]] = True
+    return np.nonzero(np.triu(out | out.T))
+
+
 def near(xa: np.ndarray, fa: np.ndarray, xb: np.ndarray, fb: np.ndarray, least: float) -> np.ndarray:
     """Which rows have a cosine of ``least`` in double precision; fa and fb are the rows in single precision."""
     if xa.shape[1] > WIDE:
@@ -292,7 +307,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int | None =
     # dual traversal of the upper levels, on the driver: at most ``cells`` nodes; unsampled lengths have one cell each
     t = float(np.sqrt(2 - 2 * least))
     held = [r.asDict() for r in sizes.where(F.col("width").isin(list(trees))).collect()]
-    named, meet, most = [], [], max(block, -(-total // MOST_BINS))
+    named, meet, most = [], [MEET.empty_table()], max(block, -(-total // MOST_BINS))
     for w, grown in trees.items():
         # two cells of each sampled point
         centres = np.repeat(sample[w], 2, 0)
@@ -310,16 +325,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int | None =
             reach = np.zeros(len(centre))
             np.maximum.at(reach, node, far[k])
             true.append((centre, node, reach + ROUNDING))
-        # all but pruned: node pairs linked as a whole are left to the blocks, which count links
-        _, open_, whole = open_pairs(true, centres, true, centres, t)
-        last = open_.copy() if open_.shape == (len(n), len(n)) else np.zeros((len(n), len(n)), bool)
-        for k, i, j in whole:
-            last[np.ix_(true[k][1] == i, true[k][1] == j)] = True
+        # all that is not pruned: blocks count links, so no node pair is linked as a whole here
+        _, open_, _ = open_pairs(true, centres, true, centres, t, link=False)
+        last = open_ if open_.shape == (len(n), len(n)) else np.zeros((len(n), len(n)), bool)
         # neighbours in the tree beside each other, the far ones after all others
         bins = bins_of(n, np.lexsort([*[node for _, node, _ in grown][::-1], np.arange(len(n)) % 2]), most)
-        i, j = np.nonzero(last & (n > 0)[:, None] & (n > 0)[None, :])
-        pair = np.unique(np.minimum(bins[i], bins[j]) * (bins.max(initial=0) + 1) + np.maximum(bins[i], bins[j]))
-        meet += [(w, int(p // (bins.max() + 1)), int(p % (bins.max() + 1))) for p in pair]
+        last &= (n > 0)[:, None] & (n > 0)[None, :]
+        i, j = bin_pairs_of(last, bins)
+        meet.append(pa.table({"width": np.full(len(i), w, np.int32), "ca": i, "cb": j}, schema=MEET))
         named += [(w, int(c), int(bins[c])) for c in np.flatnonzero(n)]
     named = spark.createDataFrame(named, "width int, cell int, bin long")
     other = ~F.col("width").isin(list(trees))
@@ -327,7 +340,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int | None =
     placed = dealt.join(named, ["width", "cell"], "left").withColumn("bin", F.coalesce("bin", F.lit(0).cast("long")))
     parts_of = placed.groupBy("width", "bin").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
     parts_of = stored(parts_of, "bins")
-    bin_pairs = spark.createDataFrame(meet, "width int, ca long, cb long").unionByName(parts_of.where(other).select("width", F.col("bin").alias("ca"), F.col("bin").alias("cb")))
+    bin_pairs = spark.createDataFrame(pa.concat_tables(meet)).unionByName(parts_of.where(other).select("width", F.col("bin").alias("ca"), F.col("bin").alias("cb")))
     of = parts_of.select("width", "bin", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
     pairs = bin_pairs.join(of.select("width", F.col("bin").alias("ca"), F.col("part").alias("i")), ["width", "ca"]).join(of.select("width", F.col("bin").alias("cb"), F.col("part").alias("j")), ["width", "cb"]).where("ca < cb or i <= j")
     pairs = pairs.select(F.concat_ws(":", "width", "ca", "i").alias("a"), F.concat_ws(":", "width", "cb", "j").alias("b"))
@@ -375,4 +388,5 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, block: int | None =
     return rows.select("vec_id", "h", "g").join(known, ["h", "g"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+MEET = pa.schema([("width", pa.int32()), ("ca", pa.int64()), ("cb", pa.int64())])
 PACKED = pa.schema([("block", pa.string()), ("width", pa.int32()), ("x", pa.binary()), ("tree", pa.binary()), ("weight", pa.binary()), ("node", pa.binary())])

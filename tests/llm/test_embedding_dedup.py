@@ -98,3 +98,29 @@ def test_tree_levels_nest_and_cover():
 def test_levels_without_near_points_are_not_built():
     x = normal(np.random.default_rng(0).normal(size=(1000, 64)))
     assert tree(x, 0.5, 3, 125) == [] and len(tree(np.repeat(x[:50], 20, 0), 0.5, 3, 125)) == 3
+
+
+def test_open_pairs_in_strips_and_without_links(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = normal(np.repeat(rng.normal(size=(12, 6)), 20, 0) + rng.normal(size=(240, 6)) * 0.05)
+    grown, t = tree(x, 1.0, 4), np.sqrt(0.2)
+    level, open_, whole = embedding_dedup.open_pairs(grown, x, grown, x, t)
+    monkeypatch.setattr(embedding_dedup, "AT_ONCE", 7)
+    again = embedding_dedup.open_pairs(grown, x, grown, x, t)
+    assert again[0] == level and (again[1] == open_).all() and again[2] == whole and whole
+    # all links are in pairs of nodes that are open or linked as a whole, or, without links, open
+    node = grown[level][1]
+    last, all_open, none = embedding_dedup.open_pairs(grown, x, grown, x, t, link=False)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert not none and last == len(grown) - 1 and all_open[grown[last][1][i], grown[last][1][j]].all() and not all_open.all()
+    held = open_[np.ix_(node, node)] if level == last else np.zeros((240, 240), bool)
+    for k, a, b in whole:
+        held[np.ix_(grown[k][1] == a, grown[k][1] == b)] = True
+    assert held[i, j].all()
+
+
+def test_pairs_of_bins_are_those_of_their_cells():
+    rng = np.random.default_rng(9)
+    met, bins = rng.random((30, 30)) < 0.05, rng.integers(0, 9, 30)
+    plain = {(min(bins[i], bins[j]), max(bins[i], bins[j])) for i in range(30) for j in range(30) if met[i, j]}
+    assert set(zip(*embedding_dedup.bin_pairs_of(met, bins), strict=True)) == plain
