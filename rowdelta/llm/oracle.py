@@ -102,4 +102,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op3_line_dedup": OP3, "op5_secret_scan": OP5, "op6_decontamination": OP6, "op7_chat_format": OP7}
+OP11 = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d
+  FROM documents
+), h AS (
+  SELECT *, len(w) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM t
+), k AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS k1, greatest(h1 % (n + 1), h2 % (n + 1)) AS k2,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), c AS (
+  SELECT *, array_to_string(w[1:k1], '') AS p, array_to_string(w[k1 + 1:k2], '') AS m, array_to_string(w[k2 + 1:n], '') AS s FROM k
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_embedding_dedup": OP2, "op3_line_dedup": OP3, "op5_secret_scan": OP5, "op6_decontamination": OP6, "op7_chat_format": OP7, "op11_fill_in_middle": OP11}

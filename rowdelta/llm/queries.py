@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown_lm, chat_format, decontamination, embedding_dedup, language_id, line_dedup, mixing, secret_scan, simhash, substring_dedup
+from . import brown_lm, chat_format, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, mixing, secret_scan, simhash, substring_dedup
 from .common import table
 
 
@@ -94,6 +94,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -110,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_dedup,
         op9_brown_lm,
         op10_mixing,
+        op11_fill_in_middle,
         pipeline,
     )
     return {f.__name__: f for f in own}
