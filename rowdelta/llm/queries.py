@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown_lm, chat_format, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, mixing, secret_scan, simhash, substring_dedup
+from . import brown_lm, chat_format, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, mixing, packing, secret_scan, simhash, substring_dedup
 from .common import table
 
 
@@ -100,6 +100,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -117,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_brown_lm,
         op10_mixing,
         op11_fill_in_middle,
+        op12_best_fit_packing,
         pipeline,
     )
     return {f.__name__: f for f in own}
