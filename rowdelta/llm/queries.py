@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import brown_lm, chat_format, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, mixing, packing, secret_scan, simhash, substring_dedup
+from . import brown_lm, chat_format, decontamination, embedding_dedup, fill_in_middle, language_id, line_dedup, mixing, packing, secret_scan, simhash, spelling, substring_dedup
 from .common import table
 
 
@@ -107,6 +107,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -125,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_mixing,
         op11_fill_in_middle,
         op12_best_fit_packing,
+        op13_spelling_variants,
         pipeline,
     )
     return {f.__name__: f for f in own}
