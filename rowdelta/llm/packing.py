@@ -9,13 +9,13 @@ their length by Spark, and a piece's number says which sequence of which pattern
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,43 +23,115 @@ from pyspark.sql import types as T
 from rowdelta.workers import ship
 
 from .common import parts, stored, text_key
-from .tokens import slices
+from .tokens import IN_WORD, slices, utf8
 
 END = 1
-#: Encoded words that a worker keeps.
-KEPT_WORDS = 400_000
+#: Encoded pieces of words that a worker keeps.
+KEPT = 400_000
 #: Pieces of one length that a task numbers: between these, by how many there are.
 FEWEST, MOST = 500, 100_000
 
 
+#: The pattern by which some tokenizers split lower-cased words into pieces that do not see each other.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[~IN_WORD] = _SPACE
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+for _a, _z in ("az", "AZ"):
+    _KIND[ord(_a) : ord(_z) + 1] = _LETTER
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of UTF-8 texts, lower-cased, and where pieces by ``PATTERN`` start; space is in none.
+
+    A word of other characters than printable ASCII and Latin-1 letters, or with the first two bytes of one of
+    ``whole``, is one piece as it is: the tokenizer splits it."""
+    n = len(data)
+    kind = _KIND[data]
+    # U+00C0 to U+00FF are C3 80 to C3 BF, letters but for U+00D7 and U+00F7
+    second = np.zeros(n, bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[second] = _LETTER
+    kind[:-1][second[1:]] = _LETTER
+    space = kind == _SPACE
+    begins = np.zeros(n, bool)
+    begins[offsets[:-1][offsets[:-1] < n]] = True
+    begins[1:] |= space[:-1]
+    begins &= ~space
+    word = np.cumsum(begins) - 1
+    odd = kind == _ODD
+    for token in whole:
+        odd[:-1] |= (data[:-1] == token[0]) & (data[1:] == token[1])
+    odd_word = np.zeros(word[-1] + 1 if n else 0, bool)
+    odd_word[word[odd & ~space]] = True
+    plain = ~space & ~odd_word[word] if len(odd_word) else np.zeros(n, bool)
+    lower = data.copy()
+    lower[plain & (data >= 65) & (data <= 90)] += 32
+    lower[plain & second & (data <= 0x9E)] += 32
+    start = begins.copy()
+    start[1:] |= plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    # an apostrophe that starts a piece takes the letters of a contraction with it
+    quote = np.flatnonzero(start & plain & (data == ord("'")))
+    last = np.concatenate([np.flatnonzero(begins), [n]])[1:]  # where the next word begins
+    for letters in CONTRACTIONS:
+        size = len(letters) + 1
+        at = quote[quote + size <= last[word[quote]]]
+        for k, letter in enumerate(letters):
+            at = at[lower[at + 1 + k] == letter]
+        start[at + 1] = False
+        after = at[at + size < n] + size
+        start[after] |= ~space[after]
+    return lower, start & ~space
+
+
 class Encoder:
-    """Token ids of whole columns of texts: each distinct word of a batch is encoded once.
+    """Token ids of whole columns of texts: each distinct piece of a batch is encoded once, and none that was seen.
 
-    Right for tokenizers that split texts at ``[\\x20\\x09-\\x0D]`` and drop these, so that words do not see each other."""
+    Right for tokenizers that split texts at ``[\\x20\\x09-\\x0D]`` and drop these, so that words do not see each other.
+    ``split`` says that they lower-case and split words by ``PATTERN`` too; ``whole`` are tokens of their own."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
-        self.encode, self.kept = encode, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], split: bool = False, whole: Iterable[str] = ()):
+        self.encode, self.split = encode, split
+        self.whole = [t.encode() for t in whole]
+        self.kept: dict[bytes, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and len + 1 offsets. Null is empty."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = [w for w in distinct if w not in self.kept]
-        for w, ids in zip(new, self.encode(new), strict=True):
-            self.kept[w] = np.array(ids, np.uint32).tobytes()
-        raw = [self.kept[w] for w in distinct]
+        data, offsets = utf8(texts)
+        inside = IN_WORD[data]
+        if self.split:
+            data, start = _pieces(data, offsets, self.whole)
+        else:
+            start = np.zeros(len(data), bool)
+            start[offsets[:-1][offsets[:-1] < len(data)]] = True
+            start[1:] |= ~inside[:-1]
+            start &= inside
+        # pieces are all that is not space, in order
+        upto = np.concatenate([[0], np.cumsum(inside)])
+        first = np.flatnonzero(start)
+        edges = np.concatenate([upto[first], upto[-1:]])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[inside])]).dictionary_encode()
+        raw = self._encoded(pieces.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(raw), np.uint32)
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        first = np.cumsum(size) - size
-        at = words.indices.to_numpy().astype(np.int64)
+        place = np.cumsum(size) - size
+        at = pieces.indices.to_numpy().astype(np.int64)
         n = size[at]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])]
-        by_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        return ids, upto[by_text]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(place[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(first, offsets)]
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
+        new = [p for p in pieces if p not in kept]
+        for p, ids in zip(new, self.encode([p.decode() for p in new]), strict=True):
+            kept[p] = np.array(ids, np.uint32).tobytes()
+        return [kept[p] for p in pieces]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -71,7 +143,11 @@ def encoder(tokenizer: str) -> Encoder:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        _ENCODERS[tokenizer] = Encoder(lambda words: (e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)))
+        parts = json.loads(model.to_str())
+        split = any(p.get("pattern") == {"Regex": PATTERN} for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", []))
+        split &= any(n["type"] == "Lowercase" for n in (parts["normalizer"] or {}).get("normalizers", []))
+        encode = lambda words: (e.ids for e in model.encode_batch_fast(words, add_special_tokens=False))
+        _ENCODERS[tokenizer] = Encoder(encode, split, [t["content"] for t in parts["added_tokens"]])
     return _ENCODERS[tokenizer]
 
 
@@ -79,7 +155,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bo
     """doc_id, text_hash, piece, start, length, ids_crc32 and, on request, ids of each piece of each row of ``docs``.
 
     A document is its ids by the file ``tokenizer``, which has to be there for executors, then id 1. One of over
-    ``capacity`` ids is cut into pieces of as many, the last of which may be shorter. Texts are encoded word by word,
+    ``capacity`` ids is cut into pieces of as many, the last of which may be shorter. Texts are encoded piece by piece,
     see :class:`Encoder`. A null text is empty: its document is the id 1."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

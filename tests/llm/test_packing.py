@@ -118,8 +118,28 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), FILE).collect() == []
 
 
+LETTERS = "abzABZsStTmMdDlLvVrReE019'\"!-.<>|_ßÀÖ×Øàöø÷ÿªº²¼İĀ́ΣςΩ日😀\xa0\x1c\x7f\x80"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from(LETTERS), min_size=1, max_size=9), max_size=6))
+def test_pieces_of_words_are_those_of_the_tokenizer(words):
+    text = " ".join(words)
+    ids, offsets = packing.encoder(FILE)(pa.array([text]))
+    assert [*ids.tolist(), 1] == ids_of(text)
+
+
+def test_words_are_split_by_the_known_pattern_only():
+    seen = []
+    own = packing.Encoder(lambda words: (seen.extend(words), [[0]] * len(words))[1], True, ["<|endoftext|>"])
+    own(pa.array(["Can't,x2'sANTA's ''s 'RE'vex", "<|endoftext|>A <|X É×A ÉA"]))
+    assert sorted(seen) == sorted({"can", "'t", ",", "x", "2", "'s", "anta", "''", "s", "'re", "'ve", "<|endoftext|>A", "<|X", "É×A", "éa"})
+    assert packing.encoder(FILE).split
+    assert not packing.encoder(public.path("byte_bpe_50k.json")).split
+
+
 def test_words_that_are_forgotten(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    monkeypatch.setattr(packing, "KEPT", 2)
     encode = packing.Encoder(lambda words: ([len(w)] * len(w) for w in words))
     for texts in (["a bb", None, ""], ["ccc a"], ["bb bb a\n"]):
         ids, offsets = encode(pa.array(texts, pa.string()))
