@@ -59,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--stream", action="store_true")
     d.add_argument("--differ", default="spark")
     d.add_argument("--unique-keys", action="store_true", help="promise that no key has several rows")
+    d.add_argument("--checksums", action="store_true", help="leave out buckets of keys whose checksums agree")
     d.add_argument("--key-style", default="typed", choices=["typed", "text"])
     d.add_argument("--exit-code", action="store_true", help="exit 2 if there are differences")
 
@@ -116,13 +117,14 @@ def run_diff(a: argparse.Namespace) -> int:
         one = sources.read(spark, path, kind, **({"positions": True} if by_place else {}))
         data.append(sources.full_load(one) if a.full_load else one)
     hidden = tuple(dict.fromkeys(c for x in data for c in x.position))
-    options = DiffOptions(tuple(a.key), (*a.ignore, *hidden), a.tolerance, unique_keys=a.unique_keys, key_style=a.key_style, batch_size=a.batch_size, parallel=a.parallel, workers=a.workers)
+    options = DiffOptions(tuple(a.key), (*a.ignore, *hidden), a.tolerance, unique_keys=a.unique_keys, checksums=a.checksums, key_style=a.key_style, batch_size=a.batch_size, parallel=a.parallel, workers=a.workers)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         result = diff(data[0], data[1], options)
     drop = [c for h in hidden for c in (h, f"_modified_{h}")]
     if drop:
-        result = dataclasses.replace(result, combined=None, added=result.added.drop(*drop), deleted=result.deleted.drop(*drop), modified=result.modified.drop(*drop))
+        whole = result.one_pass
+        result = dataclasses.replace(result, one_pass=whole and (lambda: whole().drop(*drop)), added=result.added.drop(*drop), deleted=result.deleted.drop(*drop), modified=result.modified.drop(*drop))
     summary = result.summary()
     to_stdout = a.format in ("json", "json_array") and not a.output
     sinks.print_summary(summary, sys.stderr if to_stdout else sys.stdout)

@@ -1,6 +1,7 @@
-"""Relational steps of a comparison."""
+"""Sides, keys and checksums of a comparison."""
 
-from .keys import check_types, compare_columns, resolve_keys
+from .checksums import Level, Narrowed, narrow
+from .keys import check_types, compare_columns, first_fields, resolve_keys
 from .side import Side
 
-__all__ = ["Side", "check_types", "compare_columns", "resolve_keys"]
+__all__ = ["Level", "Narrowed", "Side", "check_types", "compare_columns", "first_fields", "narrow", "resolve_keys"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowdelta.functions.compare import comparable, text_key, typed_key
+from rowdelta.functions.order_key import order_key
 from rowdelta.operators.keys import first_fields
 
 
@@ -29,7 +33,17 @@ class Side:
         # computed below any window or join, so that both use the same hash partitioning
         self.rows = renamed.select("*", *[c.alias(n) for c, n in zip(made, self.on, strict=True)])
         self.by = [comparable(self.column(n), self.fields[n][1]) for n in order_by or self.fields]
+        #: the columns that say which row of a key is last
+        self.ordered = () if unique else tuple(order_by or self.fields)
         self.order = [c.desc_nulls_last() for c in self.by]
+        #: the order as one value of fixed width, where it fits
+        self.packed = order_key(self.by, [self.fields[n][1] for n in order_by or self.fields])
+
+    def where(self, condition: Column) -> Side:
+        """The side with some of its rows."""
+        out = copy.copy(self)
+        out.rows = self.rows.where(condition)
+        return out
 
     def column(self, name: str) -> Column:
         return F.col(f"{self.tag}{self.fields[name][0]}")
@@ -48,15 +62,48 @@ class Side:
     def counted(self, names: list[str]) -> DataFrame:
         """The columns ``names`` of the last row of each key with ``n_{tag}``, the number of the key's rows.
 
-        An aggregate, so that the rows of a hot key are counted before the shuffle."""
+        An aggregate, so that the rows of a hot key are counted before the shuffle. Where the order is packed it hashes,
+        and columns of no fixed width come as digests, see :meth:`digested`; else it sorts structs."""
         if self.unique:
             return self.rows.withColumn(f"n_{self.tag}", F.lit(1).cast("long"))
         n = F.count(F.lit(1)).alias(f"n_{self.tag}")
         if not names:
             return self.rows.groupBy(*self.on).agg(n)
+        if self.packed is not None:
+            rows = self.rows.withColumn("_order", self.packed)
+            own = {c.lower(): v for name in names for c, v in self._narrow(name).items()}
+            last = rows.select(*self.on, "_order", *[v.alias(c) for c, v in own.items()])
+            return last.groupBy(*self.on).agg(n, *[F.max_by(c, "_order").alias(c) for c in own])
         own = F.struct(*[self.column(c) for c in names])
         last = self.rows.groupBy(*self.on).agg(n, F.max_by(own, F.struct(*self.by)).alias("_last"))
         return last.select(*self.on, f"n_{self.tag}", "_last.*")
 
+    def digested(self, name: str) -> bool:
+        """Whether ``counted`` has the digest of a column, ``{tag}{place}`` and ``{tag}{place}b``, not its values.
+
+        Digests of two equal halves of 64 bits mean equal values; null is null in both."""
+        return not self.unique and self.packed is not None and not _fixed(self.fields[name][1])
+
+    def _narrow(self, name: str) -> dict[str, Column]:
+        place, kind = self.fields[name]
+        c = self.column(name)
+        if _fixed(kind):
+            return {f"{self.tag}{place}": c}
+        first, second = digest([comparable(c, kind)], [kind])
+        return {f"{self.tag}{place}": F.when(c.isNotNull(), first), f"{self.tag}{place}b": F.when(c.isNotNull(), second)}
+
     def keys(self) -> DataFrame:
         return self.rows.select(*self.on) if self.unique else self.rows.select(*self.on).distinct()
+
+
+def _fixed(kind: T.DataType) -> bool:
+    """Whether an aggregate can keep a value of the type in place."""
+    return isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
+def digest(columns: list[Column], kinds: list[T.DataType]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a tuple. Spark's hash passes nulls over, so where they stand is hashed beside the values;
+    nested values are hashed as JSON, which tells a null from its place too."""
+    plain = [F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if isinstance(k, T.ArrayType | T.StructType | T.MapType | T.VariantType) else c for c, k in zip(columns, kinds, strict=True)]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return F.xxhash64(F.lit(1), nulls, *plain), F.xxhash64(F.lit(2), *plain, nulls)

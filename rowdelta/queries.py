@@ -308,6 +308,82 @@ def diff_duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineitem(spark, sf_dir).summary_frame.drop("columns")
 
 
+_l_both = "JOIN t USING (l_orderkey, l_linenumber)"
+_l_none = ", ".join(f"NULL::BOOLEAN AS _modified_{c}" for c in L_COLS)
+
+
+@query(
+    f"""{_l_last} SELECT 'added' AS _change_type, t0.*, {_l_none} FROM t0 ANTI JOIN s USING (l_orderkey, l_linenumber)
+  UNION ALL SELECT 'deleted', s0.*, {", ".join(["NULL"] * len(L_COLS))} FROM s0 ANTI JOIN t USING (l_orderkey, l_linenumber)
+  UNION ALL SELECT 'modified', {", ".join("s." + c for c in L_COLS)}, FALSE, FALSE, {", ".join(L_FLAGS.values())} FROM s {_l_both} WHERE {" OR ".join(L_FLAGS.values())}"""
+)
+def diff_repeated_keys_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of several rows: all changes from one shuffle of both sides."""
+    return _lineitem(spark, sf_dir).changes()
+
+
+# a few hot keys hold all rows
+
+H_SOURCE = "SELECT l_suppkey % 7 AS k, l_orderkey * 10 + l_linenumber AS o, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_suppkey % 7 <> 5"
+H_TARGET = "SELECT l_suppkey % 7 AS k, l_orderkey * 10 + l_linenumber AS o, l_partkey, l_suppkey, l_quantity + CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS l_quantity FROM lineitem WHERE l_suppkey % 7 <> 6"
+_h_last = "QUALIFY row_number() OVER (PARTITION BY k ORDER BY o DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1"
+_h_pair = f"WITH s0 AS ({H_SOURCE}), t0 AS ({H_TARGET}), s AS (SELECT * FROM s0 {_h_last}), t AS (SELECT * FROM t0 {_h_last})"
+_h_off = f"s.o <> t.o OR s.l_partkey <> t.l_partkey OR s.l_suppkey <> t.l_suppkey OR {_off('s.l_quantity', 't.l_quantity')}"
+
+
+@query(
+    f"""{_h_pair} SELECT 'added' AS _change_type, t0.* FROM t0 ANTI JOIN s USING (k) UNION ALL SELECT 'deleted', s0.* FROM s0 ANTI JOIN t USING (k)
+  UNION ALL SELECT 'modified', s.* FROM s JOIN t USING (k) WHERE {_h_off}"""
+)
+def diff_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven keys hold all rows: a sketch finds them, and joins spread their rows."""
+    options = DiffOptions(("k",), tolerance=TOL, order_by=("o", "l_partkey", "l_suppkey", "l_quantity"), hot_rows=1000)
+    found = diff(_sql(spark, sf_dir, "lineitem", H_SOURCE), _sql(spark, sf_dir, "lineitem", H_TARGET), options)
+    return found.changes().select("_change_type", "k", "o", "l_partkey", "l_suppkey", "l_quantity")
+
+
+# the order of a key's rows as one number, text compared by digests
+
+P_SOURCE = "SELECT l_orderkey, l_shipdate, CAST(l_partkey AS INT) AS l_partkey, l_suppkey, l_quantity, l_returnflag FROM lineitem WHERE l_partkey % 17 <> 0"
+P_TARGET = "SELECT l_orderkey, l_shipdate, CAST(l_partkey AS INT) AS l_partkey, l_suppkey, l_quantity + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS l_quantity, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 3 = 0 THEN '?' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE l_partkey % 11 <> 0"
+_p_last = "QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC) = 1"
+_p_pair = f"WITH s0 AS ({P_SOURCE}), t0 AS ({P_TARGET}), s AS (SELECT * FROM s0 {_p_last}), t AS (SELECT * FROM t0 {_p_last})"
+_p_flags = {"l_shipdate": "s.l_shipdate <> t.l_shipdate", "l_partkey": "s.l_partkey <> t.l_partkey", "l_suppkey": "s.l_suppkey <> t.l_suppkey", "l_quantity": _off("s.l_quantity", "t.l_quantity"), "l_returnflag": "s.l_returnflag IS DISTINCT FROM t.l_returnflag"}
+
+
+@query(
+    f"""{_p_pair} SELECT (SELECT count(*) FROM s0) AS total_source, (SELECT count(*) FROM t0) AS total_target,
+      (SELECT count(*) FROM t0 ANTI JOIN s USING (l_orderkey)) AS added, (SELECT count(*) FROM s0 ANTI JOIN t USING (l_orderkey)) AS deleted,
+      (SELECT count(*) FROM s JOIN t USING (l_orderkey) WHERE {" OR ".join(_p_flags.values())}) AS modified, {", ".join(f"(SELECT count(*) FROM s JOIN t USING (l_orderkey) WHERE {f}) AS by_{c}" for c, f in _p_flags.items())}"""
+)
+def diff_last_wins_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of an order by a date and a number: a hash aggregate finds it."""
+    options = DiffOptions(("l_orderkey",), tolerance=TOL, order_by=("l_shipdate", "l_partkey"))
+    found = diff(_sql(spark, sf_dir, "lineitem", P_SOURCE), _sql(spark, sf_dir, "lineitem", P_TARGET), options).summary_frame
+    return found.select("*", *[F.col("columns")[c].alias(f"by_{c}") for c in _p_flags]).drop("columns")
+
+
+# a few changes among many equal rows: checksums leave out the buckets of the others
+
+C_SOURCE = f"SELECT {O_COLS} FROM orders WHERE o_orderkey % 199 <> 0"
+C_TARGET = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 401 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 307 = 0 THEN o_totalprice + 100 WHEN o_orderkey % 311 = 0 THEN o_totalprice * CAST(1.00000001 AS DOUBLE) ELSE o_totalprice END AS o_totalprice,
+  o_orderpriority FROM orders WHERE o_orderkey % 211 <> 0"""
+
+
+@query(_summary_sql(FLAGS, _pair(C_SOURCE, C_TARGET)))
+def diff_checksum_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, C_TARGET, C_SOURCE, checksums=True).summary_frame.drop("columns")
+
+
+@query(
+    f"""{_pair(C_SOURCE, C_TARGET)} SELECT 'added' AS _change_type, t.* FROM t ANTI JOIN s USING (o_orderkey) UNION ALL SELECT 'deleted', s.* FROM s ANTI JOIN t USING (o_orderkey)
+  UNION ALL SELECT 'modified', s.* FROM s JOIN t USING (o_orderkey) WHERE {" OR ".join(FLAGS.values())}"""
+)
+def diff_checksum_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, C_TARGET, C_SOURCE, checksums=True).changes().select("_change_type", *COLS)
+
+
 # other column types
 
 E_SOURCE = "SELECT event_id, ts, event_type FROM events"

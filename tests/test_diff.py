@@ -1,11 +1,17 @@
+import dataclasses
+import datetime as dt
+import itertools
+import random
 import warnings
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowdelta.model import Dataset, Differ, DiffOptions, SchemaInfo
-from rowdelta.operators import check_types, compare_columns, resolve_keys
+from rowdelta.operators import Side, check_types, compare_columns, narrow, resolve_keys
 from rowdelta.plans import SparkDiffer, diff
+from rowdelta.plans.one_pass import hot_keys, key_hash
 from rowdelta.schema import schema_of
 
 
@@ -234,7 +240,7 @@ def test_one_join_gives_all_changes_of_unique_keys(spark, people, target_values)
     target = target.withColumn("more", F.lit(5)).select("more", *reversed(target.columns))
     found = diff(source, target, DiffOptions(("id",), unique_keys=True, target_values=target_values))
     each = diff(source, target, DiffOptions(("id",), target_values=target_values))
-    assert found.combined is not None and each.combined is None
+    each.one_pass = None
     assert _exchanges(found.changes()) == 2
     assert found.changes().columns == each.changes().columns
     assert [f.dataType for f in found.changes().schema.fields] == [f.dataType for f in each.changes().schema.fields]
@@ -245,4 +251,121 @@ def test_one_join_gives_all_changes_of_unique_keys(spark, people, target_values)
 def test_changes_of_names_that_differ_in_case(spark):
     source, target = spark.createDataFrame([(1, 2)], "id long, a long"), spark.createDataFrame([(2, 3)], "id long, A long")
     found = diff(source, target, DiffOptions(("id",), ignore=("a", "A"), unique_keys=True))
-    assert found.combined is None and found.changes().count() == 2
+    assert found.one_pass is None and found.changes().count() == 2
+
+
+def _random_pair(spark, seed, n=400, keys=40):
+    rng = random.Random(seed)
+    side = lambda: [(rng.choice([None, *range(keys)]), rng.choice([None, "a", "b"]), rng.choice([0.0, 1.0, 1.00001, float("nan"), None]), rng.randrange(3)) for _ in range(n)]
+    return [spark.createDataFrame(side(), "k int, v string, w double, o int").repartition(3) for _ in range(2)]
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 3])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_pass_gives_the_changes_of_three_joins(spark, seed, hot_rows):
+    source, target = _random_pair(spark, seed, 400 if hot_rows > 3 else 900)
+    for options in (DiffOptions(("k",), tolerance=1e-3, hot_rows=hot_rows), DiffOptions(("k", "v"), tolerance=1e-3, target_values=True, hot_rows=hot_rows)):
+        found, each = diff(source, target, options), diff(source, target, options)
+        each.one_pass = None
+        assert found.changes().columns == each.changes().columns
+        assert str(rows(found.changes())) == str(rows(each.changes()))
+        s = found.summary()
+        kinds = {r[0]: r[1] for r in found.changes().groupBy("_change_type").count().collect()}
+        assert kinds == {k: v for k, v in (("added", s.added), ("deleted", s.deleted), ("modified", s.modified)) if v}
+
+
+def test_one_pass_shuffles_each_side_once(spark):
+    a, b = _random_pair(spark, 3)
+    found = diff(a, b, DiffOptions(("k",)))
+    plan = found.changes()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_sketch_names_hot_keys_and_no_others(spark):
+    side = Side(spark.sql("SELECT if(id % 3 = 0, -1, id) AS k FROM range(30000)"), "s", ["k"], "typed", (), False)
+    hot = hot_keys(side, 1000)
+    want = side.rows.where("s0 = -1").select(key_hash(side)).first()[0]
+    assert hot == [want] and hot_keys(side, 20_000) == []
+    assert hot_keys(side.where(F.lit(False)), 10) == []
+
+
+def test_checksums_leave_out_equal_rows_only(spark):
+    source = spark.sql("SELECT id, cast(id % 5 AS string) AS v, cast(id AS double) AS w FROM range(50000)")
+    target = source.where("id <> 7").withColumn("w", F.when(F.col("id") == 123, F.col("w") + 1).when(F.col("id") == 456, F.col("w") * (1 + 1e-9)).otherwise(F.col("w")))
+    target = target.unionByName(spark.sql("SELECT 90000L AS id, 'x' AS v, 1D AS w"))
+    for unique in (True, False):
+        plain, found = (diff(source, target, DiffOptions(("id",), tolerance=1e-4, unique_keys=unique, checksums=c)) for c in (False, True))
+        assert found.summary() == plain.summary() and (found.summary().added, found.summary().deleted, found.summary().modified) == (1, 1, 1)
+        assert rows(found.changes()) == rows(plain.changes()) and rows(found.modified) == rows(plain.modified)
+        first, last = found.checksum_levels[0], found.checksum_levels[-1]
+        assert first.differing == 4 and last.source_rows + last.target_rows < 100
+        # rows of equal buckets do not reach the shuffle
+        plan = found.modified._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("IN (") + plan.count("INSET") >= 2
+    same = diff(source, source, DiffOptions(("id",), checksums=True))
+    assert same.checksum_levels[0].differing == 0 and same.summary().total_target == 50000 and same.changes().isEmpty()
+
+
+def test_checksums_see_moved_nulls_and_repeats(spark):
+    schema = "k int, a int, b int, l array<int>"
+    source = spark.createDataFrame([(1, None, 5, [1, None]), (2, 1, 1, [2]), (3, 0, 0, None), (3, 0, 0, None)], schema)
+    target = spark.createDataFrame([(1, 5, None, [None, 1]), (2, 1, 1, [2]), (3, 0, 0, None)], schema)
+    found = diff(source, target, DiffOptions(("k",), checksums=True))
+    s = found.summary()
+    assert (s.total_source, s.total_target, s.modified, s.columns) == (4, 3, 1, {"a": 1, "b": 1, "l": 1})
+    assert diff(source, target.drop("b"), DiffOptions(("k",), checksums=True)).checksum_levels == ()
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_checksums_of_random_pairs(spark, seed):
+    source, target = _random_pair(spark, seed)
+    options = DiffOptions(("k",), tolerance=1e-3, checksums=True)
+    assert diff(source, target, options).summary() == diff(source, target, dataclasses.replace(options, checksums=False)).summary()
+
+
+def test_checksum_tree_goes_down_into_differing_buckets(spark):
+    source = spark.sql("SELECT id, id AS v FROM range(20000)")
+    target = source.withColumn("v", F.when(F.col("id") % 4000 == 0, -1).otherwise(F.col("v")))
+    s, t = (Side(df, tag, ["id"], "typed", (), True) for df, tag in ((source, "s"), (target, "t")))
+    found = narrow(s, t, ["v"], first=8, small=4)
+    assert [x.buckets for x in found.levels] == [8, 128, 2048, 32768]
+    assert found.levels[0].differing <= 5 and found.levels[-1].differing == 5
+    assert [x.source_rows for x in found.levels] == sorted([x.source_rows for x in found.levels], reverse=True)
+    assert found.source.count() + found.skipped == 20000 and found.source.count() == found.levels[-1].source_rows
+
+
+def test_order_key_is_the_order_of_rows(spark):
+    from rowdelta.functions.order_key import order_key
+
+    kinds = "b boolean, y tinyint, h smallint, i int, l bigint, d date, t timestamp, n timestamp_ntz, m decimal(9,2)"
+    low, high = -(1 << 63), (1 << 63) - 1
+    day, at = dt.date, dt.datetime
+    columns = {
+        "b": [None, False, True], "y": [None, -128, 0, 127], "h": [None, -32768, 5, 32767], "i": [None, -(1 << 31), -1, 0, (1 << 31) - 1], "l": [None, low, -1, 0, high],
+        "d": [None, day(1, 1, 1), day(1969, 12, 31), day(9999, 12, 31)], "t": [None, at(1950, 1, 1, 0, 0, 0, 1), at(1970, 1, 1), at(2020, 5, 5, 1, 1, 1, 999999)],
+        "n": [None, at(1950, 1, 1, 0, 0, 0, 1), at(1969, 12, 31, 23, 59, 59, 999999), at(1970, 1, 1), at(2020, 3, 29, 2, 30), at(2020, 3, 29, 3, 29, 59, 5)], "m": [None, Decimal("-9999999.99"), Decimal("-0.01"), Decimal("0"), Decimal("9999999.99")],
+    }
+    fields = {f.name: f for f in spark.createDataFrame([], kinds).schema.fields}
+    for pair in (("b", "l"), ("t", "i"), ("n", "y"), ("d", "m"), ("m", "h"), ("i", "i"), ("l",), ("h", "b", "y", "d")):
+        values = list(itertools.product(*[columns[c] for c in pair]))
+        schema = ", ".join(f"c{i} {fields[c].dataType.simpleString()}" for i, c in enumerate(pair))
+        df = spark.createDataFrame(values, schema)
+        key = order_key([F.col(c) for c in df.columns], [f.dataType for f in df.schema.fields])
+        got = [tuple(r)[:-1] for r in df.withColumn("key", key).orderBy("key").collect()]
+        assert got == values
+        assert df.select(key.alias("key")).distinct().count() == len(values)
+    wide = spark.createDataFrame([], "a bigint, b bigint, s string, w double").schema
+    assert order_key([F.col("a"), F.col("b")], [wide["a"].dataType, wide["b"].dataType]) is None
+    assert order_key([F.col("s")], [wide["s"].dataType]) is None and order_key([], []) is None
+
+
+def test_packed_order_is_a_hash_aggregate_and_the_same_result(spark):
+    schema = "k int, o int, d date, v string, l array<int>, w double"
+    rng = random.Random(9)
+    side = lambda: spark.createDataFrame([(rng.randrange(30), i, rng.choice([None, dt.date(2020, 1, rng.randrange(1, 28))]), rng.choice([None, "a", "b"]), rng.choice([None, [1, None], [None, 1]]), rng.random()) for i in rng.sample(range(500), 200)], schema)
+    a, b = side(), side()
+    packed = diff(a, b, DiffOptions(("k",), order_by=("d", "o"), tolerance=0.2))
+    plain = diff(*[x.withColumn("s", F.col("o").cast("double")) for x in (a, b)], DiffOptions(("k",), order_by=("d", "s"), ignore=("s",), tolerance=0.2))
+    assert packed.summary() == plain.summary() and packed.summary().modified == packed.modified.count() > 0
+    plans = [x.summary_frame._jdf.queryExecution().executedPlan().toString() for x in (packed, plain)]
+    assert "SortAggregate" not in plans[0] and "SortAggregate" in plans[1]
