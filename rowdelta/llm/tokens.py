@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for each byte, and odd bases with their inverses modulo 2**64.
-BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_PIECE = 1 << 21
+BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: An odd base of polynomials modulo 2**64.
+WORD_BASE = 0xD1342543DE82EF95
+#: Words at a time, and the bytes of a word beyond which it is hashed by a digest.
+_PIECE, LONG = 1 << 19, 256
+#: The first n bytes of eight, for n from 0 to 8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 _upper = np.arange(256, dtype=np.uint8)
 _upper[65:91] += 32
@@ -81,15 +84,25 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes and length; arrays for a few MB at a time."""
-        out = np.empty(len(self), np.uint64)
-        at = 0
-        while at < len(self):
-            to = int(np.searchsorted(self.starts, self.starts[at] + _PIECE))
-            lo, hi = self.starts[at], self.ends[to - 1]
-            s, e = self.starts[at:to] - lo, self.ends[at:to] - lo
-            out[at:to] = mix(window_sums(BYTE[self.data[lo:hi]], s, e, BYTE_BASE) + (e - s).astype(np.uint64))
-            at = to
+        """A 64-bit hash of each word's bytes: eight bytes at a time through ``mix``, so that no sum of terms can be
+        made to agree as in a polynomial; words of over ``LONG`` bytes by a digest of the whole."""
+        size = self.ends - self.starts
+        out = mix(size.astype(np.uint64) * BYTE_BASE)
+        open_ = np.flatnonzero(size <= LONG)
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        step = 0
+        while len(open_):
+            for at in range(0, len(open_), _PIECE):
+                own = open_[at : at + _PIECE]
+                begin = self.starts[own] + step
+                eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[begin].view("<u8").ravel()
+                left = np.minimum(size[own] - step, 8)
+                out[own] = mix((out[own] ^ (eight & _FIRST[left])) + BYTE_BASE)
+            step += 8
+            open_ = open_[size[open_] > step]
+        for i in np.flatnonzero(size > LONG).tolist():
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return out
 
     def joined(self, doc: int, keep: np.ndarray | None = None) -> bytes:

@@ -165,3 +165,13 @@ def test_all_words_seen_twice_are_clustered(spark):
     assert sum(found.values()) > 600 and max(found["n", 0], found["n", 1]) + max(found["v", 0], found["v", 1]) > 0.95 * sum(found.values())
     scores = [sorted((r["doc_id"], round(r["score"], 6)) for r in brown_lm.score(docs, frequent=f, clustered=10, classes=2).collect()) for f in (1 << 17, 30)]
     assert scores[0] == scores[1]
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(spark):
+    from tests.llm.test_substring_dedup import thue_morse
+
+    a, b = thue_morse()
+    seen = next(i for i in range(99) if not is_held(i))
+    held = next(i for i in range(99) if is_held(i))
+    docs = spark.createDataFrame([(seen, f"{a} word word"), (held, f"{b} word")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_known"] for r in brown_lm.score(docs).collect()} == {seen: 4, held: 2}

@@ -62,3 +62,33 @@ def test_hot_null_and_repeated_ids(spark):
     # the first of the rows of a text keeps it; ids over 100 keep those that no smaller id holds
     assert kept(None) == kept(7) == [0] * 20 + [40] * 80
     assert sum(r[2] == 0 for r in outs[0] if (r[0] or 0) >= 100) == 20
+
+
+def thue_morse(levels=10):
+    """Two words of 1,024 letters whose hashes by any polynomial modulo 2**64 with an odd base are equal."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_in_polynomials_are_told_apart(spark):
+    a, b = thue_morse()
+    words = [f"w{i}" for i in range(10)]
+    rows = [(1, " ".join([*words, a, *words])), (2, " ".join([*words, b, *words])), (3, " ".join([*words, a, *words]))]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == (0, hashlib.sha256(rows[1][1].encode()).hexdigest()) and got[3][0] == 21
+
+
+def test_word_hashes():
+    import pyarrow as pa
+
+    from rowdelta.llm.tokens import Words
+
+    a, b = thue_morse()
+    texts = ["", "x", "xx", "x x", "abcdefgh", "abcdefghi", "abcdefgh\0", "é" * 200, a, b, a[:256], b[:256], a[:257], a[:8], b[:8], "\0", "\0\0"]
+    words = Words(pa.array([" ".join(texts)]))
+    h = words.hashes().tolist()
+    each = [w.encode() for w in " ".join(texts).split()]
+    assert [words.data[s:e].tobytes() for s, e in zip(words.starts, words.ends)] == each
+    assert len(set(h)) == len(set(each)) and all((x == y) == (u == v) for x, u in zip(h, each) for y, v in zip(h, each))
