@@ -35,7 +35,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     keep is an array of (word, bits), ascending: bit b of a word is 1 if line 64 * word + b stays. Lines of
     words that are absent stay.
     """
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
+    # a generator's output is made once a document, where a column beside posexplode would be made again for each line
+    once = F.array(F.struct(text_key(F.col("text")).alias("text_hash"), F.transform(lines_of(F.col("text")), line_key).alias("keys")))
+    keyed = docs.select("doc_id", F.inline(once)).select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key"))
     keyed = keyed.where(F.length("key") >= min_chars)
     rows = stored(keyed.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("#"), "key").alias("g"), "doc_id", "pos", "text_hash"), "lines")
     total = rows.count()
@@ -71,11 +73,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     names come back as they are, but for those named like the three new ones, which are replaced.
     """
     keep = keep_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), min_chars, min_docs)
-    keep = keep.select("doc_id", "text_hash", F.map_from_entries("keep").alias("keep"))
+    # words that drop nothing are filled in, so that a line finds its word by place
+    gap = "keep[k].word - if(k = 0, 0, keep[k - 1].word + 1)"
+    keep = keep.select("doc_id", "text_hash", F.expr(f"flatten(transform(sequence(0, size(keep) - 1), k -> array_append(array_repeat(-1L, {gap}), keep[k].bits)))").alias("keep"))
     # all columns of docs in one, so that none can clash with those made here
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("hash"))
     both = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
-    stays = F.expr("filter(lines, (l, i) -> coalesce(getbit(try_element_at(keep, int(i div 64)), i % 64) = 1, true))")
+    stays = F.expr("filter(lines, (l, i) -> coalesce(getbit(get(keep, int(i div 64)), i % 64) = 1, true))")
     both = both.select("row", "keep", lines_of(F.col("row.text")).alias("lines"))
     both = both.select("row", "lines", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(stays).alias("kept"))
     n = F.size("lines").cast("long")

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from rowdelta.llm import line_dedup
@@ -65,3 +66,26 @@ def test_hot_lines_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
     assert sorted((tuple(x) for x in out), key=str) == brute(rows)
+
+
+def test_a_text_is_hashed_once_and_many_lines_take_no_quadratic_time(spark):
+    """Half a million lines, all dropped but one document's, in seconds."""
+    lines = [f"line number {i:07d} of a long text" for i in range(250_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines if i < 2 else lines[:200_000] + ["short"])) for i in range(3)], "doc_id long, text string")
+    began = time.perf_counter()
+    out = {r["doc_id"]: (r["n_lines"], r["n_dropped"], len(r["kept_text"])) for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert out == {0: (250_000, 200_000, 50_000 * 35 - 1), 1: (250_000, 200_000, 50_000 * 35 - 1), 2: (200_001, 0, 200_000 * 35 + 5)}
+
+
+def test_bitmaps_of_far_apart_words(spark):
+    filler = lambda d: [f"{d} {i}" for i in range(300)]
+    shared = "a line that many documents share"
+    rows = []
+    for d in range(4):
+        own = filler(d)
+        for at in (5, 64, 190, 299)[: 1 + d % 4]:
+            own[at] = shared
+        rows.append((d, "\n".join(own)))
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if d == 3 or x != shared) for d, t in rows}
