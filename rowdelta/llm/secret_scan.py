@@ -51,6 +51,16 @@ def _spans(pattern: str, rank: int, group: int, fits) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.xxhash64(s["v"]).alias("value"), F.xxhash64(F.lit("#"), s["v"]).alias("check"))).cast(SPAN)
 
 
+def _clear(spans: str, others: str) -> str:
+    """SQL: the spans that overlap none of the others. Both are in order and each is disjoint, so runs of spans are held
+    against the runs of others that reach into theirs, of which there are few."""
+    runs = lambda x: f"if(size({x}) = 0, cast(array() as array<{SPAN}>), transform(sequence(0, (size({x}) - 1) div {RUN}), c -> slice({x}, c * {RUN} + 1, {RUN})))"
+    reaches = "o[0].start < r[size(r) - 1].end and r[0].start < o[size(o) - 1].end"
+    free = "filter(r, m -> not exists(near, b -> b.start < m.end and m.start < b.end))"
+    each = f"transform(array(flatten(filter(runs, o -> {reaches}))), near -> {free})[0]"
+    return f"transform(array({others}), base_ -> transform(array({runs('base_')}), runs -> flatten(transform({runs(spans)}, r -> {each})))[0])[0]"
+
+
 def shown(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"])
@@ -68,8 +78,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", cop
     ``owner``, a repository the column ``repository`` of an owner; null is a value of either.
 
     A null text is empty. Repeated rows do not make a value common, as their repository is one. Rows are told apart
-    by doc_id (null is a value) and text; equal rows get equal results. Work on a text is in proportion to its
-    length. Other columns are ignored. An empty table gives an empty result.
+    by doc_id (null is a value) and text; equal rows get equal results. Work on a text is about in proportion to its
+    length: spans are held against others by runs of ``RUN``. Other columns are ignored. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("text"))
@@ -79,13 +89,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", cop
     # access keys and hex runs are parts of a mixed token that overlaps them: its text tells
     mixed = _spans(MIXED, 4, 0, lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]") & ~v.rlike(f"{ACCESS}|{HEX}"))
     found = docs.select("doc_id", "owner", "repository", text_key(F.col("text")).alias("text_hash"), base.alias("base"), mixed.alias("mixed"))
-    clear = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["rank"] == 1) & (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    found = stored(found.withColumn("mixed", clear), "candidates")
+    found = stored(found.withColumn("mixed", F.expr(_clear("mixed", "filter(base, b -> b.rank = 1)"))), "candidates")
 
     each = found.select("doc_id", "text_hash", "owner", "repository", F.explode(F.concat("base", "mixed")).alias("s"))
     # distinct, then counts: every step is pre-aggregated before its shuffle
     held = each.select("s.value", "s.check", "owner", "repository").distinct().groupBy("value", "check", "owner").agg(F.count("*").alias("repositories"))
-    held = held.groupBy("value", "check").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    # written, so that adaptive execution can split the join with a value that very many rows hold
+    held = stored(held.groupBy("value", "check").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "held")
     known = each.select("doc_id", "text_hash", "s", F.col("s.value").alias("value"), F.col("s.check").alias("check")).dropDuplicates(["doc_id", "text_hash", "s"]).join(held, ["value", "check"])
     few = (F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories)
     zero = F.lit(0).cast("long")
