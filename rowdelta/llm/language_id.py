@@ -21,6 +21,8 @@ from .tokens import slices, utf8
 
 BITS, ORDERS, SCALE = 15, (1, 2, 3), 30.0
 UNKNOWN = "und"
+#: The model has 0.5 MB a language on the driver and in each task.
+MOST_LANGUAGES = 1000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _low = np.arange(1 << 16, dtype=np.uint32)
 for _i in range(1 << 16):
@@ -158,8 +160,11 @@ def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3, least: int = 20, m
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["h", "lang", "at", "x"])
 
     docs = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(4)).alias("h"))
-    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language, as the model has a column
-    share = max(least, sample // max(1, by_lang.count()))
+    # a row for each language, as the model has a column. Repeated rows are one document: a sketch counts distinct ones
+    by_lang = stored(docs.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")), "languages")
+    if (n_langs := by_lang.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n_langs} languages: a model holds at most {MOST_LANGUAGES}")
+    share = max(least, sample // max(1, n_langs))
     # hashes are even over their range, so a language's least ones are those under its share of the range
     even = F.shiftrightunsigned("h", 11) / float(1 << 53)
     chosen = docs.join(F.broadcast(by_lang), "lang").where(even * F.col("n") < share).dropDuplicates(["lang", "h"])
@@ -170,6 +175,7 @@ def fit(docs: DataFrame, sample: int = 4000, epochs: int = 3, least: int = 20, m
     turns = max(1, int((np.cumsum([r["n"] for r in sizes]) <= most_features).sum()))
     found = rows.where(F.col("turn") <= turns).orderBy("turn", "lang").collect()
     forget(rows)
+    forget(by_lang)
     langs = sorted({r["lang"] for r in found})
     label = np.array([langs.index(r["lang"]) for r in found], int)
     rows = [(np.frombuffer(r["at"], "<u2").astype(int), np.frombuffer(r["x"], "<f4") * idf[np.frombuffer(r["at"], "<u2")] * SCALE) for r in found]

@@ -138,3 +138,19 @@ def test_scorer_against_plain_python(spark):
         z = [(a / n + b) / t for a, b in zip(z, bias, strict=True)]
         e = [2.718281828459045 ** (a - max(z)) for a in z]
         assert r["lang_pred"] == langs[z.index(max(z))] and abs(r["score"] - max(e) / sum(e)) < 1e-5
+
+
+def test_a_document_repeated_very_often_is_one(spark):
+    """Copies of one document do not push the language's others, or the language itself, out of the sample."""
+    data = [(d, t, lang) for d, t, lang in rows(600) if lang != "cc"]
+    one = next((d, t, lang) for d, t, lang in rows(600) if lang == "cc" and zlib.crc32(str(d).encode()) % 5)
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").unionByName(spark.createDataFrame([one], "doc_id long, text string, lang string").crossJoin(spark.range(5001)).drop("id"))
+    out = li.identify(docs, sample=80)
+    assert {r[0] for r in out.select("lang_pred").distinct().collect()} == set(PARTS)
+    assert out.where("lang = 'cc' and lang_pred = 'cc'").count() == 5001
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="4 languages"):
+        li.fit(spark.createDataFrame(rows(40), "doc_id long, text string, lang string"))
