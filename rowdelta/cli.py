@@ -30,6 +30,7 @@ from rowdelta.schema import (
     validator_from_file,
 )
 from rowdelta.sources.arrow_file import arrow_schema
+from rowdelta.sources.files import local_files
 
 VERSION = "0.1.0"
 
@@ -82,6 +83,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("inspect", help="show a Parquet file's shape and first rows")
     i.add_argument("file")
     i.add_argument("--rows", type=int, default=5)
+    i.add_argument("--statistics", action="store_true", help="values, nulls and bytes of each column over all row groups")
 
     g = sub.add_parser("generate", help="write a source and target pair")
     g.add_argument("source")
@@ -140,7 +142,7 @@ def _schema(path: str, kind: str):
     if kind == "arrow":
         from rowdelta.model import SchemaInfo
 
-        return SchemaInfo.of(arrow_schema(path))
+        return SchemaInfo.of(arrow_schema(path, None if local_files(path, ".arrow") else _session()))
     return sources.read(_session(), path, kind).schema
 
 
@@ -182,7 +184,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "schema":
             return run_schema(a)
         if a.command == "inspect":
-            print(inspect_parquet(_session(), a.file, a.rows), end="")
+            print(inspect_parquet(_session(), a.file, a.rows, a.statistics), end="")
         elif a.command == "generate":
             config = generate.PairConfig(**{f.name: getattr(a, f.name) for f in dataclasses.fields(generate.PairConfig)})
             generate.write_pair(_session(), a.source, a.target, config)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowdelta import generate, sinks, sources
 from rowdelta.model import Dataset, DiffOptions, DiffResult, FieldInfo, SchemaInfo
@@ -31,6 +32,7 @@ from rowdelta.schema import (
 )
 from rowdelta.schema.report import differences_frame
 from rowdelta.schema.types import schema_of
+from rowdelta.sources.footers import columns_of, disagreements, footers, row_groups
 from rowdelta.workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,7 +459,7 @@ def source_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer")
 def source_arrow_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _local(_folder(spark)) + ".arrow"
+    path = _folder(spark) + ".arrow"
     name = F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name")
     sinks.write(_table(spark, sf_dir, "customer").select("c_custkey", name, "c_acctbal"), path, "arrow")
     return sources.read(spark, path).df
@@ -465,7 +467,7 @@ def source_arrow_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM customer")
 def sink_arrow_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _local(_folder(spark)) + ".arrow"
+    path = _folder(spark) + ".arrow"
     sinks.write_arrow_folder(_table(spark, sf_dir, "customer"), path)
     return sources.read(spark, path, "arrow").df
 
@@ -485,6 +487,72 @@ def sink_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
 
 
+FIXED_DIR = "/root/testdata/sf0.01"
+
+
+@query(
+    f"""SELECT parse_filename(file_name) AS file, row_group_id::BIGINT AS row_group, row_group_num_rows::BIGINT AS group_rows, replace(path_in_schema, ', ', '.') AS "column", type, num_values::BIGINT AS n_values,
+      stats_null_count::BIGINT AS nulls, CASE WHEN type = 'INT32' OR type = 'BYTE_ARRAY' AND path_in_schema NOT IN ('text', 'html') THEN stats_min_value END AS least,
+      CASE WHEN type = 'INT32' OR type = 'BYTE_ARRAY' AND path_in_schema NOT IN ('text', 'html') THEN stats_max_value END AS greatest,
+      compression, total_compressed_size::BIGINT AS compressed, total_uncompressed_size::BIGINT AS uncompressed
+    FROM parquet_metadata('{FIXED_DIR}/*.parquet')"""
+)
+def source_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the footers of all tables say of each column of each row group; bounds of small numbers and of short text,
+    since readers differ in how they show times and in whether they give long bounds."""
+    found = row_groups(spark, sf_dir)
+    shown = (F.col("type") == "INT32") | ((F.col("type") == "BYTE_ARRAY") & ~F.col("column").isin("text", "html"))
+    names = {"least": F.when(shown, F.col("least")), "greatest": F.when(shown, F.col("greatest")), "file": F.regexp_extract("file", "[^/]*$", 0)}
+    return found.withColumns(names)
+
+
+@query(f"SELECT parse_filename(file_name) AS file, file_size_bytes::BIGINT AS bytes, num_rows::BIGINT AS \"rows\", num_row_groups::BIGINT AS row_groups, created_by FROM parquet_file_metadata('{FIXED_DIR}/*.parquet')")
+def source_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footers(spark, sf_dir).select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "bytes", "rows", "row_groups", "created_by")
+
+
+@query(
+    f"""SELECT parse_filename(file_name) AS file, name AS "column", repetition_type = 'OPTIONAL' AS nullable, row_number() OVER (PARTITION BY file_name ORDER BY column_id) - 1 AS place
+    FROM (SELECT *, sum(CASE WHEN num_children IS NOT NULL AND name <> 'schema' THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY column_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM parquet_schema('{FIXED_DIR}/*.parquet'))
+    WHERE name NOT IN ('schema', 'list', 'element') """
+)
+def source_declared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top-level columns that each file of the tables declares."""
+    return columns_of(footers(spark, sf_dir)).select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "column", "nullable", "place")
+
+
+@query(
+    """SELECT 's_acctbal' AS "column", 'missing' AS fact, NULL AS value, count(DISTINCT s_nationkey % 3) AS n_files FROM supplier WHERE s_nationkey % 3 = 1
+  UNION ALL SELECT 's_name', 'nullable', 'false', count(DISTINCT s_nationkey % 3) FROM supplier WHERE s_nationkey % 3 = 2
+  UNION ALL SELECT 's_name', 'nullable', 'true', count(DISTINCT s_nationkey % 3) FROM supplier WHERE s_nationkey % 3 <> 2"""
+)
+def schema_files_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in three parts, of which one lacks a column and one declares another without nulls."""
+    path = _folder(spark) + ".parquet"
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", (F.col("s_nationkey") % 3).alias("part"))
+    strict = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType(), False), T.StructField("s_acctbal", T.DoubleType())])
+    for part in range(3):
+        own = rows.where(F.col("part") == part).drop("part", *(["s_acctbal"] if part == 1 else [])).coalesce(1)
+        if part == 2:
+            own = own.select("s_suppkey", F.coalesce("s_name", F.lit("")).alias("s_name"), "s_acctbal").mapInArrow(lambda batches: batches, strict)
+        sinks.write_files(own, f"{path}/{part}", "parquet")
+    return disagreements(footers(spark, path)).drop("example")
+
+
+@query(
+    f"""{_pair()}, c AS (SELECT 'added' AS _change_type, count(*) AS "rows" FROM t ANTI JOIN s USING (o_orderkey) UNION ALL SELECT 'deleted', count(*) FROM s ANTI JOIN t USING (o_orderkey)
+      UNION ALL SELECT 'modified', count(*) FROM s JOIN t USING (o_orderkey) WHERE {" OR ".join(FLAGS.values())})
+    SELECT c.*, 'true' AS modified_record, TRUE AS dated FROM c"""
+)
+def diff_footer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined output's own footers: rows of each kind, and the metadata that each file has."""
+    path = _folder(spark) + ".parquet"
+    sinks.write_diff(_orders(spark, sf_dir), path)
+    found = footers(spark, path).withColumn("_change_type", F.regexp_extract("file", "_change_type=([a-z]+)/", 1))
+    own = F.col("metadata")
+    return found.groupBy("_change_type").agg(F.sum("rows").alias("rows"), F.max(own["modified_record"]).alias("modified_record"), F.every(F.to_timestamp(own["modification_time"]).isNotNull()).alias("dated"))
+
+
 def _one_file(spark: SparkSession, df: DataFrame, kind: str) -> str:
     path = f"{_local(_folder(spark))}.{kind.split('_')[0]}"
     os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -11,13 +11,12 @@ import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from rowdelta.model import DiffResult, DiffSummary
 from rowdelta.workers import ship
 
+from .files import arrow_schema_of, write_files
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Snappy, no dictionary encoding."""
@@ -47,53 +46,6 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-class ArrowFolder(DataSource):
-    """A folder of IPC files, one per task, on storage that all executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "rowdelta_arrow_folder"
-
-    def writer(self, schema, overwrite):
-        return ArrowFolderWriter(self.options["path"], schema)
-
-
-class ArrowFolderWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, schema):
-        self.path, self.wanted = path, schema
-
-    def write(self, iterator):
-        import os
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{uuid.uuid4().hex}.arrow"
-        schema = _with_metadata(to_arrow_schema(self.wanted), self.wanted)
-        with pa.OSFile(f"{name}.tmp", "wb") as f, ipc.new_file(f, schema) as w:
-            for batch in iterator:
-                w.write_batch(batch.cast(schema))
-        return Written(name)
-
-    def commit(self, messages):
-        import os
-
-        for m in messages:
-            if m is not None:
-                os.rename(f"{m.name}.tmp", m.name)
-
-    def abort(self, messages):
-        import os
-
-        for m in messages:
-            if m is not None and os.path.exists(f"{m.name}.tmp"):
-                os.remove(f"{m.name}.tmp")
-
-
-class Written(WriterCommitMessage):
-    def __init__(self, name: str):
-        self.name = name
-
-
 def write_arrow_file(df: DataFrame, path: str) -> None:
     """One IPC file, for small results: executors make its batches, the driver fetches and writes them one by one."""
     schema = arrow_schema_of(df)
@@ -108,20 +60,9 @@ def write_arrow_file(df: DataFrame, path: str) -> None:
             w.write_batch(ipc.read_record_batch(pa.py_buffer(bytes(row[0])), schema))
 
 
-def arrow_schema_of(df: DataFrame) -> pa.Schema:
-    """The Arrow schema of ``df``; metadata of its columns becomes that of the schema."""
-    return _with_metadata(to_arrow_schema(df.schema), df.schema)
-
-
-def _with_metadata(schema: pa.Schema, declared: StructType) -> pa.Schema:
-    found = {k: str(v) for f in declared.fields for k, v in (f.metadata or {}).items()}
-    return schema.with_metadata(found) if found else schema
-
-
 def write_arrow_folder(df: DataFrame, path: str) -> None:
-    """IPC files that executors write in parallel; committed files have their final names."""
-    ship(df.sparkSession).dataSource.register(ArrowFolder)
-    df.write.format("rowdelta_arrow_folder").option("path", path).mode("append").save()
+    """IPC files that executors write in parallel, on any file system; what was at ``path`` is replaced."""
+    write_files(df, path, "arrow")
 
 
 Writer = Callable[[DataFrame, str], None]
@@ -142,11 +83,13 @@ def write(df: DataFrame, path: str, kind: str) -> None:
 
 
 def write_diff(result: DiffResult, path: str, kind: str = "parquet") -> None:
-    """Added, deleted and modified rows in one output with ``_change_type``."""
+    """Added, deleted and modified rows in one output with ``_change_type``.
+
+    Parquet files, in a folder for each kind, have the result's metadata in their footers. Snappy, no dictionaries."""
     changes = result.changes()
     with result.running():
         if kind == "parquet":
-            changes.write.mode("overwrite").option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("_change_type").parquet(path)
+            write_files(changes, path, "parquet", result.metadata, "_change_type")
         else:
             write(changes, path, kind)
 

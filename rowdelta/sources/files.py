@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,9 @@ from pyspark.sql import types as T
 from rowdelta.model import Dataset, SchemaInfo
 from rowdelta.schema.types import schema_of, spark_type
 
+from .footers import footers, merged_schema, read_footer
+from .hadoop import data_files
+
 FILE, ROW = "_file_path", "_row_index"
 
 
@@ -28,15 +30,23 @@ def local_files(path: str, suffix: str) -> list[str]:
 
 
 def read_parquet(spark: SparkSession, path: str, positions: bool = False) -> Dataset:
-    """Declared schema facts come from a footer where this machine can open one, else from Spark.
-
-    With ``positions`` the rows carry their file and place as hidden order columns."""
-    files = local_files(path, ".parquet")
-    info = SchemaInfo.of(pq.read_schema(files[0])) if files else None
+    """Declared schema facts come from the footers of all files, see :func:`merged_schema`, on any file system.
+
+    Files that lack columns of others give nulls for them. With ``positions`` the rows carry their file and place as
+    hidden order columns."""
+    files = [f for f, size in data_files(spark, path) if size > 0]
+    info = None
+    if len(files) == 1:
+        info = SchemaInfo.of(read_footer(spark, files[0]).schema.to_arrow_schema())
+    elif files:
+        info = merged_schema(footers(spark, path))
+    reader = spark.read
     if info:
         for f in info.fields:
             _readable(f.name, f.type)
-    df = spark.read.parquet(path)
+        if len(files) > 1 and not set(info.names) <= set(reader.parquet(path).columns):
+            reader = reader.option("mergeSchema", True)
+    df = reader.parquet(path)
     if positions:
         df = df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
         return Dataset(df, info or schema_of(df), (FILE, ROW))

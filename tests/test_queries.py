@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from rowdelta.queries import ORACLE_SQL, QUERIES
+from rowdelta.queries import FIXED_DIR, ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
@@ -28,7 +28,7 @@ def test_query(spark, duck, name):
     got = [tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in sorted(df.columns)]).collect()]
     assert got
     if name in ORACLE_SQL:
-        found = duck.execute(ORACLE_SQL[name])
+        found = duck.execute(ORACLE_SQL[name].replace(FIXED_DIR, DATA))
         names = [d[0] for d in found.description]
         order = sorted(range(len(names)), key=names.__getitem__)
         assert sorted(names) == sorted(df.columns)
