@@ -6,6 +6,7 @@ values change, become null, or move by less than a tolerance.
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import uuid
 from collections.abc import Callable
@@ -30,6 +31,7 @@ from rowdelta.schema import (
     Validator,
     parse_type,
 )
+from rowdelta.schema.data_checks import check_data
 from rowdelta.schema.report import differences_frame
 from rowdelta.schema.types import schema_of
 from rowdelta.sources.footers import columns_of, disagreements, footers, row_groups
@@ -624,6 +626,41 @@ def schema_rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(spark, [("lineitem", Validator(rules).validate(info))])
 
 
+# rules held against rows: some values are lost, emptied or written as text
+
+K_TABLE = """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN ' ' ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS customer,
+  o_totalprice / CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 1 END AS price, o_orderkey * 1000003 AS big,
+  CASE WHEN o_orderkey % 11 = 0 THEN '2024-02-30' ELSE '2024-02-28' END AS day,
+  CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01T10:00:00' ELSE '2024-01-01T10:00:00Z' END AS at FROM orders"""
+_k_asks = {
+    ("RequiredFieldsRule", "status"): "status IS NULL OR trim(status) = ''",
+    ("NullabilityRule", "status"): "status IS NULL",
+    ("NullabilityRule", "o_orderkey"): "FALSE",
+    ("FieldTypeRule", "customer"): "customer = 'n/a'",
+    ("FieldTypeRule", "big"): "big > 2147483647",
+    ("TemporalFormatRule", "day"): "day = '2024-02-30'",
+    ("TemporalFormatRule", "at"): "at NOT LIKE '%Z'",
+    ("DecimalPrecisionRule", "price"): "price <> round(price, 2)",
+}
+
+
+@query(
+    f"WITH k AS ({K_TABLE.replace('AS STRING', 'AS VARCHAR')}) "
+    + " UNION ALL ".join(f"""SELECT '{r}' AS rule, '{f}' AS field, count(*) AS "rows", count(*) FILTER (WHERE {c}) AS violations, '{{"o_orderkey":' || min(o_orderkey) FILTER (WHERE {c}) || '}}' AS first_key FROM k""" for (r, f), c in _k_asks.items())
+)
+def schema_data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rules over the rows of orders in one pass: how many values break each, and the first key."""
+    rules = [
+        RequiredFieldsRule(["status", "absent"]),
+        NullabilityRule(["status", "o_orderkey"]),
+        FieldTypeRule({"customer": [parse_type("int64")], "big": [parse_type("int32")]}),
+        TemporalFormatRule(["at"], ["day"], "UTC"),
+        DecimalPrecisionRule({"price": (12, 2)}),
+    ]
+    return check_data(_sql(spark, sf_dir, "orders", K_TABLE), rules, ["o_orderkey"])
+
+
 def _only(a: str, b: str) -> str:
     return f"(SELECT column_name AS n FROM (DESCRIBE {a}) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE {b})))"
 
@@ -638,9 +675,9 @@ LEVELS_SQL = f"""
   UNION ALL {_warning.format("relaxed", "SchemaStructure", "'field ''' || n || ''' exists only in target schema'", _only("supplier", "customer"))}
   UNION ALL {_warning.format("relaxed", "SchemaStructure", "'field ''' || n || ''' exists only in source schema'", _only("customer", "supplier"))}
   UNION ALL VALUES
-  ('strict fields', FALSE, 'error', 'SchemaStructure', 'field nullability mismatch for ''id'': got false, expected true; field nullability mismatch for ''name'': got true, expected false; field type mismatch for ''age'': got ''int32'', expected ''int64'''),
-  ('compatible fields', FALSE, 'error', 'SchemaCompatibility', 'increased nullability restriction for field ''name''; incompatible type for field ''age'': got ''int32'', expected ''int64'''),
-  ('compatible fields', FALSE, 'warning', 'SchemaEvolution', 'relaxed nullability for field ''id'''),
+  ('strict fields', FALSE, 'error', 'SchemaStructure', '''id'' forbids nulls where the target allows nulls; ''name'' allows nulls where the target forbids nulls; field type mismatch for ''age'': got ''int32'', expected ''int64'''),
+  ('compatible fields', FALSE, 'error', 'SchemaCompatibility', '''name'' may be null, which the target forbids; incompatible type for field ''age'': got ''int32'', expected ''int64'''),
+  ('compatible fields', FALSE, 'warning', 'SchemaEvolution', '''id'' may be null in the target only'),
   ('relaxed fields', FALSE, 'error', 'CommonFields', 'incompatible type for common field ''age'': got ''int32'', expected ''int64'''),
   ('strict tables', FALSE, 'outcome', '', ''), ('compatible tables', TRUE, 'outcome', '', ''), ('relaxed tables', TRUE, 'outcome', '', ''),
   ('strict fields', FALSE, 'outcome', '', ''), ('compatible fields', FALSE, 'outcome', '', ''), ('relaxed fields', FALSE, 'outcome', '', ''),
@@ -656,13 +693,91 @@ def schema_levels_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_rows(spark, [(f"{level.value} {case}", Validator(level=level).validate_against(x, y)) for level in ValidationLevel for case, x, y in (("tables", a, b), ("fields", c, d), ("same", a, a))])
 
 
-@query()
-def generated_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and modified columns of a generated pair with as many rows as there are orders, errors and nulls included.
+def _word_sql(stream: str, place: int) -> str:
+    return f"(('0x' || substr({stream}, {1 + 8 * place}, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _draw_sql(salt: str) -> str:
+    i = generate.DRAWS.index(salt)
+    return _word_sql(f"d{i // 4}", i % 4)
+
+
+def _pick_sql(values: tuple[str, ...], salt: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][floor({_draw_sql(salt)} * {len(values)})::INTEGER + 1]"
+
+
+G = generate.PairConfig(changed=0.25)
 
-    The generator draws from Spark's hash, which SQL elsewhere lacks: tests compare with a diff in plain Python."""
-    config = generate.PairConfig(rows=_table(spark, sf_dir, "orders").count(), changed=0.25)
-    found = diff(generate.source(spark, config), generate.target(spark, config), DiffOptions(("id",), tolerance=TOL, unique_keys=True)).summary_frame
+
+def _generated_sql(is_target: bool) -> str:
+    """A generated side again: the same stream of draws, the fields by hand."""
+    n_rows = "(SELECT count(*) FROM orders)"
+    control = {c: _word_sql("c", i) for i, c in enumerate(generate.CONTROLS)}
+    first, last = _pick_sql(generate.FIRST, "first"), _pick_sql(generate.LAST, "last")
+    start = f"(1700000000 - floor({_draw_sql('created')} * 1000)::BIGINT * 86400)"
+    update = f"({start} + floor({_draw_sql('updated')} * 300)::BIGINT * 86400)"
+    at = lambda seconds: f"epoch_ms(({seconds}) * 1000)"
+    mail = f"lower({first}) || '.' || lower({last}) || '@' || {_pick_sql(generate.DOMAINS, 'domain')}"
+    fields = {
+        "first_name": f"{first} || CASE WHEN error = 0 THEN 'X' ELSE '' END",
+        "last_name": last,
+        "email": f"CASE WHEN changed THEN 'modified_' || id || '@example.com' ELSE {mail} END",
+        "age": f"(18 + floor({_draw_sql('age')} * 80) + CASE WHEN error = 1 THEN floor({_draw_sql('years')} * 5) ELSE 0 END)::INTEGER",
+        "score": f"floor({_draw_sql('score')} * 100 * CASE WHEN error = 2 THEN 1.1::DOUBLE ELSE 1 END * 100) / 100",
+        "balance": f"floor({_draw_sql('balance')} * 1000000) / 100 * CASE WHEN error = 3 THEN -1 ELSE 1 END",
+        "active": f"{_draw_sql('active')} > 0.3::DOUBLE",
+        "status": _pick_sql(generate.STATUS, "status"),
+        "created_at": at(start),
+        "updated_at": at(update),
+        "state": _pick_sql(generate.STATES, "state"),
+        "lat": f"{_draw_sql('lat')} * 170 - 85",
+        "long": f"{_draw_sql('long')} * 360 - 180",
+        "last_login": at(f"{update} + (1 + floor({_draw_sql('login')} * 30)::BIGINT) * 86400"),
+    }
+    if not is_target:
+        for k in ("state", "lat", "long", "last_login"):
+            del fields[k]
+    own = ", ".join(f"CASE WHEN {_draw_sql('null ' + k)} >= {G.nulls}::DOUBLE THEN {v} END AS {k}" for k, v in fields.items())
+    streams = ", ".join(f"md5(seed || ':' || n || ':{k}') AS d{k}" for k in range(-(-len(generate.DRAWS) // 4)))
+    if is_target:
+        numbers = f"SELECT CASE WHEN {control['reuse']} >= {G.new_ids}::DOUBLE THEN n ELSE n + size END AS n, size FROM (SELECT n, size, md5('{G.seed}:' || n || ':c') AS c FROM (SELECT unnest(range({n_rows})) AS n, {n_rows} AS size))"
+        seeds = f"SELECT *, CASE WHEN n >= size OR changed THEN {G.seed + 1} ELSE {G.seed} END AS seed FROM (SELECT *, n < size AND {control['changed']} < {G.changed}::DOUBLE AS changed, CASE WHEN {control['error']} < {G.errors}::DOUBLE THEN floor({control['which']} * 4) ELSE -1 END AS error FROM (SELECT *, md5('{G.seed}:' || n || ':c') AS c FROM ({numbers})))"
+    else:
+        seeds = f"SELECT unnest(range({n_rows})) AS n, FALSE AS changed, -1 AS error, {G.seed} AS seed"
+    return f"SELECT id, {own} FROM (SELECT *, substr(sha256('{G.seed}:' || n), 1, 32) AS id, {streams} FROM ({seeds}))"
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    config = dataclasses.replace(G, rows=_table(spark, sf_dir, "orders").count())
+    return generate.source(spark, config), generate.target(spark, config)
+
+
+_texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("created_at", "updated_at"))
+
+
+@query(
+    f"""SELECT 'source' AS side, * EXCLUDE (created_at, updated_at), {_texts}, NULL::VARCHAR AS state, NULL::DOUBLE AS lat, NULL::DOUBLE AS long, NULL::VARCHAR AS last_login FROM ({_generated_sql(False)})
+  UNION ALL SELECT 'target', * EXCLUDE (created_at, updated_at, state, lat, long, last_login), {_texts}, state, lat, long, CAST(last_login AS VARCHAR) FROM ({_generated_sql(True)})"""
+)
+def generated_pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a generated pair, as many a side as there are orders, with errors, nulls and new ids."""
+    a, b = _generated(spark, sf_dir)
+    both = a.withColumn("side", F.lit("source")).unionByName(b.withColumn("side", F.lit("target")), allowMissingColumns=True)
+    return both.withColumns({"score": F.col("score").cast("double")} | {c: F.col(c).cast("string") for c in ("created_at", "updated_at", "last_login")})
+
+
+_g_flags = {c: _off(f"s.{c}", f"t.{c}") if c == "balance" else f"s.{c} IS DISTINCT FROM t.{c}" for c in generate.FIELDS[:10]}
+
+
+@query(
+    f"""WITH s AS ({_generated_sql(False)}), t AS ({_generated_sql(True)}), totals AS (SELECT (SELECT count(*) FROM s) AS total_source, (SELECT count(*) FROM t) AS total_target,
+      (SELECT count(*) FROM t ANTI JOIN s USING (id)) AS added, (SELECT count(*) FROM s ANTI JOIN t USING (id)) AS deleted, (SELECT count(*) FROM s JOIN t USING (id) WHERE {" OR ".join(_g_flags.values())}) AS modified),
+    each AS ({" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS modifications FROM s JOIN t USING (id) WHERE {f}""" for c, f in _g_flags.items())})
+    SELECT * FROM totals, each"""
+)
+def generated_pair_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and modified columns of a generated pair with as many rows as there are orders, errors and nulls included."""
+    found = diff(*_generated(spark, sf_dir), DiffOptions(("id",), tolerance=TOL, unique_keys=True)).summary_frame
     return found.select("total_source", "total_target", "added", "deleted", "modified", F.explode("columns").alias("column", "modifications"))
 
 

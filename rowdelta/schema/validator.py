@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
-from rowdelta.model import SchemaInfo
+from rowdelta.model import FieldInfo, SchemaInfo
 
 from .rules import DictionaryEncodingRule, Rule, TemporalFormatRule
 
@@ -55,6 +55,10 @@ class Validator:
         return out
 
 
+def _nulls(f: FieldInfo) -> str:
+    return "allows nulls" if f.nullable else "forbids nulls"
+
+
 def _strict(schema: SchemaInfo, target: SchemaInfo, out: ValidationResult) -> None:
     """Same fields in the same order."""
     if len(schema.fields) != len(target.fields):
@@ -68,7 +72,7 @@ def _strict(schema: SchemaInfo, target: SchemaInfo, out: ValidationResult) -> No
         if not a.type.equals(b.type):
             wrong.append(f"field type mismatch for '{a.name}': got '{a.type}', expected '{b.type}'")
         if a.nullable != b.nullable:
-            wrong.append(f"field nullability mismatch for '{a.name}': got {str(a.nullable).lower()}, expected {str(b.nullable).lower()}")
+            wrong.append(f"'{a.name}' {_nulls(a)} where the target {_nulls(b)}")
     if wrong:
         out.fail("SchemaStructure", "; ".join(wrong))
 
@@ -82,9 +86,9 @@ def _compatible(schema: SchemaInfo, target: SchemaInfo, out: ValidationResult) -
         elif not have[f.name].type.equals(f.type):
             wrong.append(f"incompatible type for field '{f.name}': got '{have[f.name].type}', expected '{f.type}'")
         elif f.nullable and not have[f.name].nullable:
-            odd.append(f"relaxed nullability for field '{f.name}'")
+            odd.append(f"'{f.name}' may be null in the target only")
         elif have[f.name].nullable and not f.nullable:
-            wrong.append(f"increased nullability restriction for field '{f.name}'")
+            wrong.append(f"'{f.name}' may be null, which the target forbids")
     odd += [f"field '{n}' removed in target schema" for n in schema.names if n not in target.by_name]
     if odd:
         out.warnings["SchemaEvolution"] = odd

@@ -116,7 +116,7 @@ def test_generator(spark, pair):
     assert s.added == s.deleted and 130 < s.added < 270 and 250 < s.modified < 550
     mails = b.where("email LIKE 'modified_%'")
     assert 250 < mails.count() < 500 and mails.where("email = concat('modified_', id, '@example.com')").count() == mails.count()
-    assert a.where("email LIKE 'modified_%'").count() == 0 and a.schema["id"].metadata["created_by"] == "rowdelta"
+    assert a.where("email LIKE 'modified_%'").count() == 0 and sources.read(spark, pair[0]).schema.metadata["created_by"] == "rowdelta"
     again = generate.source(spark, generate.PairConfig(rows=2000, changed=0.2, nulls=0.1))
     assert a.exceptAll(again).count() == 0
     less = generate.target(spark, generate.PairConfig(rows=10, missing_columns=True, new_columns=False))
