@@ -489,6 +489,7 @@ def sink_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("s_suppkey long, s_name string, s_acctbal double").json(path)
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 FIXED_DIR = "/root/testdata/sf0.01"
 
 
@@ -573,6 +574,18 @@ def sink_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("n_nationkey long, n_name string").json(path, multiLine=True)
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def source_database_even_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through the database that Spark brings along, read back in parts of about as many rows.
+
+    The database is in the memory of one process: the query is of a local session, or of a driver that runs tasks."""
+    url = f"jdbc:derby:memory:r{uuid.uuid4().hex};create=true"
+    priority = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("o_orderpriority")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", priority)
+    rows.write.format("jdbc").option("url", url).option("dbtable", "orders").option("driver", DERBY).save()
+    return sources.read(spark, url, "jdbc", table="orders", even=("o_custkey", 8), driver=DERBY).df.toDF("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
 # schemas: results are small and made on the driver
 
 
@@ -632,7 +645,7 @@ K_TABLE = """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_o
   CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS customer,
   o_totalprice / CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 1 END AS price, o_orderkey * 1000003 AS big,
   CASE WHEN o_orderkey % 11 = 0 THEN '2024-02-30' ELSE '2024-02-28' END AS day,
-  CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01T10:00:00' ELSE '2024-01-01T10:00:00Z' END AS at FROM orders"""
+  CASE WHEN o_orderkey % 5 = 0 THEN '2024-01-01T10:00:00' ELSE '2024-01-01T10:00:00Z' END AS seen_at FROM orders"""
 _k_asks = {
     ("RequiredFieldsRule", "status"): "status IS NULL OR trim(status) = ''",
     ("NullabilityRule", "status"): "status IS NULL",
@@ -640,7 +653,7 @@ _k_asks = {
     ("FieldTypeRule", "customer"): "customer = 'n/a'",
     ("FieldTypeRule", "big"): "big > 2147483647",
     ("TemporalFormatRule", "day"): "day = '2024-02-30'",
-    ("TemporalFormatRule", "at"): "at NOT LIKE '%Z'",
+    ("TemporalFormatRule", "seen_at"): "seen_at NOT LIKE '%Z'",
     ("DecimalPrecisionRule", "price"): "price <> round(price, 2)",
 }
 
@@ -655,7 +668,7 @@ def schema_data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         RequiredFieldsRule(["status", "absent"]),
         NullabilityRule(["status", "o_orderkey"]),
         FieldTypeRule({"customer": [parse_type("int64")], "big": [parse_type("int32")]}),
-        TemporalFormatRule(["at"], ["day"], "UTC"),
+        TemporalFormatRule(["seen_at"], ["day"], "UTC"),
         DecimalPrecisionRule({"price": (12, 2)}),
     ]
     return check_data(_sql(spark, sf_dir, "orders", K_TABLE), rules, ["o_orderkey"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from datetime import date, datetime
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -73,14 +75,57 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return Dataset(df, schema_of(df))
 
 
-def read_jdbc(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, ranges: tuple[str, object, object, int] | None = None, **options) -> Dataset:
+def read_jdbc(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, ranges: tuple[str, object, object, int] | None = None, even: tuple[str, int] | None = None, **options) -> Dataset:
     """A table or query of the database at the JDBC address ``path``.
 
-    With ``ranges`` (column, low, high, n) a table is read by n tasks, each a range of the column; without, by one."""
+    With ``ranges`` (column, low, high, n) a table is read by n tasks, each an equal range of the column's values; with
+    ``even`` (column, n) by about n tasks of about as many rows each, see :func:`quantile_predicates`; without, by one."""
     reader = spark.read.format("jdbc").option("url", path).options(**options)
+    if even and (query or ranges):
+        raise ValueError("even parts are of a table, and need no ranges")
+    if even:
+        predicates = quantile_predicates(spark, path, table, *even, **options)
+        df = spark.read.jdbc(path, table, predicates=predicates, properties={k: str(v) for k, v in options.items()})
+        return Dataset(df, schema_of(df))
     if ranges:
         if query:
             raise ValueError("ranges are of a table")
         reader = reader.options(**dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, ranges), strict=True)))
     df = (reader.option("query", query) if query else reader.option("dbtable", table)).load()
     return Dataset(df, schema_of(df))
+
+
+def quantile_predicates(spark: SparkSession, path: str, table: str, column: str, n: int, **options) -> list[str]:
+    """Conditions that divide a table's rows into at most n parts of about as many rows, whatever the column's values.
+
+    The database itself is asked for the values at every n-th of the column's order, so that a run of close values does
+    not fall to one task as it would by equal ranges. A value that very many rows share is one part, and rows without a
+    value are one. Numbers, texts, dates and times can divide."""
+    ask = lambda q: spark.read.format("jdbc").option("url", path).options(**options).option("query", q).load()
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(path).quoteIdentifier(column)
+    total, known = (int(x) for x in ask(f"SELECT COUNT(*) AS a, COUNT({column}) AS b FROM {table}").first())
+    bounds = []
+    for i in range(1, min(n, known)):
+        row = ask(f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL ORDER BY {column} OFFSET {i * known // n} ROWS FETCH NEXT 1 ROWS ONLY").first()
+        if row is not None and row[0] not in bounds:
+            bounds.append(row[0])
+    cuts = [_literal(b) for b in bounds]
+    # a part is from its bound up to the next one
+    parts = [f"{column} < {cuts[0]}" if cuts else f"{column} IS NOT NULL"]
+    parts += [f"{column} >= {a}" + (f" AND {column} < {b}" if b else "") for a, b in zip(cuts, [*cuts[1:], None], strict=False)]
+    return parts + ([f"{column} IS NULL"] if known < total else [])
+
+
+def _literal(value: object) -> str:
+    """A value as SQL."""
+    if isinstance(value, bool) or value is None:
+        raise TypeError("a column of truth values cannot divide a table")
+    if isinstance(value, int | float | Decimal):
+        return repr(value) if isinstance(value, float) else str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP('{value.isoformat(sep=' ')}')"
+    if isinstance(value, date):
+        return f"DATE('{value.isoformat()}')"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    raise TypeError(f"a column of {type(value).__name__} cannot divide a table")
