@@ -253,9 +253,11 @@ class Clustering:
     def __init__(self, coded: DataFrame, keys: np.ndarray, clustered: int, classes: int, rounds: int):
         self.spark, self.docs, self.classes, self.n, self.rare = coded.sparkSession, coded.select("low", "high"), classes, classes + 2, classes + 1
         self.end, self.rest, self.keys = len(keys), len(keys) + 1, keys
-        self.of = np.append(np.full(len(keys), self.rare), [classes, self.rare])
+        # with fewer seeds than classes, all other words begin spread over these, wherever they are held
+        spread = clustered < classes
+        self.of = np.append(keys % classes if spread else np.full(len(keys), self.rare), [classes, self.rare])
         self.of[:clustered] = self.seeds(clustered)
-        self.words, self.pairs = self.others(coded.select("low", "high", "rare"), clustered < classes)
+        self.words, self.pairs = self.others(coded.select("low", "high", "rare"), spread)
         known = None
         for k in range(rounds + 1):
             scanned = stored(self.docs.mapInArrow(self.scan(k < rounds), _PACKED), "bigrams")
@@ -315,7 +317,7 @@ class Clustering:
 
         found = stored(docs.mapInArrow(occurrences, "key long, l int, r int, before long"), "occurrences")
         words = found.groupBy("key").agg(F.count("*").alias("c"), F.collect_list("l").alias("l"), F.collect_list("r").alias("r")).where("c > 1")
-        of = F.pmod("key", F.lit(self.classes)) if spread else F.lit(self.rare)  # without enough seeds
+        of = F.pmod("key", F.lit(self.classes)) if spread else F.lit(self.rare)
         words = stored(words.select("key", "c", of.cast("long").alias("of"), "l", "r"), "words")
         pairs = stored(found.where("before is not null").select(F.col("before").alias("a"), F.col("key").alias("b")), "pairs")
         forget(found)
@@ -500,8 +502,9 @@ def train(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classe
     """Learn a model and code the texts.
 
     ``docs`` has doc_id, held_out and text; rows that are not held out are learned from, all are coded.
-    ``frequent`` bounds what the driver and a broadcast hold, and ``clustered`` the words whose classes seed the
-    rounds; neither bounds what is clustered. The number of classes follows the vocabulary unless given."""
+    ``frequent`` bounds what the driver and a broadcast hold beside the seeds; it changes no class. ``clustered`` is how
+    many words seed the rounds; neither bounds what is clustered. The number of classes follows the vocabulary unless
+    given. There are ``rounds`` rounds, one less where one gains nothing: the exchange need not have come to rest."""
     ship(docs.sparkSession)
     counts = stored(count_words(docs.where("not held_out")), "counts")
     total, distinct, more = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") > 1)).first())
@@ -514,7 +517,9 @@ def train(docs: DataFrame, frequent: int = 1 << 17, clustered: int = 512, classe
         if held > frequent:
             break
         least = r["level"]
-    top = (often.where(level >= least) if least is not None else often.limit(0)).toArrow()
+    # the seeds are the same words whatever the bound: the most frequent ones, of equals the least keys
+    first = often.orderBy(F.col("c").desc(), "key").limit(clustered)
+    top = (often.where(level >= least).unionByName(first) if least is not None else first).distinct().toArrow()
     keys, n = top.column("key").to_numpy(), top.column("c").to_numpy()
     order = np.lexsort((keys, -n))
     keys, n = keys[order], n[order]

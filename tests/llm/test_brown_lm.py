@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rowdelta.llm import brown_lm
 
@@ -175,3 +176,14 @@ def test_words_that_collide_in_polynomials_are_told_apart(spark):
     held = next(i for i in range(99) if is_held(i))
     docs = spark.createDataFrame([(seen, f"{a} word word"), (held, f"{b} word")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_known"] for r in brown_lm.score(docs).collect()} == {seen: 4, held: 2}
+
+
+@pytest.mark.parametrize("clustered, classes", [(4, 8), (64, 8), (10, 2)])
+def test_what_is_broadcast_changes_no_score(spark, clustered, classes):
+    """Neither with fewer seeds than classes nor with a bound below the number of seeds, and reruns agree."""
+    rng = np.random.default_rng(3)
+    rows = [(d, " ".join(f"w{rng.zipf(1.4) % 300}" for _ in range(40))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [{r["doc_id"]: r["score"] for r in brown_lm.score(docs.repartition(n), frequent=f, clustered=clustered, classes=classes).collect()} for f, n in ((1 << 17, 2), (40, 3), (1, 2), (1 << 17, 5))]
+    for other in scores[1:]:
+        assert max(abs(other[d] - scores[0][d]) for d in other) < 1e-9
