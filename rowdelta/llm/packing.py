@@ -10,6 +10,7 @@ their length by Spark, and a piece's number says which sequence of which pattern
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -134,20 +135,45 @@ class Encoder:
         return [kept[p] for p in pieces]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: its own if that is printable, else one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Pieces that normalisation leaves as they are.
+PLAIN = re.compile("[!-@[-~ß-öø-ÿ]+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(tokenizer: str) -> Encoder:
-    """The process's encoder of a tokenizer file."""
+    """The process's encoder of a tokenizer file.
+
+    Where its steps are known, pieces go to the merges themselves; other ones through all steps."""
     if tokenizer not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        parts = json.loads(model.to_str())
-        split = any(p.get("pattern") == {"Regex": PATTERN} for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", []))
-        split &= any(n["type"] == "Lowercase" for n in (parts["normalizer"] or {}).get("normalizers", []))
-        encode = lambda words: (e.ids for e in model.encode_batch_fast(words, add_special_tokens=False))
-        _ENCODERS[tokenizer] = Encoder(encode, split, [t["content"] for t in parts["added_tokens"]])
+        whole = Tokenizer.from_file(tokenizer)
+        steps = json.loads(whole.to_str())
+        tokens = [t["content"] for t in steps["added_tokens"]]
+        before = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = any(p.get("pattern") == {"Regex": PATTERN} for p in before)
+        split &= any(n["type"] == "Lowercase" for n in (steps["normalizer"] or {}).get("normalizers", []))
+        direct = split and [(p["type"], p.get("add_prefix_space")) for p in before] == [("Split", None), ("ByteLevel", False)] and steps["model"]["type"] == "BPE"
+        model = whole.model
+
+        def encode(pieces: list[str]) -> Iterator[list[int]]:
+            plain = [direct and PLAIN.fullmatch(p) is not None and not any(t[:2] in p for t in tokens) for p in pieces]
+            others = iter(whole.encode_batch_fast([p for p, easy in zip(pieces, plain, strict=True) if not easy], add_special_tokens=False))
+            for p, easy in zip(pieces, plain, strict=True):
+                if easy:
+                    yield [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                else:
+                    yield next(others).ids
+
+        _ENCODERS[tokenizer] = Encoder(encode, split, tokens)
     return _ENCODERS[tokenizer]
 
 
@@ -161,7 +187,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bo
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text"):
                 ids, offsets = encode(batch.column("text"))
                 ids = np.insert(ids, offsets[1:], END).astype("<u4")
                 offsets = offsets + np.arange(len(offsets))

@@ -121,7 +121,7 @@ def test_empty_table(spark):
 LETTERS = "abzABZsStTmMdDlLvVrReE019'\"!-.<>|_ßÀÖ×Øàöø÷ÿªº²¼İĀ́ΣςΩ日😀\xa0\x1c\x7f\x80"
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(st.text(st.sampled_from(LETTERS), min_size=1, max_size=9), max_size=6))
 def test_pieces_of_words_are_those_of_the_tokenizer(words):
     text = " ".join(words)
