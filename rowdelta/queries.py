@@ -6,8 +6,12 @@ values change, become null, or move by less than a tolerance.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
+import io
+import json
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowdelta import generate, sinks, sources
+from rowdelta import cli, generate, sinks, sources
+from rowdelta.inspect import column_statistics
 from rowdelta.model import Dataset, DiffOptions, DiffResult, FieldInfo, SchemaInfo
 from rowdelta.plans import diff
 from rowdelta.schema import (
@@ -30,11 +35,14 @@ from rowdelta.schema import (
     ValidationLevel,
     Validator,
     parse_type,
+    schema_text,
+    validator_from_file,
 )
 from rowdelta.schema.data_checks import check_data
 from rowdelta.schema.report import differences_frame
 from rowdelta.schema.types import schema_of
 from rowdelta.sources.footers import columns_of, disagreements, footers, row_groups
+from rowdelta.streaming import diff_stream
 from rowdelta.workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -812,6 +820,158 @@ def diff_map_inside_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir, T_TARGET, T_SOURCE).modified.drop("v")
 
 
+# commands and reports: what users see as text comes back as rows
+
+
+def _run(command: str, *arguments: str) -> str:
+    """What a command of the command line prints."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out), contextlib.redirect_stderr(io.StringIO()):
+        args = cli.parser().parse_args([command, *arguments])
+        (cli.run_diff if command == "diff" else cli.run_schema)(args)
+    return out.getvalue()
+
+
+def _written_pair(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    folder = _folder(spark)
+    for name, text in (("source", O_SOURCE), ("target", O_TARGET)):
+        _sql(spark, sf_dir, "orders", text).write.parquet(f"{folder}/{name}.parquet")
+    return f"{folder}/source.parquet", f"{folder}/target.parquet"
+
+
+@query(
+    f"""{_pair()} SELECT 'added' AS _change_type, t.* FROM t ANTI JOIN s USING (o_orderkey) UNION ALL SELECT 'deleted', s.* FROM s ANTI JOIN t USING (o_orderkey)
+  UNION ALL SELECT 'modified', s.* FROM s JOIN t USING (o_orderkey) WHERE {" OR ".join(FLAGS.values())}"""
+)
+def cli_diff_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two written tables compared from the command line, the last row of a key by the order of files; its output read."""
+    out = _folder(spark) + ".parquet"
+    _run("diff", *_written_pair(spark, sf_dir), "--key", "o_orderkey", "--output", out)
+    return spark.read.parquet(out).select("_change_type", *COLS)
+
+
+@query(
+    f"""{_pair()}, totals AS ({_summary_sql(FLAGS, "").strip()}), by_column AS (
+      {" UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, count(*) AS n FROM s JOIN t USING (o_orderkey) WHERE {f}" for i, (c, f) in enumerate(FLAGS.items()))})
+    SELECT unnest(list_concat(['', 'Diff Summary:', '  Source records: ' || total_source, '  Target records: ' || total_target, '  Added records:   ' || added, '  Deleted records: ' || deleted, '  Modified records: ' || modified, '', 'Modified columns:'],
+      (SELECT list('  ' || name || ': ' || n || ' modifications' ORDER BY place) FROM by_column WHERE n > 0))) AS line, generate_subscripts(list_concat(range(9), (SELECT list(n) FROM by_column WHERE n > 0)), 1)::BIGINT AS place FROM totals"""
+)
+def cli_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary that a comparison of keys without repeats prints, by checksums first."""
+    text = _run("diff", *_written_pair(spark, sf_dir), "--key", "o_orderkey", "--unique-keys", "--checksums")
+    return spark.createDataFrame([(i + 1, line) for i, line in enumerate(text.rstrip("\n").split("\n"))], "place long, line string")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier), t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS s_name, s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0)
+  SELECT 'deleted' AS _change_type, s.* FROM s ANTI JOIN t USING (s_suppkey) UNION ALL SELECT 'modified', s.* FROM s JOIN t USING (s_suppkey) WHERE s.s_name IS DISTINCT FROM t.s_name"""
+)
+def cli_json_to_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small comparison's changes as the JSON array that the command line prints."""
+    folder = _folder(spark)
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    rows.write.parquet(f"{folder}/a.parquet")
+    rows.where("s_suppkey % 4 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name"))).write.parquet(f"{folder}/b.parquet")
+    found = json.loads(_run("diff", f"{folder}/a.parquet", f"{folder}/b.parquet", "--key", "s_suppkey", "-f", "json_array"))
+    names = ("_change_type", "s_suppkey", "s_name", "s_acctbal")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in found], "_change_type string, s_suppkey long, s_name string, s_acctbal double")
+
+
+_arrow = "CASE column_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END"
+
+
+@query(
+    f"""WITH a AS (SELECT column_name AS field, {_arrow} AS type FROM (DESCRIBE customer)), b AS (SELECT column_name AS field, {_arrow} AS type FROM (DESCRIBE supplier))
+  SELECT field, 'only_in_source' AS kind, type AS source, NULL AS target FROM a ANTI JOIN b USING (field) UNION ALL SELECT field, 'only_in_target', NULL, type FROM b ANTI JOIN a USING (field)
+  UNION ALL SELECT field, 'type', a.type, b.type FROM a JOIN b USING (field) WHERE a.type <> b.type"""
+)
+def cli_schema_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the schemas of two tables differ, from the JSON that the command line prints."""
+    found = json.loads(_run("schema", f"{sf_dir}/customer.parquet", f"{sf_dir}/supplier.parquet", "--level", "relaxed", "-f", "json"))
+    return spark.createDataFrame([tuple(d) for d in found["differences"]], "field string, kind string, source string, target string")
+
+
+@query(
+    f"""SELECT 0::BIGINT AS place, 'Schema:' AS line UNION ALL
+  SELECT row_number() OVER (), '  ' || column_name || ': ' || {_arrow.replace("ELSE 'string'", "WHEN 'TIMESTAMP' THEN 'timestamp[us]' ELSE 'string'")} || ' NULL' FROM (DESCRIBE lineitem)"""
+)
+def schema_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed schema of lineitem."""
+    text = schema_text(sources.read(spark, f"{sf_dir}/lineitem.parquet", "parquet").schema)
+    return spark.createDataFrame(list(enumerate(text.rstrip("\n").split("\n"))), "place long, line string")
+
+
+_config_message = """'lineitem' AS "case", FALSE AS valid, 'error' AS kind, {} AS rule, {} AS message"""
+
+
+@query(
+    f"""SELECT 'lineitem' AS "case", FALSE AS valid, 'outcome' AS kind, '' AS rule, '' AS message
+  UNION ALL SELECT {_config_message.format("'RequiredFieldsRule'", "'required fields missing: ' || string_agg(f, ', ' ORDER BY f)")} FROM (VALUES ('l_orderkey'), ('l_container'), ('l_weight')) AS w(f) WHERE f NOT IN (SELECT n FROM {_columns})
+  UNION ALL SELECT {_config_message.format("'FieldTypeRule'", "'field type validation failed: field ''' || n || ''' has type ''double'', but expected one of: float, int64'")} FROM {_columns} WHERE n = 'l_tax' AND t = 'DOUBLE'
+  UNION ALL SELECT {_config_message.format("'DictionaryEncodingRule'", "'string fields should use dictionary encoding: ' || string_agg(n, ', ')")} FROM {_columns} WHERE t = 'VARCHAR' AND n <> 'l_returnflag'"""
+)
+def schema_config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from a configuration file over the declared schema of lineitem."""
+    config = {"validation_level": "strict", "required_fields": ["l_orderkey", "l_container", "l_weight"], "field_types": {"l_tax": ["float", "int64"]}, "string_fields_require_dictionary": True, "dictionary_exempt_fields": ["l_returnflag"]}
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "rules.json")
+        with open(path, "w") as f:
+            json.dump(config, f)
+        validator = validator_from_file(path)
+    return _result_rows(spark, [("lineitem", validator.validate(sources.read(spark, f"{sf_dir}/lineitem.parquet", "parquet").schema))])
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 4 <> 2")
+def source_concat_full_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a table on end: one kept once read, one as it is, one without rows."""
+    whole = sources.read(spark, f"{sf_dir}/orders.parquet")
+    kept = sources.full_load(dataclasses.replace(whole, df=whole.df.where("o_orderkey % 4 = 0")))
+    return sources.concat(kept.df, whole.df.where("o_orderkey % 2 = 1"), sources.empty_like(whole.df))
+
+
+@query(
+    f"""SELECT replace(path_in_schema, ', ', '.') AS "column", any_value(type) AS type, count(*) AS row_groups, sum(num_values)::BIGINT AS n_values, sum(stats_null_count)::BIGINT AS nulls, sum(total_compressed_size)::BIGINT AS compressed, sum(total_uncompressed_size)::BIGINT AS uncompressed
+    FROM parquet_metadata('{FIXED_DIR}/lineitem.parquet') GROUP BY path_in_schema"""
+)
+def source_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the inspector adds up over all row groups of lineitem."""
+    return column_statistics(spark, f"{sf_dir}/lineitem.parquet")
+
+
+@query(f"{_pair()} SELECT 'added' AS _change_type, t.* FROM t ANTI JOIN s USING (o_orderkey) UNION ALL SELECT 'modified', s.* FROM s JOIN t USING (o_orderkey) WHERE {' OR '.join(FLAGS.values())}")
+def diff_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target as a stream of files, each batch compared with the source's rows of its keys."""
+    folder = _folder(spark)
+    target = _sql(spark, sf_dir, "orders", O_TARGET)
+    target.repartition(3, "o_orderkey").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(target.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def keep(result: DiffResult, number: int) -> None:
+        result.changes().select("_change_type", *COLS).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    running = diff_stream(stream, _sql(spark, sf_dir, "orders", O_SOURCE), DiffOptions(("o_orderkey",), tolerance=TOL), keep, f"{folder}/checkpoint")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("""SELECT 'incompatible types for column o_custkey: ' || lower(column_type) || ' and string' AS refused FROM (DESCRIBE orders) WHERE column_name = 'o_custkey'""")
+def diff_refuses_other_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of two types is told before anything runs; ignored, it is none."""
+    source = _table(spark, sf_dir, "orders")
+    target = source.withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    said = []
+    for ignore in ((), ("o_custkey",)):
+        try:
+            diff(source, target, DiffOptions(("o_orderkey",), ignore=ignore, unique_keys=True))
+        except TypeError as e:
+            said.append((str(e),))
+    return spark.createDataFrame(said, "refused string")
+
+
+
 def lineitem_pair(spark: SparkSession, sf_dir: str, target_dir: str | None = None) -> DiffResult:
     """The benchmark workload: all columns of lineitem, two keys that are not unique, tolerance 1e-4."""
     source = _table(spark, sf_dir, "lineitem")

@@ -153,7 +153,9 @@ def test_cli(spark, pair, tmp_path, capsys):
     assert code == 2 and "Schema Comparison:" in out
     assert run("schema", "x.unknown")[0] == 1
     assert "rowdelta version" in run("version")[1]
-    assert "Number of rows" in run("inspect", pair[0])[1]
+    assert "Number of rows" in run("inspect", pair[0])[1] and "2000 values" in run("inspect", pair[0], "--statistics")[1]
+    fast = run("diff", *pair, "--key", "id", "--unique-keys", "--checksums")
+    assert fast[0] == 0 and fast[1] == run("diff", *pair, "--key", "id", "--unique-keys")[1]
     assert run("generate", str(tmp_path / "x.parquet"), str(tmp_path / "y.parquet"), "--rows", "10", "--no-new-columns")[0] == 0
     assert spark.read.parquet(str(tmp_path / "y.parquet")).count() == 10
 
