@@ -53,8 +53,12 @@ def targets(sources: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1
     times its own size.
 
     Sources go by code point, null last, and take the weights in turn. What is over a source's limit is
-    shared again by weight among the rest, until none is above. Each round is one aggregate: as the open share of a
-    unit of weight only grows, it alone says which sources are closed."""
+    shared again by weight among the rest, until none is above. As the open share of a unit of weight only grows, it
+    alone says which sources are closed. Up to ``BROADCAST_SOURCES`` sources are shared out on the driver; of more, each
+    round is one aggregate."""
+    sources = stored(sources, "totals")
+    if sources.count() <= BROADCAST_SOURCES:
+        return _targets_of_few(sources, most, weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
     known = stored(numbered(sources).withColumn("weight", weight), "weights")
     total = known.agg(F.sum("source_size")).first()[0] or 0
@@ -69,6 +73,25 @@ def targets(sources: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1
     return known.withColumn("target", F.when(closed(unit), F.lit(most) * F.col("source_size")).otherwise(F.col("weight") * F.lit(unit))).drop("weight")
 
 
+def _targets_of_few(sources: DataFrame, most: float, weights: tuple[int, ...]) -> DataFrame:
+    found = sources.toArrow()
+    name, size = found.column("source").to_pylist(), found.column("source_size").to_numpy()
+    place = sorted(range(len(name)), key=lambda i: (name[i] is None, name[i] or ""))
+    sid = np.empty(len(name), np.int64)
+    sid[place] = np.arange(len(name))
+    weight = np.array(weights)[sid % len(weights)]
+    total, unit, shut = int(size.sum()), 0.0, -1
+    while True:
+        over = weight * unit > most * size
+        n, open_ = int(over.sum()), int(weight[~over].sum())
+        if n == shut or not open_:
+            break
+        unit, shut = max(unit, (total - most * int(size[over].sum())) / open_), n
+    target = np.where(weight * unit > most * size, most * size, weight * unit)
+    rows = found.append_column("sid", pa.array(sid)).append_column("target", pa.array(target, pa.float64()))
+    return sources.sparkSession.createDataFrame(rows) if len(name) else sources.withColumns({"sid": F.lit(0).cast("long"), "target": F.lit(0.0)})
+
+
 def settle(size: np.ndarray, copies: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> int:
     """Round the fractions p, in place, into copies. Returns the unsettled row, or -1 if there is none."""
     draws = rng.random(len(p))

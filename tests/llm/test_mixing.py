@@ -27,8 +27,10 @@ def brute_targets(sizes):
     return got
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
 @pytest.mark.parametrize("sizes", [{"a": 100}, {"a": 5, "b": 1000, "c": 1, None: 3}, {"é": 10, "z": 10, "Z": 10, None: 10}, {"a": 0, "b": 9}, {}, {"a": 0}])
-def test_targets(spark, sizes):
+def test_targets(spark, sizes, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
     out, want = mixing.targets(table).collect(), brute_targets(sizes)
     got = {r["source"]: r["target"] for r in out}
