@@ -1,64 +1,60 @@
-"""An order-preserving key of fixed width, so that the greatest row of a group is found by a hash aggregate.
+"""An order-preserving value of fixed width, so that the greatest row of a group is found by a hash aggregate.
 
-Spark keeps an aggregate's buffer in place, and so hashes, only for values of fixed width: the maximum of a struct or of
-bytes is a sort. Columns of fixed width are therefore packed into one decimal of 38 digits, each as an unsigned number
-beside the one before it; nulls are least, so they come last in descending order.
+Spark keeps an aggregate's buffer in place, and so hashes, only for values of fixed width: the maximum of a struct, a text
+or bytes is a sort before and after the shuffle. One column of fixed width is an order by itself. Several are packed into
+a long, each as an unsigned number beside the one before it, where their widths fit. (Packing wider ones into a decimal
+of 38 digits hashes too, but was measured at half the speed of the sort.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a decimal(38, 0) holds without sign.
-BITS = 126
-_WIDTHS = {T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.DateType: 32, T.LongType: 64, T.TimestampType: 64, T.TimestampNTZType: 64}
-WIDE = T.DecimalType(38, 0)
+#: What a long holds without sign.
+BITS = 63
+_WIDTHS = {T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.DateType: 32}
+
+
+def fixed(kind: T.DataType) -> bool:
+    """Whether an aggregate can keep a value of the type in place."""
+    return isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType)
 
 
 def width(kind: T.DataType) -> int | None:
-    """Bits of the key of a type, one of them for null; None for a type of no fixed width or without an integer form."""
+    """Bits that a type takes in a packed key, one of them for null; None for a type that is not packed."""
     if isinstance(kind, T.DecimalType):
-        return (2 * 10**kind.precision).bit_length() + 1
+        return (2 * 10**kind.precision).bit_length() + 1 if kind.precision < 18 else None
     bits = _WIDTHS.get(type(kind))
     return bits and bits + 1
 
 
-def _wide(n: int) -> Column:
-    return F.lit(Decimal(n)).cast(WIDE)
-
-
 def _unsigned(c: Column, kind: T.DataType) -> Column:
     """From 1 up in the type's order; null is 0."""
     if isinstance(kind, T.BooleanType):
         number, least = c.cast("int"), 0
     elif isinstance(kind, T.DateType):
         number, least = F.unix_date(c), -(1 << 31)
-    elif isinstance(kind, T.TimestampNTZType):
-        # days and the microseconds of the day, since a cast to an instant could fold an hour of the session's zone
-        day = F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-        number, least = F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + day, -(1 << 63)
-    elif isinstance(kind, T.TimestampType):
-        number, least = F.unix_micros(c), -(1 << 63)
     elif isinstance(kind, T.DecimalType):
-        number, least = c.cast(T.DecimalType(38, kind.scale)) * _wide(10**kind.scale), -(10**kind.precision)
+        number, least = c * F.lit(10**kind.scale), -(10**kind.precision)
     else:
         number, least = c, -(1 << (_WIDTHS[type(kind)] - 1))
-    return F.coalesce(number.cast(WIDE) + _wide(1 - least), _wide(0)).cast(WIDE)
+    return F.coalesce(number.cast("long") + F.lit(1 - least), F.lit(0)).cast("long")
 
 
 def order_key(columns: Sequence[Column], kinds: Sequence[T.DataType]) -> Column | None:
-    """One decimal whose order is that of the tuple, nulls least; None where the columns do not fit it."""
+    """A value of fixed width whose order is that of the tuple, nulls least; None where the columns do not fit.
+
+    That of a single column is the column itself, and null where it is null; others are never null."""
+    if len(columns) == 1 and fixed(kinds[0]):
+        return columns[0]
     widths = [width(k) for k in kinds]
     if not columns or None in widths or sum(widths) > BITS:
         return None
-    key = None
+    key = F.lit(0).cast("long")
     for c, kind, bits in zip(columns, kinds, widths, strict=True):
-        own = _unsigned(c, kind)
-        key = own if key is None else (key * _wide(1 << bits)).cast(WIDE) + own
-        key = key.cast(WIDE)
+        key = F.shiftleft(key, bits) + _unsigned(c, kind)
     return key

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowdelta.functions.compare import comparable, text_key, typed_key
-from rowdelta.functions.order_key import order_key
+from rowdelta.functions.order_key import fixed, order_key
 from rowdelta.operators.keys import first_fields
 
 
@@ -70,10 +70,12 @@ class Side:
         if not names:
             return self.rows.groupBy(*self.on).agg(n)
         if self.packed is not None:
-            rows = self.rows.withColumn("_order", self.packed)
-            own = {c.lower(): v for name in names for c, v in self._narrow(name).items()}
-            last = rows.select(*self.on, "_order", *[v.alias(c) for c, v in own.items()])
-            return last.groupBy(*self.on).agg(n, *[F.max_by(c, "_order").alias(c) for c in own])
+            own = {c: v for name in names for c, v in self._narrow(name).items()}
+            order = self.packed.alias("_order")
+            rows = self.rows.select(*self.on, order, *[v.alias(c) for c, v in own.items()]).withColumn("_none", F.when(F.col("_order").isNull(), 0))
+            # max_by passes over rows whose order is null: these count where a key has no others
+            known = F.max("_order").isNotNull()
+            return rows.groupBy(*self.on).agg(n, *[F.when(known, F.max_by(c, "_order")).otherwise(F.max_by(c, "_none")).alias(c) for c in own])
         own = F.struct(*[self.column(c) for c in names])
         last = self.rows.groupBy(*self.on).agg(n, F.max_by(own, F.struct(*self.by)).alias("_last"))
         return last.select(*self.on, f"n_{self.tag}", "_last.*")
@@ -82,12 +84,12 @@ class Side:
         """Whether ``counted`` has the digest of a column, ``{tag}{place}`` and ``{tag}{place}b``, not its values.
 
         Digests of two equal halves of 64 bits mean equal values; null is null in both."""
-        return not self.unique and self.packed is not None and not _fixed(self.fields[name][1])
+        return not self.unique and self.packed is not None and not fixed(self.fields[name][1])
 
     def _narrow(self, name: str) -> dict[str, Column]:
         place, kind = self.fields[name]
         c = self.column(name)
-        if _fixed(kind):
+        if fixed(kind):
             return {f"{self.tag}{place}": c}
         first, second = digest([comparable(c, kind)], [kind])
         return {f"{self.tag}{place}": F.when(c.isNotNull(), first), f"{self.tag}{place}b": F.when(c.isNotNull(), second)}
@@ -96,11 +98,6 @@ class Side:
         return self.rows.select(*self.on) if self.unique else self.rows.select(*self.on).distinct()
 
 
-def _fixed(kind: T.DataType) -> bool:
-    """Whether an aggregate can keep a value of the type in place."""
-    return isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType | T.TimestampNTZType)
-
-
 def digest(columns: list[Column], kinds: list[T.DataType]) -> tuple[Column, Column]:
     """Two 64-bit hashes of a tuple. Spark's hash passes nulls over, so where they stand is hashed beside the values;
     nested values are hashed as JSON, which tells a null from its place too."""
