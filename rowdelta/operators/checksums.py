@@ -21,6 +21,8 @@ from .side import Side, digest
 #: Buckets of the first level, by how many each is divided further, and the most there are: what the driver holds of
 #: a level and what is sent to all tasks is bounded by them.
 FIRST, FURTHER, MOST = 1 << 12, 1 << 4, 1 << 20
+#: Buckets that a condition names; more are a broadcast table.
+FEW = 64
 #: A bucket of fewer rows is not divided.
 SMALL = 64
 #: Bits of hashes that are summed: no sum overflows under 2**39 rows of a bucket.
@@ -93,7 +95,7 @@ def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int
 
 def _inside(df: DataFrame, bucket: Column, chosen: list[int]) -> DataFrame:
     """Rows whose bucket is among ``chosen``, of which there are at most ``MOST``."""
-    if len(chosen) <= FIRST:
+    if len(chosen) <= FEW:
         return df.where(bucket.isin(chosen))
     one = df.sparkSession.createDataFrame(pa.table({"_chosen": pa.array(chosen, pa.int64())}))
     return df.join(F.broadcast(one), bucket == F.col("_chosen"), "left_semi")
