@@ -23,8 +23,9 @@ from .side import Side, digest
 FIRST, FURTHER, MOST = 1 << 12, 1 << 4, 1 << 20
 #: Buckets that a condition names; more are a broadcast table.
 FEW = 64
-#: A bucket of fewer rows is not divided.
-SMALL = 64
+#: A bucket of fewer rows is not divided, and none is where the rows left are so small a share of all: another level would
+#: cost a scan and save little.
+SMALL, ENOUGH = 64, 0.05
 #: Bits of hashes that are summed: no sum overflows under 2**39 rows of a bucket.
 _SLICES = ((0, 24), (24, 20), (44, 20))
 
@@ -54,8 +55,8 @@ def _row_hashes(side: Side, compared: list[str]) -> tuple[Column, Column]:
     return digest([F.col(k) for k in side.on] + columns, [side.rows.schema[k].dataType for k in side.on] + [side.fields[n][1] for n in names])
 
 
-def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int = SMALL) -> Narrowed | None:
-    """The rows of ``s`` and ``t`` that checksums cannot rule out; runs a job a level.
+def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int = SMALL, enough: float = ENOUGH) -> Narrowed | None:
+    """The rows of ``s`` and ``t`` that checksums cannot rule out; runs a job a level, and each reads both sides again.
 
     None where checksums say nothing: a compared column that the target lacks is modified in every row, and rows of a
     key have an order that is not of the same columns on both sides."""
@@ -68,7 +69,7 @@ def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int
         h, g = _row_hashes(side, compared)
         parts = [F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1)) for x in (h, g) for at, bits in _SLICES]
         frames.append(side.rows.select(F.xxhash64(*side.on).alias("at"), *[p.alias(f"p{i}") for i, p in enumerate(parts)]))
-    buckets, bad, levels, total = first, None, [], 0
+    buckets, bad, levels, total, every = first, None, [], 0, 0
     while True:
         sums = []
         for df, tag in zip(frames, "st", strict=True):
@@ -81,12 +82,12 @@ def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int
         one = both.groupBy(F.when(~same, F.col("bucket")).alias("bucket")).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_s", "n_t")])
         found = one.toPandas()
         if not levels:
-            total = int(found["n_s"].sum())
+            total, every = int(found["n_s"].sum()), int(found["n_s"].sum() + found["n_t"].sum())
         found = found[found["bucket"].notna()]
         bad = found["bucket"].astype("int64").tolist()
         levels.append(Level(buckets, len(bad), int(found["n_s"].sum()), int(found["n_t"].sum())))
         rows = levels[-1].source_rows + levels[-1].target_rows
-        if not bad or buckets * FURTHER > MOST or rows < small * len(bad):
+        if rows <= enough * every or buckets * FURTHER > MOST or rows < small * len(bad):
             break
         buckets *= FURTHER
     inside = [_inside(side.rows, F.pmod(F.xxhash64(*side.on), F.lit(buckets)), bad) for side in (s, t)]
