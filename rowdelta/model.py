@@ -16,7 +16,7 @@ class DiffOptions:
     """How two datasets are compared.
 
     ``tolerance`` is for float columns; 0 is exact. ``order_by`` says which of several rows of a key wins: the
-    greatest. ``unique_keys`` promises that there are no such rows. ``key_style`` is "typed", where null keys
+    greatest, of equal ones that by the other columns. ``unique_keys`` promises that there are no such rows. ``key_style`` is "typed", where null keys
     equal only null keys, or "text", where key values are joined as text by pipes and null is ``NULL``.
     ``checksums`` compares sums of row hashes by buckets of keys first, by which equal buckets are left out: a job or two
     before the comparison, worth it where little changed. A key of over ``hot_rows`` rows and a hundredth of its side

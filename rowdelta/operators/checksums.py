@@ -50,7 +50,7 @@ class Narrowed:
 
 
 def _row_hashes(side: Side, compared: list[str]) -> tuple[Column, Column]:
-    names = list(dict.fromkeys((*side.ordered, *compared)))
+    names = list(dict.fromkeys((*side.deciding, *compared)))
     columns = [comparable(side.column(n), side.fields[n][1]) for n in names]
     return digest([F.col(k) for k in side.on] + columns, [side.rows.schema[k].dataType for k in side.on] + [side.fields[n][1] for n in names])
 
@@ -60,9 +60,9 @@ def narrow(s: Side, t: Side, compared: list[str], first: int = FIRST, small: int
 
     None where checksums say nothing: a compared column that the target lacks is modified in every row, and rows of a
     key have an order that is not of the same columns on both sides."""
-    if any(c not in t.fields for c in compared) or set(s.ordered) != set(t.ordered):
+    if any(c not in t.fields for c in compared) or set(s.deciding) != set(t.deciding):
         return None
-    if any(s.fields[n][1].simpleString() != t.fields[n][1].simpleString() for n in s.ordered):
+    if any(s.fields[n][1].simpleString() != t.fields[n][1].simpleString() for n in s.deciding):
         return None
     frames = []
     for side in (s, t):

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowdelta.functions.compare import comparable, text_key, typed_key
-from rowdelta.functions.order_key import fixed, order_key
+from rowdelta.functions.order_key import order_key
 from rowdelta.operators.keys import first_fields
 
 
 class Side:
-    """Columns are ``{tag}{place}``, so that dots, case and repeated names cannot clash; keys are ``k{n}``."""
+    """Columns are ``{tag}{place}``, so that dots, case and repeated names cannot clash; keys are ``k{n}``.
 
-    def __init__(self, df: DataFrame, tag: str, keys: list[str], key_style: str, order_by: tuple[str, ...], unique: bool):
+    Of rows that ``order_by`` leaves equal the greatest by ``ties`` is last, then that by the side's other columns. With the
+    compared columns of both sides as ``ties``, in one sequence, both sides choose alike."""
+
+    def __init__(self, df: DataFrame, tag: str, keys: list[str], key_style: str, order_by: tuple[str, ...], unique: bool, ties: tuple[str, ...] | None = None):
         self.names, self.tag, self.unique = df.columns, tag, unique
         self.fields = first_fields(df.schema)
         for k in (*keys, *order_by):
@@ -32,12 +35,22 @@ class Side:
         self.on = [f"k{i}" for i in range(len(made))]
         # computed below any window or join, so that both use the same hash partitioning
         self.rows = renamed.select("*", *[c.alias(n) for c, n in zip(made, self.on, strict=True)])
-        self.by = [comparable(self.column(n), self.fields[n][1]) for n in order_by or self.fields]
+        #: the columns that say what is compared of a key's last row
+        self.deciding = () if unique else tuple(dict.fromkeys((*order_by, *(ties or ())))) if order_by else tuple(self.fields)
+        rest = [n for n in self.fields if (n not in keys or key_style == "text") and _sortable(self.fields[n][1])] if ties is not None else []
         #: the columns that say which row of a key is last
-        self.ordered = () if unique else tuple(order_by or self.fields)
-        self.order = [c.desc_nulls_last() for c in self.by]
-        #: the order as one value of fixed width, where it fits
-        self.packed = order_key(self.by, [self.fields[n][1] for n in order_by or self.fields])
+        self.ordered = () if unique else tuple(dict.fromkeys((*self.deciding, *rest)))
+        self.by = [self._by(n) for n in self.deciding]
+        self.order = [self._by(n).desc_nulls_last() for n in self.ordered]
+        #: what decides as one value of fixed width, where it fits, and whether the order alone would
+        self.packed = self._packed(self.deciding)
+        self.short = self.packed is not None or self._packed(order_by) is not None
+
+    def _by(self, name: str) -> Column:
+        return comparable(self.column(name), self.fields[name][1])
+
+    def _packed(self, names: tuple[str, ...]) -> Column | None:
+        return order_key([self._by(n) for n in names], [self.fields[n][1] for n in names])
 
     def where(self, condition: Column) -> Side:
         """The side with some of its rows."""
@@ -56,48 +69,49 @@ class Side:
         """One row a key, the last of several. Ranks are limited before the shuffle, so a hot key is one row there."""
         if self.unique:
             return self.rows
-        ranked = self.rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.on).orderBy(*self.order)))
+        return self._first(self.order)
+
+    def _first(self, order: list[Column]) -> DataFrame:
+        ranked = self.rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.on).orderBy(*order)))
         return ranked.where("_rank = 1").drop("_rank")
 
     def counted(self, names: list[str]) -> DataFrame:
         """The columns ``names`` of the last row of each key with ``n_{tag}``, the number of the key's rows.
 
-        An aggregate, so that the rows of a hot key are counted before the shuffle. Where the order is packed it hashes,
-        and columns of no fixed width come as digests, see :meth:`digested`; else it sorts structs."""
+        The rows of a hot key are counted, and its last one is found, before the shuffle. Where all that decides is packed,
+        an aggregate hashes. A short order whose ties other columns break is ranked, and others are sorted as structs."""
         if self.unique:
             return self.rows.withColumn(f"n_{self.tag}", F.lit(1).cast("long"))
         n = F.count(F.lit(1)).alias(f"n_{self.tag}")
         if not names:
             return self.rows.groupBy(*self.on).agg(n)
         if self.packed is not None:
-            own = {c: v for name in names for c, v in self._narrow(name).items()}
-            order = self.packed.alias("_order")
-            rows = self.rows.select(*self.on, order, *[v.alias(c) for c, v in own.items()]).withColumn("_none", F.when(F.col("_order").isNull(), 0))
+            own = [f"{self.tag}{self.fields[name][0]}" for name in names]
+            rows = self.rows.select(*self.on, self.packed.alias("_order"), *own).withColumn("_none", F.when(F.col("_order").isNull(), 0))
             # max_by passes over rows whose order is null: these count where a key has no others
             known = F.max("_order").isNotNull()
             return rows.groupBy(*self.on).agg(n, *[F.when(known, F.max_by(c, "_order")).otherwise(F.max_by(c, "_none")).alias(c) for c in own])
-        own = F.struct(*[self.column(c) for c in names])
-        last = self.rows.groupBy(*self.on).agg(n, F.max_by(own, F.struct(*self.by)).alias("_last"))
+        own = [self.column(c) for c in names]
+        if self.short:
+            last = self._first([c.desc_nulls_last() for c in self.by]).select(*self.on, *own)
+            return last.join(self.rows.groupBy(*self.on).agg(n), self.on)
+        last = self.rows.groupBy(*self.on).agg(n, F.max_by(F.struct(*own), F.struct(*self.by)).alias("_last"))
         return last.select(*self.on, f"n_{self.tag}", "_last.*")
 
-    def digested(self, name: str) -> bool:
-        """Whether ``counted`` has the digest of a column, ``{tag}{place}`` and ``{tag}{place}b``, not its values.
-
-        Digests of two equal halves of 64 bits mean equal values; null is null in both."""
-        return not self.unique and self.packed is not None and not fixed(self.fields[name][1])
-
-    def _narrow(self, name: str) -> dict[str, Column]:
-        place, kind = self.fields[name]
-        c = self.column(name)
-        if fixed(kind):
-            return {f"{self.tag}{place}": c}
-        first, second = digest([comparable(c, kind)], [kind])
-        return {f"{self.tag}{place}": F.when(c.isNotNull(), first), f"{self.tag}{place}b": F.when(c.isNotNull(), second)}
-
     def keys(self) -> DataFrame:
         return self.rows.select(*self.on) if self.unique else self.rows.select(*self.on).distinct()
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _sortable(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.VariantType | T.CalendarIntervalType)
+
+
 def digest(columns: list[Column], kinds: list[T.DataType]) -> tuple[Column, Column]:
     """Two 64-bit hashes of a tuple. Spark's hash passes nulls over, so where they stand is hashed beside the values;
     nested values are hashed as JSON, which tells a null from its place too."""

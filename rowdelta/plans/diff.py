@@ -34,13 +34,14 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
             raise ValueError(f"schemas do not agree: {outcome.errors}")
     check_types(a.df.schema, b.df.schema, options.ignore)
     keys = resolve_keys(options.keys, a.schema.metadata.get("primary_key"), a.df.columns, options.ignore)
-    s = Side(a.df, "s", keys, options.key_style, options.order_by or a.position, options.unique_keys)
-    t = Side(b.df, "t", keys, options.key_style, options.order_by or b.position, options.unique_keys)
+    compared = compare_columns(a.df.columns, keys, options.ignore)
+    ties = tuple(c for c in compared if c in b.df.columns) if options.order_by else None
+    s = Side(a.df, "s", keys, options.key_style, options.order_by or a.position, options.unique_keys, ties)
+    t = Side(b.df, "t", keys, options.key_style, options.order_by or b.position, options.unique_keys, ties)
 
     # without key columns in common types a key's plain columns could differ in number
     if len(s.on) != len(t.on):
         raise TypeError("key columns have other types in the target")
-    compared = compare_columns(a.df.columns, keys, options.ignore)
     narrowed = narrow(s, t, compared) if options.checksums else None
     if narrowed:
         s.rows, t.rows = narrowed.source, narrowed.target
@@ -64,14 +65,9 @@ def diff(source: DataFrame | Dataset, target: DataFrame | Dataset, options: Diff
     # totals: one full outer join of one row a key; each side's duplicates are counted on the way
     common = [c for c in compared if c in t.fields]
     both = s.counted(common).join(t.counted(common), s.on, "full_outer")
-    # columns that the aggregates have digests of are compared by these
-    seen = {c: _digest_flag(s, t, c) if c in common and s.digested(c) else f for c, f in flags.items()}
-    any_seen = F.lit(False)
-    for f in seen.values():
-        any_seen = any_seen | f
-    changed = F.col("n_s").isNotNull() & F.col("n_t").isNotNull() & any_seen
+    changed = F.col("n_s").isNotNull() & F.col("n_t").isNotNull() & any_flag
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    counts = F.create_map(*[x for c in compared for x in (F.lit(c), F.count_if(changed & seen[c]))]) if compared else F.create_map().cast("map<string,bigint>")
+    counts = F.create_map(*[x for c in compared for x in (F.lit(c), F.count_if(changed & flags[c]))]) if compared else F.create_map().cast("map<string,bigint>")
     summary = both.agg(
         (total(F.col("n_s")) + skipped).alias("total_source"),
         (total(F.col("n_t")) + skipped).alias("total_target"),
@@ -134,11 +130,6 @@ def _flag(s: Side, t: Side, name: str, tolerance: float) -> Column:
     return differs(s.column(name), t.column(name), s.fields[name][1], tolerance)
 
 
-def _digest_flag(s: Side, t: Side, name: str) -> Column:
-    a, b = (f"{x.tag}{x.fields[name][0]}" for x in (s, t))
-    return ~(F.col(a).eqNullSafe(F.col(b)) & F.col(f"{a}b").eqNullSafe(F.col(f"{b}b")))
-
-
 class SparkDiffer:
     """The differ of this package. ``cancel`` ends the jobs that run inside ``running()`` of its results, of which
     ``summary()`` is one, from another thread; it has a tag of its own."""

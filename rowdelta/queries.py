@@ -354,7 +354,7 @@ def diff_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.changes().select("_change_type", "k", "o", "l_partkey", "l_suppkey", "l_quantity")
 
 
-# the last row of a key by one column, text compared by digests
+# the last row of a key by one column
 
 P_SOURCE = "SELECT l_orderkey, l_partkey * 1000 + l_linenumber AS place, l_shipdate, l_suppkey, l_quantity, l_returnflag FROM lineitem WHERE l_partkey % 17 <> 0"
 P_TARGET = "SELECT l_orderkey, l_partkey * 1000 + l_linenumber AS place, l_shipdate, l_suppkey, l_quantity + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS l_quantity, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 3 = 0 THEN '?' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE l_partkey % 11 <> 0"
@@ -369,7 +369,7 @@ _p_flags = {"place": "s.place <> t.place", "l_shipdate": "s.l_shipdate <> t.l_sh
       (SELECT count(*) FROM s JOIN t USING (l_orderkey) WHERE {" OR ".join(_p_flags.values())}) AS modified, {", ".join(f"(SELECT count(*) FROM s JOIN t USING (l_orderkey) WHERE {f}) AS by_{c}" for c, f in _p_flags.items())}"""
 )
 def diff_last_wins_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last row of a key by one number: a hash aggregate finds it."""
+    """The last row of a key by one number, of equal ones that by the other columns; a hash aggregate counts a key's rows."""
     options = DiffOptions(("l_orderkey",), tolerance=TOL, order_by=("place",))
     found = diff(_sql(spark, sf_dir, "lineitem", P_SOURCE), _sql(spark, sf_dir, "lineitem", P_TARGET), options).summary_frame
     return found.select("*", *[F.col("columns")[c].alias(f"by_{c}") for c in _p_flags]).drop("columns")
