@@ -11,6 +11,7 @@ import dataclasses
 import io
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -584,12 +585,18 @@ def sink_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def source_database_even_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders through the database that Spark brings along, read back in parts of about as many rows.
+    """Orders through a database, read back in parts of about as many rows.
 
-    The database is in the memory of one process: the query is of a local session, or of a driver that runs tasks."""
-    url = f"jdbc:derby:memory:r{uuid.uuid4().hex};create=true"
+    In a local session it is the one that Spark brings along, by JDBC. That serves one process, so where executors are
+    others it is a file that all of them open."""
     priority = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("o_orderpriority")
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", priority)
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        path = _folder(spark) + ".sqlite"
+        sources.write_sqlite(rows, path, "orders", index="o_custkey")
+        return sources.read(spark, path, "sqlite", table="orders", even=("o_custkey", 8)).df
+    os.makedirs(_local(shared_dir(spark)), exist_ok=True)
+    url = f"jdbc:derby:{_local(_folder(spark))};create=true"
     rows.write.format("jdbc").option("url", url).option("dbtable", "orders").option("driver", DERBY).save()
     return sources.read(spark, url, "jdbc", table="orders", even=("o_custkey", 8), driver=DERBY).df.toDF("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 

@@ -10,9 +10,10 @@ from rowdelta.model import Dataset
 
 from .arrow_file import read_arrow
 from .files import read_csv, read_jdbc, read_parquet
+from .sqlite import read_sqlite, write_sqlite
 
 Reader = Callable[..., Dataset]
-READERS: dict[str, Reader] = {"parquet": read_parquet, "arrow": read_arrow, "csv": read_csv, "jdbc": read_jdbc}
+READERS: dict[str, Reader] = {"parquet": read_parquet, "arrow": read_arrow, "csv": read_csv, "jdbc": read_jdbc, "sqlite": read_sqlite}
 SUFFIXES = {".parquet": "parquet", ".arrow": "arrow", ".csv": "csv", ".db": "duckdb", ".duckdb": "duckdb"}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -103,10 +104,15 @@ def quantile_predicates(spark: SparkSession, path: str, table: str, column: str,
     value are one. Numbers, texts, dates and times can divide."""
     ask = lambda q: spark.read.format("jdbc").option("url", path).options(**options).option("query", q).load()
     column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(path).quoteIdentifier(column)
-    total, known = (int(x) for x in ask(f"SELECT COUNT(*) AS a, COUNT({column}) AS b FROM {table}").first())
+    return even_predicates(lambda q: ask(q).first(), table, column, n, "OFFSET {} ROWS FETCH NEXT 1 ROWS ONLY")
+
+
+def even_predicates(ask: Callable[[str], Sequence | None], table: str, column: str, n: int, nth: str) -> list[str]:
+    """As :func:`quantile_predicates`; ``ask`` gives a query's first row, and ``nth`` is how SQL takes the row at a place."""
+    total, known = (int(x) for x in ask(f"SELECT COUNT(*) AS a, COUNT({column}) AS b FROM {table}"))
     bounds = []
     for i in range(1, min(n, known)):
-        row = ask(f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL ORDER BY {column} OFFSET {i * known // n} ROWS FETCH NEXT 1 ROWS ONLY").first()
+        row = ask(f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL ORDER BY {column} {nth.format(i * known // n)}")
         if row is not None and row[0] not in bounds:
             bounds.append(row[0])
     cuts = [_literal(b) for b in bounds]

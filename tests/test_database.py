@@ -1,4 +1,8 @@
 import datetime as dt
+import os
+import re
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -47,3 +51,40 @@ def test_small_and_odd_tables(spark, base):
         sources.read(spark, url, "jdbc", query="SELECT 1", even=("v", 2))
     with pytest.raises(ValueError, match="ranges are of a table"):
         sources.read(spark, url, "jdbc", query="SELECT 1", ranges=("v", 0, 1, 2))
+
+
+@pytest.mark.parametrize("column, most", [("v", 400), ("s", 130), ("w", 130)])
+def test_a_file_that_several_processes_open(spark, base, tmp_path, column, most):
+    df = base[1].drop("d", "t").repartition(5)
+    path = str(tmp_path / "t.sqlite")
+    sources.write_sqlite(df, path, "t", index=column)
+    read = sources.read(spark, f"file://{path}", "sqlite", table="t", even=(column, 8)).df
+    sizes = [r[0] for r in read.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= most and len(sizes) >= 5
+    assert read.dtypes == df.dtypes
+    assert read.exceptAll(df).count() == 0 and df.exceptAll(read).count() == 0
+    with pytest.raises(FileExistsError):
+        sources.write_sqlite(df, path, "t")
+
+
+def test_a_file_refuses_what_it_cannot_hold(spark, tmp_path):
+    with pytest.raises(TypeError, match="unsupported type of column d"):
+        sources.write_sqlite(spark.sql("SELECT current_date() AS d"), str(tmp_path / "a.sqlite"), "t")
+    with pytest.raises(Exception, match="SQLite has no NaN"):
+        sources.write_sqlite(spark.sql("SELECT double('NaN') AS x"), str(tmp_path / "b.sqlite"), "t")
+
+
+def test_query_where_executors_are_other_processes(tmp_path):
+    """In a process of its own, since a session's master is fixed."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession
+from rowdelta.queries import QUERIES
+conf = {{"spark.ui.enabled": "false", "spark.executor.memory": "512m", "spark.checkpoint.dir": {str(tmp_path)!r}}}
+spark = SparkSession.builder.master("local-cluster[2,1,700]").config(map=conf).getOrCreate()
+rows = QUERIES["source_database_even_parts"](spark, "/root/testdata/sf0.001").collect()
+print("ROWS", len(rows), sum(r["o_orderpriority"] is None for r in rows))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert re.search(r"^ROWS 1500 \d+$", done.stdout, re.M), done.stderr[-2000:]
