@@ -1,4 +1,5 @@
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -62,3 +63,19 @@ def test_generated_pair_against_plain_python(spark):
     got = QUERIES["generated_pair_diff"](spark, DATA).collect()
     assert spark.read.parquet(f"{DATA}/orders.parquet").count() == 1500
     assert {k: got[0][k] for k in want} == want and {r["column"]: r["modifications"] for r in got} == columns
+
+
+@pytest.mark.parametrize("name", ["source_declared_columns", "source_footers", "source_row_groups"])
+def test_files_below_a_table_s_folder_are_told_of_too(spark, duck, tmp_path, name):
+    """The SQL's pattern takes files of the folder itself; of tables in several files the query tells of each."""
+    (tmp_path / "orders.parquet").mkdir()
+    for table, to in (("nation", "nation.parquet"), ("orders", "orders.parquet/part-0.parquet"), ("customer", "orders.parquet/part-1.parquet")):
+        shutil.copy(f"{DATA}/{table}.parquet", tmp_path / to)
+    df = QUERIES[name](spark, str(tmp_path))
+    got = sorted((tuple(r) for r in df.select(*[f"`{c}`" for c in sorted(df.columns)]).collect()), key=str)
+    few = duck.execute(ORACLE_SQL[name].replace(FIXED_DIR, str(tmp_path))).fetchall()
+    assert 0 < len(few) < len(got)
+    assert {r[sorted(df.columns).index("file")] for r in got} == {"nation.parquet", "part-0.parquet", "part-1.parquet"}
+    wide = duck.execute(ORACLE_SQL[name].replace(f"{FIXED_DIR}/*.parquet", f"{tmp_path}/**/*.parquet"))
+    order = sorted(range(len(wide.description)), key=lambda i: wide.description[i][0])
+    assert got == sorted((tuple(r[i] for i in order) for r in wide.fetchall()), key=str)
